@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from placard.llm.rlz_dedup import op6_rlz
 from placard.llm.simhash_dedup import op2_simhash
 from placard.llm.token_files import op10_token_files
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op6_rlz": op6_rlz,
     "op10_token_files": op10_token_files,
 }
 
