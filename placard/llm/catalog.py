@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from placard.llm.quality_rules import OP5_SQL, op5_quality
 from placard.llm.rlz_dedup import op6_rlz
 from placard.llm.simhash_dedup import op2_simhash
 from placard.llm.token_files import op10_token_files
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op5_quality": op5_quality,
     "op6_rlz": op6_rlz,
     "op10_token_files": op10_token_files,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_quality": OP5_SQL,
+}
