@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from placard.llm.decontamination import OP7_SQL, op7_decontamination
 from placard.llm.quality_rules import OP5_SQL, op5_quality
 from placard.llm.rlz_dedup import op6_rlz
 from placard.llm.simhash_dedup import op2_simhash
@@ -11,9 +12,11 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op5_quality": op5_quality,
     "op6_rlz": op6_rlz,
+    "op7_decontamination": op7_decontamination,
     "op10_token_files": op10_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_quality": OP5_SQL,
+    "op7_decontamination": OP7_SQL,
 }
