@@ -5,14 +5,18 @@ from __future__ import annotations
 from placard.llm.decontamination import OP7_SQL, op7_decontamination
 from placard.llm.quality_rules import OP5_SQL, op5_quality
 from placard.llm.rlz_dedup import op6_rlz
+from placard.llm.secret_scan import op4_secrets
 from placard.llm.simhash_dedup import op2_simhash
 from placard.llm.token_files import op10_token_files
+from placard.llm.url_filter import op8_urls
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op4_secrets": op4_secrets,
     "op5_quality": op5_quality,
     "op6_rlz": op6_rlz,
     "op7_decontamination": op7_decontamination,
+    "op8_urls": op8_urls,
     "op10_token_files": op10_token_files,
 }
 

@@ -26,7 +26,6 @@ empty table gives an empty result; further columns of the input are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import itertools
 
 import numpy as np
