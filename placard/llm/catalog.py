@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from placard.llm.chat_format import OP3_SQL, op3_chat
 from placard.llm.decontamination import OP7_SQL, op7_decontamination
+from placard.llm.mixing import OP1_SQL, op1_mixing
 from placard.llm.quality_rules import OP5_SQL, op5_quality
 from placard.llm.rlz_dedup import op6_rlz
 from placard.llm.secret_scan import op4_secrets
@@ -11,7 +13,9 @@ from placard.llm.token_files import op10_token_files
 from placard.llm.url_filter import op8_urls
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
+    "op3_chat": op3_chat,
     "op4_secrets": op4_secrets,
     "op5_quality": op5_quality,
     "op6_rlz": op6_rlz,
@@ -21,6 +25,8 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_mixing": OP1_SQL,
+    "op3_chat": OP3_SQL,
     "op5_quality": OP5_SQL,
     "op7_decontamination": OP7_SQL,
 }

@@ -42,8 +42,10 @@ from pyspark.sql import functions as F
 from placard.llm.common import fresh_path, only, table
 
 INDEX_MAGIC, SEEK_MAGIC, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
-#: Pieces that one worker remembers at most; longer ones than PIECE characters are never kept.
-MEMO, PIECE = 400_000, 64
+#: Entries that each of one worker's memos holds at most; pieces of over PIECE characters are never kept.
+MEMO, PIECE = 700_000, 64
+#: The byte-level pattern of the public tokenizer files (fixed value).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def filesystem(path: str):
@@ -55,48 +57,87 @@ def filesystem(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if visible, else the next from U+0100 on."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return {b: chr(b if b in visible else next(others)) for b in range(256)}
+
+
+class _Memo(dict):
+    """What a function returned for short strings; emptied when full."""
+
+    def __init__(self, function):
+        super().__init__()
+        self.function = function
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.function(key)
+        if len(key) <= PIECE:
+            if len(self) >= MEMO:
+                self.clear()
+            self[key] = found
+        return found
+
+
 class Encoder:
     """Whole-text encoding that remembers pieces it has met.
 
     The tokenizer's pattern never lets a token reach over a space that follows
     a visible character, except as the space's own start. So a text is cut
-    there, each new piece is encoded by the tokenizers library once, and the
-    ids are strung together. A text with any other white space before a space
-    goes to the library in one.
+    there, each new piece is encoded once, and the ids are strung together. A
+    text with any other white space before a space goes to the library in one,
+    and so does a piece with characters past Latin, control characters or a
+    special token. Other pieces are cut by the pattern, and the library's model
+    encodes each part that is new.
     """
 
     def __init__(self, path: str, end_id: int):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end = Tokenizer.from_file(path), np.uint32(end_id).astype("<u4").tobytes()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
-        self.memo: dict[str, bytes] = {}
+        self.model, self.parts, self.letters = self.tokenizer.model, regex.compile(PATTERN).findall, _byte_letters()
+        self.memo, self.words = _Memo(self._after_space), _Memo(self._word)
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _word(self, part: str) -> bytes:
+        letters = part.replace(" ", self.letters[32]) if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.letters)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(letters)])
+
+    def _piece(self, piece: str) -> bytes:
+        if not (piece.isascii() or max(piece) < "\u0250") or "<|" in piece or not piece.replace("\n", "").isprintable():
+            return self._whole(piece)
+        return b"".join(map(self.words.__getitem__, self.parts(piece)))
+
+    def _after_space(self, piece: str) -> bytes:
+        if not _visible_end(piece):
+            raise KeyError(piece)  # the text can't be cut here
+        return self._piece(" " + piece)
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text and the end id, as 4-byte integers."""
-        memo = self.memo
+        memo = self.memo.__getitem__
         for text in texts:
             if not text:
                 yield self.end
                 continue
             first, *rest = text.split(" ")
-            new = [p for p in set(rest).difference(memo) if len(p) < PIECE and p and ("!" <= p[-1] <= "~" or p[-1].isalnum())]
-            if new:
-                if len(memo) + len(new) > MEMO:
-                    memo.clear()
-                    new = [p for p in set(rest) if len(p) < PIECE and p and ("!" <= p[-1] <= "~" or p[-1].isalnum())]
-                memo.update(zip(new, self._encode([" " + p for p in new]), strict=True))
             try:
-                tail = b"".join([memo[p] for p in rest])
-                if not (rest and first) or "!" <= first[-1] <= "~" or first[-1].isalnum():
-                    yield (self._encode([first])[0] if first else b"") + tail + self.end
+                tail = b"".join(map(memo, rest))
+                if not rest or not first or _visible_end(first):
+                    yield (self._piece(first) if first else b"") + tail + self.end
                     continue
             except KeyError:
                 pass
-            yield self._encode([text])[0] + self.end
+            yield self._whole(text) + self.end
+
+
+def _visible_end(piece: str) -> bool:
+    return bool(piece) and ("!" <= piece[-1] <= "~" or piece[-1].isalnum())
 
 
 @functools.lru_cache(1)
