@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from placard.llm.chat_format import OP3_SQL, op3_chat
 from placard.llm.decontamination import OP7_SQL, op7_decontamination
+from placard.llm.line_dedup import op9_lines
 from placard.llm.mixing import OP1_SQL, op1_mixing
 from placard.llm.quality_rules import OP5_SQL, op5_quality
 from placard.llm.rlz_dedup import op6_rlz
@@ -21,7 +24,9 @@ QUERIES = {
     "op6_rlz": op6_rlz,
     "op7_decontamination": op7_decontamination,
     "op8_urls": op8_urls,
+    "op9_lines": op9_lines,
     "op10_token_files": op10_token_files,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {
