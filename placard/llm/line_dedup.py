@@ -21,7 +21,7 @@ bound a block, but one inside a block goes with it; rows that repeat a doc_id
 with the same text are one document, and each row gets its result; those with
 different texts are aligned by the first of them, in order of text hash, and
 the others stay; a null doc_id stays as it is; an empty table gives an empty
-result; further columns are kept.
+result; further columns are kept, but deleted and n_lines are replaced.
 """
 
 from __future__ import annotations
@@ -127,11 +127,14 @@ def align(docs: DataFrame, rare: int = 8, block_words: int = 20) -> DataFrame:
 
     aligned = both.mapInArrow(run, "doc_id long, gone array<int>").select("doc_id", F.explode("gone").alias("i")).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("i")).alias("gone"))
     gone = checkpointed(copies.unionByName(aligned).join(known.select("doc_id", "digest"), "doc_id")).withColumnsRenamed({"doc_id": "of_doc", "digest": "of_digest"})
-    split_text = F.split("text", "\n")
-    joined = docs.join(gone, (docs["doc_id"] == gone["of_doc"]) & (F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == gone["of_digest"]), "left")
-    lined = joined.withColumn("_lines", split_text).withColumn("deleted", F.coalesce("gone", F.array().cast("array<int>"))).drop("of_doc", "of_digest", "gone")
-    kept = F.array_join(F.filter("_lines", lambda x, i: ~F.array_contains("deleted", i)), "\n")
-    return lined.withColumn("text", F.when(F.size("deleted") > 0, kept).otherwise(F.col("text"))).withColumn("n_lines", F.coalesce(F.size("_lines"), F.lit(0)).cast("long")).drop("_lines")
+    # The row travels as one struct, so its columns can't clash with the operator's own.
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    same = (F.col("row.doc_id") == F.col("of_doc")) & (F.sha2(F.coalesce("row.text", F.lit("")), 256) == F.col("of_digest"))
+    lined = packed.join(gone, same, "left").select("row", F.coalesce("gone", F.array().cast("array<int>")).alias("deleted"), F.split("row.text", "\n").alias("all_lines"))
+    kept = F.array_join(F.filter("all_lines", lambda x, i: ~F.array_contains("deleted", i)), "\n")
+    text = F.when(F.size("deleted") > 0, kept).otherwise(F.col("row.text"))
+    own = [(text if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns if c not in ("deleted", "n_lines")]
+    return lined.select(*own, "deleted", F.when(F.col("row.text").isNull(), 0).otherwise(F.size("all_lines")).cast("long").alias("n_lines"))
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,8 +20,10 @@ import math
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from placard.llm.common import only, table
 
@@ -123,9 +125,6 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """docs with each span's text replaced; overlapping spans become one mark."""
-    import pandas as pd
-    from pyspark.sql import functions as F
-
     def cut(text: str | None) -> str | None:
         out, at = [], 0
         for a, _, b in scan(text):
@@ -142,8 +141,6 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     found = find_secrets(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")

@@ -198,7 +198,7 @@ def fingerprint_links(nodes: DataFrame, threshold: int = 4, blocks: int | None =
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component): the least node reachable, for every node of a link.
+    """(node, component): the least node reachable, for every node that reaches a lesser one.
 
     Alternates large-star and small-star steps until the links are stars; each
     step is a map-side combined minimum and a join, written to the shared
