@@ -64,10 +64,11 @@ def child_set_diff(old: DataFrame, new: DataFrame, parent: str, identity: tuple[
     every old child as deleted and every new one as inserted. A child may
     appear once in a set.
     """
-    sets = old.select(parent, *identity, F.lit(1).alias("o"), F.lit(0).alias("n")).unionByName(new.select(parent, *identity, F.lit(0).alias("o"), F.lit(1).alias("n")))
-    each = sets.groupBy(parent, *identity).agg(F.max("o").alias("o"), F.max("n").alias("n"))
-    sums = each.groupBy(parent).agg(F.sum("o").alias("n_old"), F.sum("n").alias("n_new"), F.max((F.col("o") != F.col("n")).cast("int")).alias("differs"))
-    return sums.filter("n_new > 0").select(parent, *[F.when(F.col("differs") == 1, F.col(c)).otherwise(0).cast("long").alias(a) for c, a in (("n_old", "n_deleted"), ("n_new", "n_inserted"))], (F.col("differs") == 1).alias("changed"))
+    both = old.select(parent, *identity, F.lit(1).alias("_old"), F.lit(0).alias("_new")).unionByName(new.select(parent, *identity, F.lit(0).alias("_old"), F.lit(1).alias("_new")))
+    each = both.groupBy(parent, *identity).agg(F.max("_old").alias("_old"), F.max("_new").alias("_new"))
+    sums = each.groupBy(parent).agg(F.sum("_old").alias("_n_old"), F.sum("_new").alias("_n_new"), F.max((F.col("_old") != F.col("_new")).cast("int")).alias("_differs"))
+    count = lambda c, name: F.when(F.col("_differs") == 1, F.col(c)).otherwise(0).cast("long").alias(name)
+    return sums.filter("_n_new > 0").select(parent, count("_n_old", "n_deleted"), count("_n_new", "n_inserted"), (F.col("_differs") == 1).alias("changed"))
 
 
 def replace_children(old: DataFrame, new: DataFrame, changed: DataFrame, parent: str) -> DataFrame:

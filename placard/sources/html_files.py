@@ -34,7 +34,7 @@ class _Files(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if self.link is not None:
-            self.link["name"] = " ".join((self.link["name"] + data).split())
+            self.link["name"] += data
 
 
 def decorative(attrs: dict[str, str]) -> bool:
@@ -47,7 +47,7 @@ def references(html: str) -> list[dict]:
     parser = _Files()
     parser.feed(html)
     parser.close()
-    return parser.found
+    return [f | {"name": " ".join(f["name"].split())} for f in parser.found]
 
 
 @F.pandas_udf(T.ArrayType(T.StructType().add("kind", T.StringType()).add("url", T.StringType()).add("name", T.StringType())))
