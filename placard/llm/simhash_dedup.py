@@ -228,15 +228,145 @@ def simhash_components(docs: DataFrame, shingle: int = 4, threshold: int = 4, bl
     return marked.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 4, threshold: int = 4) -> DataFrame:
-    """docs without near copies: of each class the row of least doc_id stays.
+WIDE = 4
 
-    Rows that repeat that doc_id stay too, if they are the kept document's
-    copies; null doc_ids stay, as they can't be told apart.
+
+def _lowered(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "replace").translate(_LOWER).split()
+
+
+def wide_fingerprint(words: list[bytes], memo: dict[bytes, bytes]) -> np.ndarray:
+    """The 256-bit SimHash of a text's distinct words, as four 64-bit numbers."""
+    from xxhash import xxh3_128_digest
+
+    distinct = list(dict.fromkeys(words))
+    if not distinct:
+        return np.zeros(WIDE, np.uint64)
+    if len(memo) > 500_000:
+        memo.clear()
+    for w in distinct:
+        if w not in memo:
+            memo[w] = xxh3_128_digest(w, 1) + xxh3_128_digest(w, 2)
+    hashes = np.frombuffer(b"".join([memo[w] for w in distinct]), np.uint8).reshape(-1, 8 * WIDE)
+    counts = np.zeros(64 * WIDE, np.int64)
+    for part in range(0, len(hashes), 1 << 14):
+        counts += np.unpackbits(hashes[part : part + (1 << 14)], axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(hashes)).view("<u8").astype(np.uint64)
+
+
+def shingle_similarity(a: list[bytes], b: list[bytes], shingle: int) -> float:
+    """Jaccard similarity of two texts' shingles; fewer words than a shingle are one."""
+    x, y = ({tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} for w in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def wide_links(nodes: DataFrame, threshold: int = 23, leaf_size: int = 256, sample_size: int = 8192, block_rows: int = 20_000) -> DataFrame:
+    """(a, b): links of nodes (node, f0 to f3) within the threshold of 256 bits, at least a minimum spanning forest.
+
+    If four words differ in ``threshold`` bits together, one of them differs in
+    a quarter at most; each word has a forest of its own for that. A leaf's
+    links come by distance, in steps of 4 bits, so two nodes are connected by
+    links of their own step at most.
+    """
+    spark, words = nodes.sparkSession, [f"f{i}" for i in range(WIDE)]
+    total, each = nodes.count(), threshold // WIDE
+    sample = np.array([tuple(r) for r in nodes.select(*words).orderBy(F.xxhash64(*words), *words).limit(sample_size).collect()], np.int64).reshape(-1, WIDE).view(np.uint64)
+    trees = []
+    for word in range(WIDE):
+        for n, (mask, _) in enumerate(sub_metrics(each, each + 1)):
+            depth = min(16, bin(mask).count("1"), max(0, math.ceil(math.log2(max(1, total) / leaf_size))))
+            trees.append((word, VantageTree(sample[:, word], mask, depth, seed=100 * word + n)))
+    shared = spark.sparkContext.broadcast(trees)
+
+    def numbers(rows: pa.Table | pa.RecordBatch) -> np.ndarray:
+        return np.stack([np.asarray(rows.column(f)) for f in words], axis=1).view(np.uint64)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = numbers(batch)
+            for n, (word, tree) in enumerate(shared.value):
+                leaf = (n << 32) + tree.home(np.ascontiguousarray(fps[:, word]))
+                yield pa.RecordBatch.from_arrays([pa.array(leaf), batch.column("node"), *[batch.column(f) for f in words]], ["leaf", "node", *words])
+
+    fields = ", ".join(f"{f} long" for f in words)
+    routed = nodes.select("node", *words).mapInArrow(route, f"leaf long, node long, {fields}")
+    crowded = routed.groupBy("leaf").count().filter(F.col("count") > block_rows).select("leaf", F.ceil(F.col("count") / block_rows).alias("k"))
+    parts = F.coalesce("k", F.lit(1))
+    placed = routed.join(crowded, "leaf", "left").withColumn("part", F.pmod(F.xxhash64("node"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    tasks = placed.select(F.xxhash64("leaf", F.least("part", "other"), F.greatest("part", "other")).alias("cell"), "node", *words)
+
+    def search(rows: pa.Table) -> pa.Table:
+        fps, node = numbers(rows), rows.column("node").to_numpy()
+        order = np.argsort(node)
+        fps, node = fps[order], node[order]
+        label, links = np.arange(len(node)), []
+        rows_left = np.arange(len(node) - 1)
+        for limit in [*range(threshold % 4, threshold, 4), threshold]:  # closest first, in steps of 4 bits
+            again = []
+            for i in rows_left.tolist():
+                distance = np.bitwise_count(fps[i + 1 :, 0] ^ fps[i, 0]).astype(np.int16)
+                for word in range(1, WIDE):
+                    distance += np.bitwise_count(fps[i + 1 :, word] ^ fps[i, word])
+                if limit < threshold and (distance <= threshold).any():
+                    again.append(i)
+                found = np.nonzero(distance <= limit)[0] + i + 1
+                while len(found := found[label[found] != label[i]]):
+                    links.append((i, int(found[0])))
+                    label[label == label[found[0]]] = label[i]
+            rows_left = np.array(again, np.int64)
+        a, b = ([node[x[k]] for x in links] for k in (0, 1))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return tasks.groupBy("cell").applyInArrow(search, "a long, b long").filter("a <> b").distinct()
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, threshold: int = 23) -> DataFrame:
+    """(doc_id, component_id) for every row: classes of texts linked by a shingle similarity of at least ``least``.
+
+    Candidates are texts whose distinct words have 256-bit SimHashes within
+    ``threshold`` bits: near copies share nearly all words, so they are far
+    closer there than by shingles. Each candidate link is verified with the
+    exact shingles of both texts.
+    """
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
+        memo: dict[bytes, bytes] = {}
+        for batch in batches:
+            words = [_lowered(t) for t in batch.column("text").to_pylist()]
+            fps = np.array([wide_fingerprint(w, memo) for w in words], np.uint64).reshape(-1, WIDE).view(np.int64)
+            digests = pa.array([xxh3_128_digest(b" ".join(w)) for w in words], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), digests, *[pa.array(np.ascontiguousarray(fps[:, i])) for i in range(WIDE)]], ["doc_id", "digest", *[f"f{i}" for i in range(WIDE)]])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column("a_text").to_pylist(), batch.column("b_text").to_pylist(), strict=True)
+            alike = pa.array([shingle_similarity(_lowered(x), _lowered(y), shingle) >= least for x, y in pairs], pa.bool_())
+            yield batch.select(["a", "b"]).filter(alike)
+
+    texts = only(docs, "doc_id", "text")
+    fields = ", ".join(f"f{i} long" for i in range(WIDE))
+    known = checkpointed(texts.mapInArrow(describe, f"doc_id long, digest binary, {fields}"))
+    nodes = checkpointed(known.groupBy("digest").agg(F.min("doc_id").alias("node"), *[F.first(f"f{i}").alias(f"f{i}") for i in range(WIDE)]).filter("node is not null"))
+    links = checkpointed(wide_links(nodes, threshold))
+    ends = links.select(F.col("a").alias("doc_id")).union(links.select("b")).distinct()
+    linked = checkpointed(texts.join(ends, "doc_id", "left_semi"))
+    both = links.join(linked.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a").join(linked.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
+    true = both.select("a", "b", "a_text", "b_text").mapInArrow(compare, "a long, b long").distinct()
+    named = nodes.join(components(true), "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    return known.select("doc_id", "digest").join(named, "digest", "left").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, threshold: int = 23) -> DataFrame:
+    """docs with one document of each class of near copies, that of the least doc_id.
+
+    Rows that repeat the doc_id of a document that stays do stay, and so do
+    rows without one, as neither can be told apart.
     """
-    classes = simhash_components(docs, shingle, threshold)
-    dropped = classes.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti")
+    classes = near_copies(docs, shingle, least, threshold)
+    dropped = classes.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.col("doc_id") != F.col("component_id")).alias("gone")).filter("gone").select("doc_id")
+    return docs.join(dropped, "doc_id", "left_anti").select(*[docs[c] for c in docs.columns])
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:

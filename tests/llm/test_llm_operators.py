@@ -126,10 +126,28 @@ def test_components_of_a_long_chain(spark):
     assert got == {**dict.fromkeys(range(1, 41), 0), 101: 100}
 
 
-def test_keep_one_keeps_the_least(spark):
-    rows = corpus()
-    label = brute_components({r[0]: brute_fingerprint(r[1]) for r in rows}, 4)
-    assert sorted(r.doc_id for r in simhash_dedup.keep_one(frame(spark, extra=True)).collect()) == sorted(i for i, c in label.items() if i == c)
+def test_near_copies_match_brute_force(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(40):
+        w = prose(rng, rng.choice([60, 150, 300])).split()
+        rows.append((len(rows), " ".join(w), "en", "s", 1))
+        for changes in (0, 1, 3):
+            v = list(w)
+            for _ in range(changes * len(w) // 150 + (changes > 0)):
+                v[rng.randrange(len(v))] = rng.choice(WORDS)
+            if i % 4 == changes:
+                rows.append((len(rows), " ".join(v).title(), "en", "s", 1))
+    rows += [(1000, None, "en", "s", 0), (1001, "", "en", "s", 0), (1002, "a b", "en", "s", 1), (1003, "A  B", "en", "s", 1)]
+    words = {r[0]: (r[1] or "").lower().encode().split() for r in rows}
+    label = {d: d for d in words}
+    for _ in range(5):
+        for a, b in itertools.combinations(sorted(words), 2):
+            if label[a] != label[b] and simhash_dedup.shingle_similarity(words[a], words[b], 5) >= 0.8:
+                label[a] = label[b] = min(label[a], label[b])
+    got = {r.doc_id: r.component_id for r in simhash_dedup.near_copies(frame(spark, rows, extra=True)).collect()}
+    assert got == label and len(set(label.values())) < len(label) - 20
+    assert sorted(r.doc_id for r in simhash_dedup.keep_one(frame(spark, rows, extra=True)).collect()) == sorted(set(label.values()))
 
 
 # --- op6
