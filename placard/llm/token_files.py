@@ -291,11 +291,15 @@ def read_documents(folder: str, wanted: set[int]) -> dict[int, np.ndarray]:
     return out
 
 
-def token_digest(docs: DataFrame, tokenizer_path: str, end_id: int = 2, rows_per_file: int = 4096) -> DataFrame:
-    """Writes docs to files in the shared folder and reads them back: (doc_id, start, n_tokens, ids_crc32)."""
+def token_digest(docs: DataFrame, tokenizer_path: str, end_id: int = 2, rows_per_file: int | None = None) -> DataFrame:
+    """Writes docs to files in the shared folder and reads them back: (doc_id, start, n_tokens, ids_crc32).
+
+    Files grow with the square root of the corpus, from 4096 to 65536 rows, so
+    that the manifest, which the driver holds, stays small.
+    """
     spark = docs.sparkSession
-    folder = fresh_path(spark, "token-files")
-    files = max(1, -(-docs.count() // rows_per_file))
+    folder, rows = fresh_path(spark, "token-files"), docs.count()
+    files = max(1, -(-rows // (rows_per_file or min(1 << 16, max(4096, int(4 * rows**0.5))))))
     write_token_files(docs, folder, tokenizer_path, end_id, files)
     return read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
