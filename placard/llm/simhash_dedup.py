@@ -300,20 +300,28 @@ def wide_links(nodes: DataFrame, threshold: int = 23, leaf_size: int = 256, samp
         order = np.argsort(node)
         fps, node = fps[order], node[order]
         label, links = np.arange(len(node)), []
-        rows_left = np.arange(len(node) - 1)
+        # Most nodes have no neighbour; a few wide operations set those aside.
+        rows_left, step = [np.zeros(0, np.int64)], max(1, (1 << 21) // max(1, len(node)))
+        for at in range(0, len(node), step):
+            some = fps[at : at + step]
+            distance = np.zeros((len(some), len(node) - at), np.uint16)
+            for word in range(WIDE):
+                distance += np.bitwise_count(some[:, word, None] ^ fps[None, at:, word])
+            close = np.triu(distance <= threshold, 1).any(axis=1)
+            rows_left.append(np.nonzero(close)[0] + at)
+        rows_left = np.concatenate(rows_left)
         for limit in [*range(threshold % 4, threshold, 4), threshold]:  # closest first, in steps of 4 bits
-            again = []
             for i in rows_left.tolist():
-                distance = np.bitwise_count(fps[i + 1 :, 0] ^ fps[i, 0]).astype(np.int16)
-                for word in range(1, WIDE):
-                    distance += np.bitwise_count(fps[i + 1 :, word] ^ fps[i, word])
-                if limit < threshold and (distance <= threshold).any():
-                    again.append(i)
-                found = np.nonzero(distance <= limit)[0] + i + 1
+                apart = np.nonzero(label[i + 1 :] != label[i])[0] + i + 1  # a dense group is soon one, and skipped
+                if not len(apart):
+                    continue
+                distance = np.zeros(len(apart), np.uint16)
+                for word in range(WIDE):
+                    distance += np.bitwise_count(fps[apart, word] ^ fps[i, word])
+                found = apart[distance <= limit]
                 while len(found := found[label[found] != label[i]]):
                     links.append((i, int(found[0])))
                     label[label == label[found[0]]] = label[i]
-            rows_left = np.array(again, np.int64)
         a, b = ([node[x[k]] for x in links] for k in (0, 1))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
