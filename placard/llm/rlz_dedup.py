@@ -140,6 +140,8 @@ def duplicate_spans(docs: DataFrame, phrase: int = 13, rows_per_block: int | Non
 
     def index(key: tuple, rows: pa.Table) -> pa.Table:
         block = key[0].as_py()
+        if block < 0:
+            return pa.table({"cell": pa.array([], pa.int32()), "block": pa.array([], pa.int32()), "entries": pa.array([], pa.binary())})
         own = BlockPhrases(rows, phrase)
         cuts = own.cells(cells)
         full = [c for c in range(cells) if cuts[c] < cuts[c + 1]]
@@ -186,7 +188,8 @@ def duplicate_spans(docs: DataFrame, phrase: int = 13, rows_per_block: int | Non
         return pa.Table.from_pylist(out, SCHEMA)
 
     SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64()), ("block", pa.int32())]))), ("kept", pa.string())])
-    entries = blocks.filter("block >= 0").groupBy("block").applyInArrow(index, "cell int, block int, entries binary")
+    # Both passes group the very same rows, so Spark deals the texts out once and reads that shuffle twice.
+    entries = blocks.groupBy("block").applyInArrow(index, "cell int, block int, entries binary")
     answers = entries.groupBy("cell").applyInArrow(resolve, "block int, cell int, sources binary")
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(parse, "doc_id long, n_words long, n_removed long, spans array<struct<start:long,words:long,block:int>>, kept string")
 
