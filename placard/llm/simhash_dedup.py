@@ -328,24 +328,143 @@ def wide_links(nodes: DataFrame, threshold: int = 23, leaf_size: int = 256, samp
     return tasks.groupBy("cell").applyInArrow(search, "a long, b long").filter("a <> b").distinct()
 
 
+def shingle_hashes(words: list[bytes], shingle: int, memo: dict[bytes, int]) -> np.ndarray:
+    """The distinct 64-bit hashes of a text's shingles, ascending; a text without words has none."""
+    from xxhash import xxh64_intdigest
+
+    if not words:
+        return np.zeros(0, np.uint64)
+    if len(memo) > 500_000:
+        memo.clear()
+    for w in set(words):
+        if w not in memo:
+            memo[w] = xxh64_intdigest(w, 7)
+    each = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+    n = max(1, len(words) - shingle + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(min(shingle, len(words))):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + each[k : k + n]
+        out ^= out >> np.uint64(29)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique(out ^ out >> np.uint64(32))
+
+
+def prefix(hashes: np.ndarray, least: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The hashes of which two sets with a Jaccard similarity of at least ``least`` share one or more.
+
+    Such sets share ceil(least * n) of the n hashes of each, so the first
+    n - ceil(least * n) + 1 of both, in whatever order all sets use, have one
+    in common. The order here is by count in a sample (common, ascending, and
+    counts), then by hash: rare shingles pair few texts.
+    """
+    n = len(hashes)
+    seen = np.zeros(n, np.int64)
+    if n and len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        seen = np.where(common[at] == hashes, counts[at], 0)
+    return hashes[np.lexsort((hashes, seen))[: n - math.ceil(least * n - 1e-9) + 1]]
+
+
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """256 bits, each the parity of the hashes in its range: two sets differ in at least as many hashes as bits."""
+    return np.packbits(np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=64 * WIDE).astype(np.uint8) & 1).view("<u8").astype(np.uint64)
+
+
+def sampled_counts(texts: DataFrame, shingle: int, sample_rows: int = 20_000, most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that several texts of a sample hold, ascending, and their counts. They only order the shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[bytes, int] = {}
+        for batch in batches:
+            found = [shingle_hashes(_lowered(t), shingle, memo) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found or [np.zeros(0, np.uint64)]).view(np.int64))], ["h"])
+
+    share = max(1, texts.count() // sample_rows)
+    counted = texts.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).distinct().mapInArrow(run, "h long").groupBy("h").count().filter("count > 3")
+    top = counted.orderBy(F.desc("count"), "h").limit(most).toArrow()
+    hashes, counts = np.asarray(top.column("h")).view(np.uint64), np.asarray(top.column("count"))
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
+def open_pairs(groups: DataFrame, facts: DataFrame, least: float, centers: int | None, small: int = 32) -> DataFrame:
+    """(a, b): pairs of a group's nodes, of different components, whose sizes and parities allow the similarity.
+
+    groups: g, ids (array of nodes); facts: node, component, size and parities. In
+    a group of over ``small`` nodes only ``centers`` nodes outside its largest
+    component are paired with the others; None pairs all.
+    """
+    fields = ["node", "component", "size", *[f"p{i}" for i in range(WIDE)]]
+    each = groups.select("g", F.explode("ids").alias("node")).join(facts, "node")
+    whole = each.groupBy("g").agg(F.collect_list(F.struct(*fields)).alias("all"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("all")
+    ratio = (1 - least) / (1 + least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("all")
+            ends, flat = np.asarray(lists.offsets), lists.values
+            columns = {f: np.asarray(flat.field(i)) for i, f in enumerate(fields)}
+            out: list[np.ndarray] = []
+            for lo, hi in itertools.pairwise(ends.tolist()):
+                node, component, size = (columns[f][lo:hi] for f in fields[:3])
+                bits = [columns[f][lo:hi].view(np.uint64) for f in fields[3:]]
+                names, place, n = np.unique(component, return_inverse=True, return_counts=True)
+                rest = np.nonzero(place != int(np.argmax(n)))[0]
+                rest = rest[np.argsort(node[rest])]
+                if centers is not None and hi - lo > small:
+                    rest = rest[:centers]
+                for i in rest.tolist():
+                    apart = np.zeros(hi - lo, np.int64)
+                    for b in bits:
+                        apart += np.bitwise_count(b ^ b[i])
+                    fits = (place != place[i]) & (np.minimum(size, size[i]) >= least * np.maximum(size, size[i]) - 1e-9) & (apart <= ratio * (size + size[i]) + 1e-9)
+                    other = node[fits]
+                    out.append(np.stack([np.minimum(other, node[i]), np.maximum(other, node[i])]))
+                if sum(x.shape[1] for x in out) > 1 << 16:
+                    yield _pairs(out)
+                    out = []
+            yield _pairs(out)
+
+    return whole.mapInArrow(run, "a long, b long").distinct()
+
+
+def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
+    both = np.concatenate(found or [np.zeros((2, 0), np.int64)], axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(both[0], pa.int64()), pa.array(both[1], pa.int64())], ["a", "b"])
+
+
 def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, threshold: int = 23) -> DataFrame:
     """(doc_id, component_id) for every row: classes of texts linked by a shingle similarity of at least ``least``.
 
-    Candidates are texts whose distinct words have 256-bit SimHashes within
-    ``threshold`` bits: near copies share nearly all words, so they are far
-    closer there than by shingles. Each candidate link is verified with the
-    exact shingles of both texts.
+    Two searches, and each candidate link is verified with the exact shingles
+    of both texts. The first takes texts whose distinct words have 256-bit
+    SimHashes within ``threshold`` bits; it joins most copies with changed
+    words at little cost, whatever their number. The second completes the
+    classes: texts that share one of their first shingles (``prefix``), which
+    every pair of the similarity does, are compared unless verified links join
+    them already. Large groups are first compared with a few of their nodes,
+    then with more, and at last all that is still apart.
     """
 
+    texts = only(docs, "doc_id", "text")
+    common, counts = sampled_counts(texts, shingle)
+    order = docs.sparkSession.sparkContext.broadcast((common, counts))
+    extra = [f"p{i}" for i in range(WIDE)]
+
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
         memo: dict[bytes, bytes] = {}
+        word_memo: dict[bytes, int] = {}
         for batch in batches:
             words = [_lowered(t) for t in batch.column("text").to_pylist()]
             fps = np.array([wide_fingerprint(w, memo) for w in words], np.uint64).reshape(-1, WIDE).view(np.int64)
             digests = pa.array([xxh3_128_digest(b" ".join(w)) for w in words], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), digests, *[pa.array(np.ascontiguousarray(fps[:, i])) for i in range(WIDE)]], ["doc_id", "digest", *[f"f{i}" for i in range(WIDE)]])
+            hashes = [shingle_hashes(w, shingle, word_memo) for w in words]
+            bits = np.array([parity(h) for h in hashes], np.uint64).reshape(-1, WIDE).view(np.int64)
+            firsts = pa.array([prefix(h, least, *order.value).view(np.int64) for h in hashes], pa.list_(pa.int64()))
+            columns = [batch.column("doc_id"), digests, *[pa.array(np.ascontiguousarray(x[:, i])) for x in (fps, bits) for i in range(WIDE)], pa.array([len(h) for h in hashes], pa.int64()), firsts]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", *[f"f{i}" for i in range(WIDE)], *extra, "size", "firsts"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -353,16 +472,37 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, threshold
             alike = pa.array([shingle_similarity(_lowered(x), _lowered(y), shingle) >= least for x, y in pairs], pa.bool_())
             yield batch.select(["a", "b"]).filter(alike)
 
-    texts = only(docs, "doc_id", "text")
-    fields = ", ".join(f"f{i} long" for i in range(WIDE))
-    known = checkpointed(texts.mapInArrow(describe, f"doc_id long, digest binary, {fields}"))
+    def verified(links: DataFrame) -> DataFrame:
+        ends = links.select(F.col("a").alias("doc_id")).union(links.select("b")).distinct()
+        linked = checkpointed(texts.join(ends, "doc_id", "left_semi"))
+        both = links.join(linked.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a").join(linked.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
+        return checkpointed(both.select("a", "b", "a_text", "b_text").mapInArrow(compare, "a long, b long").distinct())
+
+    fields = ", ".join(f"{c} long" for c in (*[f"f{i}" for i in range(WIDE)], *extra, "size"))
+    known = checkpointed(texts.mapInArrow(describe, f"doc_id long, digest binary, {fields}, firsts array<long>"))
     nodes = checkpointed(known.groupBy("digest").agg(F.min("doc_id").alias("node"), *[F.first(f"f{i}").alias(f"f{i}") for i in range(WIDE)]).filter("node is not null"))
-    links = checkpointed(wide_links(nodes, threshold))
-    ends = links.select(F.col("a").alias("doc_id")).union(links.select("b")).distinct()
-    linked = checkpointed(texts.join(ends, "doc_id", "left_semi"))
-    both = links.join(linked.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a").join(linked.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
-    true = both.select("a", "b", "a_text", "b_text").mapInArrow(compare, "a long, b long").distinct()
-    named = nodes.join(components(true), "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    true = verified(checkpointed(wide_links(nodes, threshold)))
+    found = components(true)
+
+    own = known.withColumnRenamed("doc_id", "node").join(nodes.select("digest", "node"), ["digest", "node"], "left_semi")
+    held = own.select("node", F.explode("firsts").alias("h")).groupBy("h").agg(F.array_sort(F.collect_set("node")).alias("ids")).filter("size(ids) > 1")
+    groups = checkpointed(held.select("ids").distinct().withColumn("g", F.monotonically_increasing_id()))
+    shared = groups.select(F.explode("ids").alias("node")).distinct()
+    facts = checkpointed(own.join(shared, "node", "left_semi").select("node", "size", *extra).distinct())
+    tried = None
+    for centers in (8, 128, None):
+        pairs = open_pairs(groups, facts.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), least, centers)
+        pairs = checkpointed(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        if not pairs.isEmpty():
+            more = verified(pairs)
+            if not more.isEmpty():
+                true = true.unionByName(more)
+                found = checkpointed(components(true))
+        groups = groups.filter("size(ids) > 32")  # smaller ones are compared whole in the first round
+        if groups.isEmpty():
+            break
+    named = nodes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     return known.select("doc_id", "digest").join(named, "digest", "left").select("doc_id", "component_id")
 
 

@@ -150,6 +150,37 @@ def test_near_copies_match_brute_force(spark):
     assert sorted(r.doc_id for r in simhash_dedup.keep_one(frame(spark, rows, extra=True)).collect()) == sorted(set(label.values()))
 
 
+def brute_classes(rows, shingle=5, least=0.8):
+    """Each doc_id's class: components of all pairs that are alike."""
+    words = {r[0]: (r[1] or "").lower().encode().split() for r in rows}
+    label = {d: d for d in words}
+    for a, b in itertools.combinations(sorted(words), 2):
+        if label[a] != label[b] and simhash_dedup.shingle_similarity(words[a], words[b], shingle) >= least:
+            low, high = sorted((label[a], label[b]))
+            label = {d: low if x == high else x for d, x in label.items()}
+    return label
+
+
+def test_near_copies_by_truncation_addition_and_of_short_texts(spark):
+    rng = random.Random(21)
+    texts = []
+    for i in range(60):
+        w = prose(rng, [25, 80, 200, 400][i % 4]).split()
+        texts.append(w)
+        if i % 3 == 0:
+            texts.append(w[: len(w) - len(w) * 12 // 100])
+        elif i % 3 == 1:
+            texts.append(w + prose(rng, len(w) * 12 // 100).split())
+        else:
+            texts.append([*w[:1], rng.choice(WORDS), *w[2:]])
+    dense = prose(rng, 60).split()  # a group of over 32 nodes, some of them linked by chains only
+    texts += [dense[i // 10 : 60 - i % 10] + [f"end{i}"] for i in range(60)]
+    rows = [(i, " ".join(w), "en", "s", 1) for i, w in enumerate(texts)]
+    want = brute_classes(rows)
+    got = {r.doc_id: r.component_id for r in simhash_dedup.near_copies(frame(spark, rows)).collect()}
+    assert got == want and sum(want[i] != i for i in range(120)) > 50
+
+
 # --- op6
 
 
