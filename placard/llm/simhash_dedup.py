@@ -266,7 +266,9 @@ def wide_links(nodes: DataFrame, threshold: int = 23, leaf_size: int = 256, samp
     If four words differ in ``threshold`` bits together, one of them differs in
     a quarter at most; each word has a forest of its own for that. A leaf's
     links come by distance, in steps of 4 bits, so two nodes are connected by
-    links of their own step at most.
+    links of their own step at most. The forest is of candidates: where one of
+    them fails verification, a true link that it stands for is missing, and
+    the search of ``near_copies`` over verified components finds it.
     """
     spark, words = nodes.sparkSession, [f"f{i}" for i in range(WIDE)]
     total, each = nodes.count(), threshold // WIDE
