@@ -1,10 +1,13 @@
 """Line dedup by pairwise alignment of overlapping documents.
 
-Overlapping documents are found through shared lines. A line that few documents
-hold (at most ``rare``) pairs each of them with every earlier one. A commoner
-line pairs each document with the first that holds it, so no line is left out
-and the pairs of a line grow with its documents, not with their square. Exact
-copies of a whole text are set aside first: all of their lines are aligned with
+Overlapping documents are found through runs: from each line, and to each line,
+the fewest consecutive lines that reach ``block_words`` words. Each line of a deleted block is in a run that the
+earlier document holds too. A document is aligned with the first holder of each
+of its runs; where a run isn't deleted by that, with its next holders, twice as
+many each time, until it is or no earlier holder is left. So the result is that
+of aligning all earlier documents, and the pairs of a run grow with its
+documents, not with their square, unless alignment fails. The first of these
+steps takes ``rare`` holders. Exact copies of a whole text are set aside first: all of their lines are aligned with
 the first copy's, and only that one goes on.
 
 Each pair is aligned by patience diff: the lines that are unique in both
@@ -16,8 +19,8 @@ document.
 The work runs on 64-bit line hashes; texts are read for the hashes and for the
 result only.
 
-Edge cases: a null text has no line and stays null; blank lines never find or
-bound a block, but one inside a block goes with it; rows that repeat a doc_id
+Edge cases: a null text has no line and stays null; blank lines never find a
+block, but those that are aligned in one go with it; rows that repeat a doc_id
 with the same text are one document, and each row gets its result; those with
 different texts are aligned by the first of them, in order of text hash, and
 the others stay; a null doc_id stays as it is; an empty table gives an empty
@@ -30,8 +33,9 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from placard.llm.common import checkpointed, only, table, words
@@ -93,14 +97,47 @@ def deleted_lines(earlier: list[int], later: list[int], sizes: list[int], block_
     return out
 
 
-def candidate_pairs(lines: DataFrame, rare: int) -> DataFrame:
-    """(later, earlier) of documents that share a line; lines: doc_id and the hashes of its lines that aren't blank."""
-    held = checkpointed(lines.select("doc_id", F.explode_outer(F.array_distinct("hashes")).alias("h")).filter("h is not null"))
-    shared = checkpointed(held.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1"))
-    common = held.join(shared.filter(f"n > {rare}"), "h").filter("doc_id <> first").select(F.col("doc_id").alias("later"), F.col("first").alias("earlier"))
-    few = held.join(shared.filter(f"n <= {rare}").select("h"), "h").groupBy("h").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
-    pairs = few.select(F.posexplode("ids").alias("k", "later"), "ids").select("later", F.explode(F.slice("ids", F.lit(1), F.col("k"))).alias("earlier"))
-    return common.unionByName(pairs).distinct()
+def runs_of(sizes: list[int], block_words: int) -> set[tuple[int, int]]:
+    """(first, last) places of the shortest runs from each line, and to each line, of at least block_words words; sizes: words of the lines."""
+    out, hi, total = set(), 0, 0
+    for i in range(len(sizes)):  # the shortest from line i
+        while hi < len(sizes) and total < block_words:
+            total += sizes[hi]
+            hi += 1
+        if total < block_words:
+            break
+        out.add((i, hi - 1))
+        total -= sizes[i]
+    lo, total = 0, 0
+    for i in range(len(sizes)):  # the shortest to line i
+        total += sizes[i]
+        while total - sizes[lo] >= block_words:
+            total -= sizes[lo]
+            lo += 1
+        if total >= block_words:
+            out.add((lo, i))
+    return out
+
+
+def document_runs(originals: DataFrame, block_words: int) -> DataFrame:
+    """(doc_id, run, a, b): the hash and the first and last places of each run of originals (doc_id, hashes, sizes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest
+
+        for batch in batches:
+            ids, runs, firsts, lasts = [], [], [], []
+            for d, hashes, sizes in zip(batch.column("doc_id").to_pylist(), batch.column("hashes").to_pylist(), batch.column("sizes").to_pylist(), strict=True):
+                data = np.array(hashes, np.int64).tobytes()
+                for a, b in runs_of(sizes, block_words):
+                    ids.append(d)
+                    runs.append(xxh3_64_intdigest(data[8 * a : 8 * b + 8]))
+                    firsts.append(a)
+                    lasts.append(b)
+            columns = [pa.array(ids, pa.int64()), pa.array(np.array(runs, np.uint64).view(np.int64)), pa.array(firsts, pa.int32()), pa.array(lasts, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "run", "a", "b"])
+
+    return originals.select("doc_id", "hashes", "sizes").mapInArrow(run, "doc_id long, run long, a int, b int")
 
 
 def align(docs: DataFrame, rare: int = 8, block_words: int = 20) -> DataFrame:
@@ -112,11 +149,8 @@ def align(docs: DataFrame, rare: int = 8, block_words: int = 20) -> DataFrame:
     copies = known.join(firsts, "digest").filter("doc_id <> original").select("doc_id", F.filter(F.transform("sizes", lambda n, i: F.when(n >= 0, i)), lambda i: i.isNotNull()).alias("gone"), F.aggregate("sizes", F.lit(0), lambda s, n: s + n).alias("n"))
     copies = copies.filter(f"n >= {block_words}").select("doc_id", "gone")
     originals = checkpointed(known.join(firsts.select(F.col("original").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "hashes", "sizes"))
-    text_lines = originals.select("doc_id", F.filter(F.transform("hashes", lambda h, i: F.when(F.get("sizes", i) > 0, h)), lambda h: h.isNotNull()).alias("hashes"))
-    pairs = candidate_pairs(text_lines, rare)
     later = originals.select(F.col("doc_id").alias("later"), F.col("hashes").alias("later_hashes"), F.col("sizes").alias("later_sizes"))
     earlier = originals.select(F.col("doc_id").alias("earlier"), F.col("hashes").alias("earlier_hashes"))
-    both = pairs.join(earlier, "earlier").join(later, "later").select("later", "earlier_hashes", "later_hashes", "later_sizes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,7 +159,31 @@ def align(docs: DataFrame, rare: int = 8, block_words: int = 20) -> DataFrame:
             found = [(d, gone) for d, gone in found if gone]
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([g for _, g in found], pa.list_(pa.int32()))], ["doc_id", "gone"])
 
-    aligned = both.mapInArrow(run, "doc_id long, gone array<int>").select("doc_id", F.explode("gone").alias("i")).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("i")).alias("gone"))
+    def lines_gone(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(earlier, "earlier").join(later, "later").select("later", "earlier_hashes", "later_hashes", "later_sizes")
+        return both.mapInArrow(run, "doc_id long, gone array<int>").select("doc_id", F.explode("gone").alias("i"))
+
+    def grouped(found: DataFrame) -> DataFrame:
+        return checkpointed(found.distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("i")).alias("gone")))
+
+    all_runs = document_runs(originals, block_words)
+    shared = all_runs.groupBy("run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("run", "first")
+    held = checkpointed(all_runs.join(shared, "run"))
+    aligned = grouped(lines_gone(held.filter("doc_id > first").select(F.col("doc_id").alias("later"), F.col("first").alias("earlier")).distinct()))
+    # Runs that the first holder's alignment leaves, as where blocks come in another order; upto: holders tried.
+    left, upto, more = held.filter("doc_id > first"), 1, max(1, rare)
+    ranked = None
+    while True:
+        left = checkpointed(left.join(aligned, "doc_id", "left").filter(F.col("gone").isNull() | F.exists(F.sequence("a", "b"), lambda i: ~F.array_contains("gone", i))).select("doc_id", "run", "a", "b"))
+        if ranked is None:
+            by = Window.partitionBy("run").orderBy("doc_id")
+            ranked = checkpointed(held.join(left.select("run").distinct(), "run", "left_semi").select("run", "doc_id").distinct().select("run", F.col("doc_id").alias("earlier"), F.row_number().over(by).alias("rank")))
+        reach = left.join(ranked.filter(f"rank > {upto} and rank <= {upto + more}"), "run").filter("earlier < doc_id")
+        pairs = checkpointed(reach.select(F.col("doc_id").alias("later"), "earlier").distinct())
+        if pairs.isEmpty():
+            break
+        aligned = grouped(aligned.select("doc_id", F.explode("gone").alias("i")).unionByName(lines_gone(pairs)))
+        upto, more = upto + more, 2 * more
     gone = checkpointed(copies.unionByName(aligned).join(known.select("doc_id", "digest"), "doc_id")).withColumnsRenamed({"doc_id": "of_doc", "digest": "of_digest"})
     # The row travels as one struct, so its columns can't clash with the operator's own.
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))

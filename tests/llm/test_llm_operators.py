@@ -415,6 +415,37 @@ def test_line_dedup_matches_brute_force(spark):
     assert line_dedup.align(frame(spark, rows), rare=2).count() == len(rows)
 
 
+def brute_all_lines(rows, block_words=20):
+    """Each document aligned with all earlier ones."""
+    texts = {r[0]: (r[1] or "").split("\n") for r in rows}
+    n = lambda x: len(re.findall(r"[^\x20\x09-\x0D]+", x))
+    out = {}
+    for d, own in texts.items():
+        gone = set()
+        for e, other in texts.items():
+            if e < d:
+                gone |= set(range(len(own))) if other == own and sum(map(n, own)) >= block_words else set(line_dedup.deleted_lines(other, own, list(map(n, own)), block_words))
+        out[d] = "\n".join(x for i, x in enumerate(own) if i not in gone)
+    return out
+
+
+@pytest.mark.parametrize("rare", [8, 1])
+def test_blocks_of_common_lines_match_all_alignments(spark, rare):
+    rng = random.Random(31)
+    x, y, z = (prose(rng, 12) for _ in range(3))
+    own = lambda: prose(rng, 9)
+    texts = [f"{x}\n{own()}", f"{own()}\n{y}"] + [f"{own()}\n{line}\n{own()}" for line in (x, y) * 10]
+    texts += [f"{own()}\n{x}\n{y}\n{own()}" for _ in range(4)]
+    # Two blocks in turned order: the first holders' alignment takes only one of them.
+    p, q = (prose(rng, 30) for _ in range(2))
+    texts += [f"{p}\n{own()}\n{q}\n{z}" for _ in range(12)] + [f"{own()}\n{q}\n\n{p}\n{own()}" for _ in range(5)]
+    texts += ["\n".join(rng.choice([x, y, z, "", "a b c"]) for _ in range(rng.randint(2, 9))) for _ in range(40)]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.text for r in line_dedup.align(frame(spark, rows), rare=rare).collect()}
+    want = brute_all_lines(rows)
+    assert got == want and want != brute_lines(rows)
+
+
 def test_patience_blocks():
     a, b = list("abcdefgh"), list("xabcyefghz")
     assert line_dedup.common_blocks(a, b) == [(0, 1, 3), (4, 5, 4)]
