@@ -5,15 +5,18 @@ its share of all words met in URLs; the Viterbi path over a name's cuts is the
 likeliest split into words. A multinomial naive Bayes model with Laplace
 smoothing then scores the words of host and path.
 
-The unigram counts cover all URLs; the ``vocabulary`` commonest words are kept.
-The classifier is fitted on ``sample_rows`` distinct URLs (those of least hash)
-labelled by seed words: a URL whose own parts, as they stand, name one is a
-block example.
+The unigram counts cover all paths, the text of all pages where there is html,
+and the parts of host names. A host's parts may be words strung together, so
+they count once for each further host that has them, however many rows a host
+has; a name of one host only isn't evidence for itself. The ``vocabulary``
+commonest words are kept. The classifier is fitted on ``sample_rows`` distinct
+URLs (those of least hash) labelled by seed words: a URL whose host's words,
+after the split, name one is a block example.
 
 Edge cases: a null url, or one without "://", has an empty host and path and
 takes the model's verdict on no words, which is the prior; repeated rows are
-judged one by one; an empty table gives an empty result; further columns are
-ignored; a very long name is split in linear time, words of up to 24 letters.
+judged one by one; an empty table gives an empty result; further columns but
+html are ignored; a very long name is split in linear time, words of up to 24 letters.
 """
 
 from __future__ import annotations
@@ -106,11 +109,16 @@ class Model:
         return self.prior + sum(self.odds.get(w, 0.0) for w in words)
 
 
-def fit(urls: DataFrame, vocabulary: int = 50_000, sample_rows: int = 20_000, seeds: tuple[str, ...] = BLOCK_SEEDS) -> Model:
-    """The model of urls (host, path). What reaches the driver is bounded by the two parameters."""
+def fit(urls: DataFrame, vocabulary: int = 50_000, sample_rows: int = 20_000, seeds: tuple[str, ...] = BLOCK_SEEDS, texts: DataFrame | None = None) -> Model:
+    """The model of urls (host, path), with the words of texts (text). What reaches the driver is bounded by the two parameters."""
     spark = urls.sparkSession
-    names = F.filter(F.split(F.lower(F.concat_ws("/", "host", "path")), "[^a-z]+"), lambda w: w != "")
-    counted = urls.select(F.explode(names).alias("word")).groupBy("word").count()
+    names = lambda text: F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: w != "")
+    counted = urls.select(F.explode(names(F.col("path"))).alias("word")).groupBy("word").count()
+    hosts = urls.select("host").distinct().select(F.explode(F.array_distinct(names(F.col("host")))).alias("word")).groupBy("word").agg((F.count("*") - 1).alias("count"))
+    counted = counted.unionByName(hosts)
+    if texts is not None:
+        counted = counted.unionByName(texts.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).filter(F.col("word").rlike("^[a-z]+$")).groupBy("word").count())
+    counted = counted.groupBy("word").agg(F.sum("count").alias("count")).filter("count > 0")
     counts = {r["word"]: r["count"] for r in counted.orderBy(F.desc("count"), "word").limit(vocabulary).collect()}
     model = Model(counts)
     shared = spark.sparkContext.broadcast(model)
@@ -120,19 +128,25 @@ def fit(urls: DataFrame, vocabulary: int = 50_000, sample_rows: int = 20_000, se
         return pd.Series([shared.value.words(h, p) for h, p in zip(host, path, strict=True)], dtype=object)
 
     sample = urls.groupBy("host", "path").agg(F.lit(1)).orderBy(F.xxhash64("host", "path"), "host", "path").limit(sample_rows)
-    seeded = F.exists(F.split(F.lower(F.col("host")), "[^a-z]+"), lambda w: w.isin(*seeds))
-    examples = checkpointed(sample.select(seeded.cast("int").alias("block"), split("host", "path").alias("words")))
+    seeded = F.exists("words", lambda w: w.isin(*seeds))  # words of the path are marked
+    examples = checkpointed(sample.select(split("host", "path").alias("words")).select(seeded.cast("int").alias("block"), "words"))
     uses = examples.select("block", F.explode("words").alias("word")).groupBy("word").agg(F.sum("block").alias("b"), F.sum(1 - F.col("block")).alias("a"))
     size = examples.agg(F.coalesce(F.sum("block"), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
     model.fit([(r.word, r.b, r.a) for r in uses.orderBy(F.desc(F.col("a") + F.col("b")), "word").limit(vocabulary).collect()], size.b, size.n - size.b)
     return model
 
 
+def page_text(html: Column) -> Column:
+    """The text of a page, without scripts, styles, comments and tags."""
+    return F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;", " ")
+
+
 def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, model: Model | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, words and score of every row of pages (page_id, url)."""
     host, path = host_and_path(F.col("url"))
     parts = only(pages, "page_id", "url").select("page_id", host.alias("host"), path.alias("path"))
-    shared = pages.sparkSession.sparkContext.broadcast(model or fit(parts.select("host", "path")))
+    texts = pages.select(page_text(F.col("html")).alias("text")) if "html" in pages.columns else None
+    shared = pages.sparkSession.sparkContext.broadcast(model or fit(parts.select("host", "path"), texts=texts))
 
     @F.pandas_udf("struct<words:array<string>,score:double>")
     def scored(host: pd.Series, path: pd.Series) -> pd.DataFrame:

@@ -383,6 +383,16 @@ def test_viterbi_split_and_held_out_hosts(spark):
     assert right >= 190
 
 
+def test_concatenated_hosts_of_the_fitted_table_are_split(spark):
+    words = ["garden", "river", "music", "casino", "lucky", "stone"]
+    html = "<p>" + " ".join(words * 20) + "</p><script>gardenriver()</script>"
+    hosts = ["gardenriver"] * 200 + ["luckycasino"] * 100 + ["musicstone"] * 3 + ["zzqqyy"]
+    rows = [(i, f"http://{h}.test/{i}", html if i % 50 == 0 else None) for i, h in enumerate(hosts)]
+    got = {r.host: (list(r.words), r.verdict) for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got["gardenriver.test"] == (["garden", "river", "test"], "allow") and got["luckycasino.test"] == (["lucky", "casino", "test"], "block")
+    assert got["musicstone.test"][0] == ["music", "stone", "test"] and got["zzqqyy.test"][0] == ["zzqqyy", "test"]
+
+
 # --- op9
 
 
