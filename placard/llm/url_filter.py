@@ -8,8 +8,9 @@ smoothing then scores the words of host and path.
 The unigram counts cover all paths, the text of all pages where there is html,
 and the parts of host names. A host's parts may be words strung together, so
 they count once for each further host that has them, however many rows a host
-has; a name of one host only isn't evidence for itself. The ``vocabulary``
-commonest words are kept. The classifier is fitted on ``sample_rows`` distinct
+has; a name of one host only isn't evidence for itself. Of all words counted, those
+that names of the table contain are kept, as no other can be part of a split;
+the total is over all. The classifier is fitted on ``sample_rows`` distinct
 URLs (those of least hash) labelled by seed words: a URL whose host's words,
 after the split, name one is a block example.
 
@@ -79,8 +80,8 @@ def split_name(name: str, cost: dict[str, float], unknown: float) -> list[str]:
 class Model:
     """Unigram costs for the split and log odds for the verdict."""
 
-    def __init__(self, counts: dict[str, int]):
-        self.total = sum(counts.values()) + 1
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        self.total = (sum(counts.values()) if total is None else total) + 1
         self.cost = {w: math.log(self.total) - math.log(n) for w, n in counts.items() if len(w) <= LONGEST}
         self.unknown = math.log(self.total)
         self.odds: dict[str, float] = {}
@@ -110,7 +111,9 @@ class Model:
 
 
 def fit(urls: DataFrame, vocabulary: int = 50_000, sample_rows: int = 20_000, seeds: tuple[str, ...] = BLOCK_SEEDS, texts: DataFrame | None = None) -> Model:
-    """The model of urls (host, path), with the words of texts (text). What reaches the driver is bounded by the two parameters."""
+    """The model of urls (host, path), with the words of texts (text). The words of the names reach
+    the driver, all of them; the classifier's part is bounded by the two parameters.
+    """
     spark = urls.sparkSession
     names = lambda text: F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: w != "")
     counted = urls.select(F.explode(names(F.col("path"))).alias("word")).groupBy("word").count()
@@ -119,8 +122,12 @@ def fit(urls: DataFrame, vocabulary: int = 50_000, sample_rows: int = 20_000, se
     if texts is not None:
         counted = counted.unionByName(texts.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).filter(F.col("word").rlike("^[a-z]+$")).groupBy("word").count())
     counted = counted.groupBy("word").agg(F.sum("count").alias("count")).filter("count > 0")
-    counts = {r["word"]: r["count"] for r in counted.orderBy(F.desc("count"), "word").limit(vocabulary).collect()}
-    model = Model(counts)
+    counted = checkpointed(counted)
+    total = counted.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n")).first().n
+    split_up = urls.select(F.explode(F.array_distinct(names(F.concat_ws("/", "host", "path")))).alias("name")).distinct()
+    pieces = split_up.selectExpr(f"explode(flatten(transform(sequence(1, length(name)), i -> transform(sequence(1, least({LONGEST}, length(name) - i + 1)), n -> substring(name, i, n))))) as word").distinct()
+    counts = {r["word"]: r["count"] for r in counted.join(pieces, "word", "left_semi").collect()}
+    model = Model(counts, total)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("array<string>")

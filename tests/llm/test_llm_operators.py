@@ -393,6 +393,14 @@ def test_concatenated_hosts_of_the_fitted_table_are_split(spark):
     assert got["musicstone.test"][0] == ["music", "stone", "test"] and got["zzqqyy.test"][0] == ["zzqqyy", "test"]
 
 
+def test_rare_words_split_names_too(spark):
+    from pyspark.sql import functions as F
+
+    urls = spark.createDataFrame([("rareseldom.test", "/common/often"), ("x.test", "/common/often/rare/seldom"), ("y.test", "/common/often")], "host string, path string")
+    model = url_filter.fit(urls.select(F.col("host"), F.col("path")), vocabulary=2)
+    assert model.split("rareseldom") == ("rare", "seldom") and model.total == 11
+
+
 # --- op9
 
 
