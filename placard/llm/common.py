@@ -25,12 +25,15 @@ def words(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as a URI.
 
-    The cluster names it in spark.checkpoint.dir. Only where that is unset, as
-    in tests on one machine, is a temporary folder made and set.
+    The cluster names it in spark.checkpoint.dir. Only where that is unset and
+    all runs on one machine, as in tests, is a temporary folder made and set.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="placard-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="placard-"))
     return context.getCheckpointDir()
 
 
@@ -45,6 +48,23 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """The same rows, written to the shared folder as Parquet and read again: for rows with texts, of which later steps read some columns."""
+    path = fresh_path(df.sparkSession, "staged")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def small(df: DataFrame, rows: int = 1 << 20) -> DataFrame:
+    """df, a computed table of a few short columns, marked for a broadcast if it has at most so many rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """Just these columns, so that further ones can't clash with an operator's own."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
+
+
+def packed(df: DataFrame, *columns: str) -> DataFrame:
+    """row (all columns as a struct, whatever their names) and these columns beside it."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[F.col(f"`{c}`") for c in columns])

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placard.llm.common import checkpointed, only, table
+from placard.llm.common import checkpointed, only, small, table
 
 SHINGLE = 5
 #: Signatures of up to this many hashes are broadcast (under 100 MB); more are joined by a shuffle.
@@ -37,26 +37,30 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != F.lit(""))
 
 
-def _shingles(of: str, make) -> Column:
-    """The distinct shingles of a column of words, each put through ``make``."""
-    each = F.transform(F.sequence(F.lit(1), F.size(of) - (SHINGLE - 1)), lambda i: make(F.slice(of, i, SHINGLE)))
-    return F.array_distinct(F.when(F.size(of) >= SHINGLE, each).otherwise(F.array().cast("array<bigint>" if make is F.xxhash64 else "array<string>")))
+def _shingles(words: str, join) -> Column:
+    """The distinct shingles of an array column (words, or their hashes); ``join`` makes one of its parts."""
+    starts = F.slice(words, F.lit(1), F.greatest(F.size(words) - (SHINGLE - 1), F.lit(0)))
+    return F.array_distinct(F.transform(starts, lambda first, i: join(first, *[F.get(words, i + k) for k in range(1, SHINGLE)])))
 
 
-def _exact(words: Column) -> Column:
-    return F.array_join(words, " ")
+def _hashed(docs: DataFrame) -> DataFrame:
+    """docs (text) with hashes: those of the distinct shingles. Each word is hashed once."""
+    return docs.withColumn("words", _words(F.col("text"))).withColumn("each", F.transform("words", lambda w: F.xxhash64(w))).withColumn("hashes", _shingles("each", F.xxhash64))
+
+
+def _exact(*words: Column) -> Column:
+    return F.concat_ws(" ", *words)
 
 
 def candidates(docs: DataFrame, items: DataFrame, least: float = 0.8) -> DataFrame:
     """(doc_id, item_id) with every pair of at least this containment, and few others."""
     percent = round(100 * least)
-    sized = items.withColumn("words", _words(F.col("text"))).withColumn("hashes", F.array_sort(_shingles("words", F.xxhash64))).withColumn("q", F.size("hashes"))
+    sized = _hashed(items).withColumn("hashes", F.array_sort("hashes")).withColumn("q", F.size("hashes"))
     signature = sized.select("item_id", F.expr(f"(q * {percent} + 99) div 100").alias("need"), F.explode_outer(F.expr(f"slice(hashes, 1, (q * {100 - percent}) div 100 + 1)")).alias("h"))
     signature = checkpointed(signature)
-    small = signature.count() <= BROADCAST_ROWS
     # Outer: a plain explode's inferred filter would compute the hashes twice, within the lambda. Nulls join nothing.
-    held = docs.withColumn("words", _words(F.col("text"))).withColumn("hashes", _shingles("words", F.xxhash64)).select("doc_id", F.size("hashes").alias("size"), F.explode_outer("hashes").alias("h"))
-    found = held.join(F.broadcast(signature) if small else signature, "h").filter("size >= need")
+    held = _hashed(docs).select("doc_id", F.size("hashes").alias("size"), F.explode_outer("hashes").alias("h"))
+    found = held.join(small(signature, BROADCAST_ROWS), "h").filter("size >= need")
     return found.select("doc_id", "item_id").distinct()
 
 
@@ -65,7 +69,7 @@ def contained_items(docs: DataFrame, items: DataFrame, least: float = 0.8) -> Da
     docs = only(docs, "doc_id", "text").filter("doc_id is not null")
     items = only(items, "item_id", "text").filter("item_id is not null")
     found = checkpointed(candidates(docs, items, least).groupBy("doc_id").agg(F.collect_set("item_id").alias("item_ids")))
-    held = docs.join(found, "doc_id").withColumn("words", _words(F.col("text"))).select("doc_id", "item_ids", _shingles("words", _exact).alias("held"))
+    held = docs.join(small(found), "doc_id").withColumn("words", _words(F.col("text"))).select("doc_id", "item_ids", _shingles("words", _exact).alias("held"))
     wanted = items.withColumn("item_words", _words(F.col("text"))).select("item_id", _shingles("item_words", _exact).alias("wanted"))
     pairs = held.select("doc_id", "held", F.explode("item_ids").alias("item_id")).join(wanted, "item_id")
     counted = pairs.select("doc_id", "item_id", F.size(F.array_intersect("held", "wanted")).cast("long").alias("n_shared"), F.size("wanted").cast("long").alias("n_item"))
@@ -73,8 +77,14 @@ def contained_items(docs: DataFrame, items: DataFrame, least: float = 0.8) -> Da
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, least: float = 0.8) -> DataFrame:
-    """docs without those that hold a test item."""
-    return docs.join(contained_items(docs, items, least).select("doc_id").distinct(), "doc_id", "left_anti")
+    """docs without those that hold a test item.
+
+    Rows that repeat a doc_id go together if one of them holds an item; rows
+    without doc_id stay; null and empty texts hold nothing; an item table
+    without rows leaves all.
+    """
+    found = checkpointed(contained_items(docs, items, least).select("doc_id").distinct())
+    return docs.join(small(found), "doc_id", "left_anti").select(*[docs[f"`{c}`"] for c in docs.columns])
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placard.llm.common import SPACE, checkpointed, only, table, words
+from placard.llm.common import SPACE, checkpointed, only, packed, staged, table, words
 
 SYMBOLS = "#*$%&|<>"
 #: Each measure: the expression, its least quartile distance, and whether low values count too.
@@ -36,6 +36,7 @@ MEASURES = {
     "word_length": ("10 * word_chars div n_words", 10, True),
 }
 WINDOW = 8
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
 def bin_of(value: str) -> str:
@@ -44,14 +45,15 @@ def bin_of(value: str) -> str:
     return f"case when {value} < 128 then {value} {steps} else {1 << 39} end"
 
 
-def base_measures(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the counts of every text: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words."""
+def base_measures(docs: DataFrame, *carried: str) -> DataFrame:
+    """The carried columns, lang, source and the counts of every text: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words."""
     text = F.coalesce("text", F.lit(""))
-    tokens = only(docs, "doc_id", "lang", "source", "text").withColumn("words", words(F.col("text")))
+    # Each word is hashed once; a window's hash combines those of its words.
+    tokens = only(docs, *carried, "lang", "source", "text").withColumn("words", words(F.col("text"))).withColumn("each", F.transform("words", lambda w: F.xxhash64(w)))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]"))
-    hashed = F.transform(F.sequence(F.lit(1), F.size("words") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("words", i, WINDOW)))
+    hashed = F.transform(F.slice("each", F.lit(1), F.size("each") - (WINDOW - 1)), lambda h, i: F.xxhash64(h, *[F.get("each", i + k) for k in range(1, WINDOW)]))
     counted = tokens.select(
-        "doc_id", "lang", "source",
+        *carried, "lang", "source",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -102,20 +104,23 @@ def fences(measured: DataFrame, reach: int = 3, least_docs: int = 30) -> DataFra
     return fenced.groupBy("lang", "source").agg(*out)
 
 
-def judge(docs: DataFrame, reach: int = 3, least_docs: int = 30) -> DataFrame:
-    """Every row's counts, base_failed and kept."""
-    measured = checkpointed(base_measures(docs))
-    limits = fences(measured, reach, least_docs).withColumnsRenamed({"lang": "of_lang", "source": "of_source"})
+def _judged(measured: DataFrame, reach: int, least_docs: int) -> DataFrame:
+    limits = fences(measured.select("lang", "source", *COUNTS), reach, least_docs).withColumnsRenamed({"lang": "of_lang", "source": "of_source"})
     outside = [f"({e}) > {m}_high" for m, (e, _, _) in MEASURES.items()] + [f"({e}) < {m}_low" for m, (e, _, low) in MEASURES.items() if low]
     joined = measured.join(limits, F.expr("lang <=> of_lang and source <=> of_source"), "left")
     failed = F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words")
     return joined.withColumn("base_failed", failed).withColumn("kept", F.expr(f"case when base_failed then false else not ({' or '.join(outside)}) end")).drop("of_lang", "of_source")
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
-    """docs without the rejected ones; rows that repeat a doc_id are judged together and stay if one is kept."""
-    rejected = judge(docs).groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("not kept").select("doc_id")
-    return docs.join(rejected, "doc_id", "left_anti")
+def judge(docs: DataFrame, reach: int = 3, least_docs: int = 30) -> DataFrame:
+    """Every row's counts, base_failed and kept."""
+    return _judged(checkpointed(base_measures(docs, "doc_id")), reach, least_docs)
+
+
+def keep_good(docs: DataFrame, reach: int = 3, least_docs: int = 30) -> DataFrame:
+    """docs without the rejected rows; each row is judged by itself, so null and repeated doc_ids make no difference."""
+    measured = staged(base_measures(packed(docs, "lang", "source", "text"), "row"))
+    return _judged(measured, reach, least_docs).filter("kept").select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

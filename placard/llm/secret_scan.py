@@ -41,15 +41,24 @@ ALLOWED = tuple(
     for p in (
         r"[0-9]+",
         r"[A-Za-z]?[a-z]+|[A-Z]+",  # a word
-        r"(?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]+)(?:[-_/=+](?:[A-Za-z]?[a-z]*|[A-Z]+|[0-9]+))+",  # words and numbers, joined
         r"(?:[A-Z][a-z]+){2,}|[a-z]+(?:[A-Z][a-z]+)+",  # camel case
         r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}",
         r"(.{1,4})\1{4,}.{0,4}",  # a short pattern again and again
     )
 )
+#: What joins words and numbers in names, slugs and paths, and what may stand between; the first part is never empty.
+JOINT, PART = re.compile(r"[-_/=+]"), re.compile(r"[A-Za-z]?[a-z]*|[A-Z]+|[0-9]+")
 _PLOGP = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 
 
+def suppressed(run: str) -> bool:
+    """Whether the allow-list takes a string for no secret; in time linear in its length."""
+    if any(a.fullmatch(run) for a in ALLOWED):
+        return True
+    first, *rest = JOINT.split(run)
+    return bool(first and rest) and all(PART.fullmatch(p) for p in (first, *rest))
+
+
 def high_entropy(run: str, least: float) -> list[tuple[int, int]]:
     """The spans of a run that windows of at least this entropy cover."""
     if len(run) < WINDOW:
@@ -78,12 +87,12 @@ def high_entropy(run: str, least: float) -> list[tuple[int, int]]:
 
 def entropy_spans(run: str) -> list[tuple[int, int]]:
     """The spans of a candidate string that no class's allow-list suppresses; spans that overlap are joined."""
-    if any(a.fullmatch(run) for a in ALLOWED):
+    if suppressed(run):
         return []
     found = []
     for characters, least in CLASSES:
         for match in characters.finditer(run):
-            if not any(a.fullmatch(match[0]) for a in ALLOWED):
+            if not suppressed(match[0]):
                 found += [(match.start() + a, match.start() + b) for a, b in high_entropy(match[0], least)]
     joined: list[tuple[int, int]] = []
     for a, b in sorted(found):
@@ -124,7 +133,12 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """docs with each span's text replaced; overlapping spans become one mark."""
+    """docs with each span's text replaced; overlapping spans become one mark.
+
+    Null texts stay null, empty ones empty; every row is redacted by itself, so
+    null and repeated doc_ids make no difference; other columns stay as they are.
+    """
+
     def cut(text: str | None) -> str | None:
         out, at = [], 0
         for a, _, b in scan(text):

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placard.llm.common import checkpointed, only
+from placard.llm.common import checkpointed, only, small, staged
 
 BITS = 64
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -351,20 +351,27 @@ def shingle_hashes(words: list[bytes], shingle: int, memo: dict[bytes, int]) ->
     return np.unique(out ^ out >> np.uint64(32))
 
 
-def prefix(hashes: np.ndarray, least: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The hashes of which two sets with a Jaccard similarity of at least ``least`` share one or more.
+BANDS, BAND_ROWS = 32, 4
 
-    Such sets share ceil(least * n) of the n hashes of each, so the first
-    n - ceil(least * n) + 1 of both, in whatever order all sets use, have one
-    in common. The order here is by count in a sample (common, ascending, and
-    counts), then by hash: rare shingles pair few texts.
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band of MinHash values of a set of hashes.
+
+    Two sets of Jaccard similarity s share the key of a band of 4 values with
+    probability s^4, so at 0.8 and over they share none of 32 with less than 1e-7.
     """
-    n = len(hashes)
-    seen = np.zeros(n, np.int64)
-    if n and len(common):
-        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-        seen = np.where(common[at] == hashes, counts[at], 0)
-    return hashes[np.lexsort((hashes, seen))[: n - math.ceil(least * n - 1e-9) + 1]]
+    rng = np.random.default_rng(5)
+    salt, odd = rng.integers(0, 1 << 64, (2, BANDS * BAND_ROWS), dtype=np.uint64)
+    odd |= np.uint64(1)
+    least = np.full(BANDS * BAND_ROWS, np.uint64((1 << 64) - 1))
+    for at in range(0, len(hashes), 1 << 13):
+        mixed = (hashes[at : at + (1 << 13), None] ^ salt) * odd
+        np.minimum(least, (mixed ^ mixed >> np.uint64(31)).min(axis=0), out=least)
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for values in least.reshape(BANDS, BAND_ROWS).T:
+        keys = (keys ^ values) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(32)
+    return keys
 
 
 def parity(hashes: np.ndarray) -> np.ndarray:
@@ -372,86 +379,50 @@ def parity(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=64 * WIDE).astype(np.uint8) & 1).view("<u8").astype(np.uint64)
 
 
-def sampled_counts(texts: DataFrame, shingle: int, sample_rows: int = 20_000, most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of shingles that several texts of a sample hold, ascending, and their counts. They only order the shingles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[bytes, int] = {}
-        for batch in batches:
-            found = [shingle_hashes(_lowered(t), shingle, memo) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found or [np.zeros(0, np.uint64)]).view(np.int64))], ["h"])
+def open_pairs(entries: DataFrame, found: DataFrame, targets: int | None, whole: int = 32) -> DataFrame:
+    """(a, b): pairs of nodes of different components that share a key.
 
-    share = max(1, texts.count() // sample_rows)
-    counted = texts.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).distinct().mapInArrow(run, "h long").groupBy("h").count().filter("count > 3")
-    top = counted.orderBy(F.desc("count"), "h").limit(most).toArrow()
-    hashes, counts = np.asarray(top.column("h")).view(np.uint64), np.asarray(top.column("count"))
-    order = np.argsort(hashes)
-    return hashes[order], counts[order]
+    entries: key, node; found: node, component. A key's nodes outside its
+    largest component are paired with its nodes: with all of them where the
+    key has at most ``whole``, else with about ``targets`` (None: all). Counts
+    are combined before the shuffle and no group is collected.
+    """
+    named = entries.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = named.groupBy("key", "component").agg(F.count("*").alias("n"))
+    keys = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("components"), F.max_by("component", F.struct("n", "component")).alias("main")).filter("components > 1")
+    placed = checkpointed(named.join(keys.select("key", "n", "main"), "key"))
+    asked = placed if targets is None else placed.filter(f"n <= {whole} or pmod(xxhash64(node), n) < {targets}")
+    pairs = placed.filter("component <> main").select("key", "node", "component").join(asked.select("key", F.col("node").alias("other"), F.col("component").alias("of_other")), "key").filter("component <> of_other")
+    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def open_pairs(groups: DataFrame, facts: DataFrame, least: float, centers: int | None, small: int = 32) -> DataFrame:
-    """(a, b): pairs of a group's nodes, of different components, whose sizes and parities allow the similarity.
+def similar_enough(pairs: DataFrame, facts: DataFrame, least: float) -> DataFrame:
+    """pairs (a, b) whose sizes and parities (facts: node, size, p0 to p3) allow the similarity."""
+    end = lambda e: facts.select(F.col("node").alias(e), *[F.col(c).alias(f"{e}_{c}") for c in facts.columns if c != "node"])
+    apart = " + ".join(f"bit_count(a_p{i} ^ b_p{i})" for i in range(WIDE))
+    fits = f"least(a_size, b_size) >= {least} * greatest(a_size, b_size) - 1e-9 and {apart} <= {(1 - least) / (1 + least)} * (a_size + b_size) + 1e-9"
+    return pairs.join(end("a"), "a").join(end("b"), "b").filter(fits).select("a", "b")
 
-    groups: g, ids (array of nodes); facts: node, component, size and parities. In
-    a group of over ``small`` nodes only ``centers`` nodes outside its largest
-    component are paired with the others; None pairs all.
-    """
-    fields = ["node", "component", "size", *[f"p{i}" for i in range(WIDE)]]
-    each = groups.select("g", F.explode("ids").alias("node")).join(facts, "node")
-    whole = each.groupBy("g").agg(F.collect_list(F.struct(*fields)).alias("all"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("all")
-    ratio = (1 - least) / (1 + least)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("all")
-            ends, flat = np.asarray(lists.offsets), lists.values
-            columns = {f: np.asarray(flat.field(i)) for i, f in enumerate(fields)}
-            out: list[np.ndarray] = []
-            for lo, hi in itertools.pairwise(ends.tolist()):
-                node, component, size = (columns[f][lo:hi] for f in fields[:3])
-                bits = [columns[f][lo:hi].view(np.uint64) for f in fields[3:]]
-                names, place, n = np.unique(component, return_inverse=True, return_counts=True)
-                rest = np.nonzero(place != int(np.argmax(n)))[0]
-                rest = rest[np.argsort(node[rest])]
-                if centers is not None and hi - lo > small:
-                    rest = rest[:centers]
-                for i in rest.tolist():
-                    apart = np.zeros(hi - lo, np.int64)
-                    for b in bits:
-                        apart += np.bitwise_count(b ^ b[i])
-                    fits = (place != place[i]) & (np.minimum(size, size[i]) >= least * np.maximum(size, size[i]) - 1e-9) & (apart <= ratio * (size + size[i]) + 1e-9)
-                    other = node[fits]
-                    out.append(np.stack([np.minimum(other, node[i]), np.maximum(other, node[i])]))
-                if sum(x.shape[1] for x in out) > 1 << 16:
-                    yield _pairs(out)
-                    out = []
-            yield _pairs(out)
-
-    return whole.mapInArrow(run, "a long, b long").distinct()
-
-
-def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
-    both = np.concatenate(found or [np.zeros((2, 0), np.int64)], axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(both[0], pa.int64()), pa.array(both[1], pa.int64())], ["a", "b"])
-
-
-def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, threshold: int = 23) -> DataFrame:
+def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, threshold: int = 23, targets: tuple[int, ...] = (4, 64)) -> DataFrame:
     """(doc_id, component_id) for every row: classes of texts linked by a shingle similarity of at least ``least``.
 
     Two searches, and each candidate link is verified with the exact shingles
     of both texts. The first takes texts whose distinct words have 256-bit
     SimHashes within ``threshold`` bits; it joins most copies with changed
     words at little cost, whatever their number. The second completes the
-    classes: texts that share one of their first shingles (``prefix``), which
-    every pair of the similarity does, are compared unless verified links join
-    them already. Large groups are first compared with a few of their nodes,
-    then with more, and at last all that is still apart.
+    classes: texts that share a key of MinHash values are compared unless
+    verified links join them already. Keys of many texts are first compared
+    with a few of these, then with more, and at last all that is still apart.
+
+    A null text counts as empty, and texts without words are one class; rows
+    that repeat a doc_id share the lesser of their classes' ids only if their
+    texts are linked; a row without doc_id gets the class of the documents
+    with its very words, else null.
     """
 
     texts = only(docs, "doc_id", "text")
-    common, counts = sampled_counts(texts, shingle)
-    order = docs.sparkSession.sparkContext.broadcast((common, counts))
-    extra = [f"p{i}" for i in range(WIDE)]
+    fields = [*[f"f{i}" for i in range(WIDE)], *[f"p{i}" for i in range(WIDE)], "size"]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
@@ -460,13 +431,11 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, threshold
         word_memo: dict[bytes, int] = {}
         for batch in batches:
             words = [_lowered(t) for t in batch.column("text").to_pylist()]
-            fps = np.array([wide_fingerprint(w, memo) for w in words], np.uint64).reshape(-1, WIDE).view(np.int64)
             digests = pa.array([xxh3_128_digest(b" ".join(w)) for w in words], pa.binary())
             hashes = [shingle_hashes(w, shingle, word_memo) for w in words]
-            bits = np.array([parity(h) for h in hashes], np.uint64).reshape(-1, WIDE).view(np.int64)
-            firsts = pa.array([prefix(h, least, *order.value).view(np.int64) for h in hashes], pa.list_(pa.int64()))
-            columns = [batch.column("doc_id"), digests, *[pa.array(np.ascontiguousarray(x[:, i])) for x in (fps, bits) for i in range(WIDE)], pa.array([len(h) for h in hashes], pa.int64()), firsts]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", *[f"f{i}" for i in range(WIDE)], *extra, "size", "firsts"])
+            numbers = np.array([np.concatenate((wide_fingerprint(w, memo), parity(h), [np.uint64(len(h))])) for w, h in zip(words, hashes, strict=True)], np.uint64).reshape(-1, len(fields)).view(np.int64)
+            keys = pa.array([band_keys(h).view(np.int64) if len(h) else [] for h in hashes], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), digests, *[pa.array(np.ascontiguousarray(n)) for n in numbers.T], keys], ["doc_id", "digest", *fields, "keys"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -475,35 +444,28 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, threshold
             yield batch.select(["a", "b"]).filter(alike)
 
     def verified(links: DataFrame) -> DataFrame:
-        ends = links.select(F.col("a").alias("doc_id")).union(links.select("b")).distinct()
-        linked = checkpointed(texts.join(ends, "doc_id", "left_semi"))
+        ends = checkpointed(links.select(F.col("a").alias("doc_id")).union(links.select("b")).distinct())
+        linked = staged(texts.join(small(ends), "doc_id", "left_semi"))
         both = links.join(linked.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a").join(linked.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
         return checkpointed(both.select("a", "b", "a_text", "b_text").mapInArrow(compare, "a long, b long").distinct())
 
-    fields = ", ".join(f"{c} long" for c in (*[f"f{i}" for i in range(WIDE)], *extra, "size"))
-    known = checkpointed(texts.mapInArrow(describe, f"doc_id long, digest binary, {fields}, firsts array<long>"))
-    nodes = checkpointed(known.groupBy("digest").agg(F.min("doc_id").alias("node"), *[F.first(f"f{i}").alias(f"f{i}") for i in range(WIDE)]).filter("node is not null"))
+    known = staged(texts.mapInArrow(describe, f"doc_id long, digest binary, {', '.join(f'{c} long' for c in fields)}, keys array<long>"))
+    nodes = checkpointed(known.groupBy("digest").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in fields]).filter("node is not null"))
     true = verified(checkpointed(wide_links(nodes, threshold)))
     found = components(true)
 
-    own = known.withColumnRenamed("doc_id", "node").join(nodes.select("digest", "node"), ["digest", "node"], "left_semi")
-    held = own.select("node", F.explode("firsts").alias("h")).groupBy("h").agg(F.array_sort(F.collect_set("node")).alias("ids")).filter("size(ids) > 1")
-    groups = checkpointed(held.select("ids").distinct().withColumn("g", F.monotonically_increasing_id()))
-    shared = groups.select(F.explode("ids").alias("node")).distinct()
-    facts = checkpointed(own.join(shared, "node", "left_semi").select("node", "size", *extra).distinct())
+    own = known.join(nodes.select("digest", "node"), "digest").filter("doc_id = node").select("node", F.explode("keys").alias("key")).distinct()
+    entries, facts = checkpointed(own), nodes.select("node", "size", *[f"p{i}" for i in range(WIDE)])
     tried = None
-    for centers in (8, 128, None):
-        pairs = open_pairs(groups, facts.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), least, centers)
-        pairs = checkpointed(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+    for some in (*targets, None):
+        pairs = open_pairs(entries, found, some)
+        pairs = checkpointed(similar_enough(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), facts, least))
         tried = pairs if tried is None else tried.unionByName(pairs)
         if not pairs.isEmpty():
             more = verified(pairs)
             if not more.isEmpty():
                 true = true.unionByName(more)
                 found = checkpointed(components(true))
-        groups = groups.filter("size(ids) > 32")  # smaller ones are compared whole in the first round
-        if groups.isEmpty():
-            break
     named = nodes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     return known.select("doc_id", "digest").join(named, "digest", "left").select("doc_id", "component_id")
 
@@ -516,7 +478,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, threshold: i
     """
     classes = near_copies(docs, shingle, least, threshold)
     dropped = classes.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.col("doc_id") != F.col("component_id")).alias("gone")).filter("gone").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*[docs[c] for c in docs.columns])
+    return docs.join(small(checkpointed(dropped)), "doc_id", "left_anti").select(*[docs[f"`{c}`"] for c in docs.columns])
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:

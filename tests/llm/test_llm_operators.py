@@ -299,6 +299,14 @@ def test_entropy_finds_random_keys_and_leaves_words():
     assert [c for c in calm if secret_scan.scan(c)] == []
 
 
+def test_long_slugs_take_no_time():
+    import time
+
+    start = time.monotonic()
+    assert secret_scan.scan("-".join(["word"] * 60) + "-aB3x") == secret_scan.scan("/".join(["a"] * 5000) + "/x9Yz") == []
+    assert time.monotonic() - start < 1
+
+
 def test_redaction(spark):
     df = frame(spark, [(1, "my password=hunter2hunter2 ok", "en", "s", 1), (2, None, "en", "s", 1)])
     assert [r.text for r in secret_scan.redact(df).orderBy("doc_id").collect()] == ["my [secret] ok", None]
@@ -371,16 +379,81 @@ def test_host_path_and_rules(spark):
     assert got[10][:2] == ("a:", "//b/c")
 
 
+def names_split(spark, names, model):
+    return {r.name: list(r.words) for r in url_filter.split_names(spark.createDataFrame([(n,) for n in names], "name string"), model.counts, model.total).collect()}
+
+
 def test_viterbi_split_and_held_out_hosts(spark):
+    from pyspark.sql import functions as F
+
     rng = random.Random(8)
     good, bad = ["garden", "river", "music", "school", "bread", "light", "stone", "paper"], ["casino", "pills", "bets", "spam", "lucky", "bonus", "jackpot"]
     seen = [(i, f"https://{'-'.join(rng.sample(good, 2))}.test/{rng.choice(good)}/{i}") for i in range(300)]
     seen += [(1000 + i, f"https://{'-'.join([rng.choice(bad[:4]), rng.choice(bad)])}.test/{rng.choice(bad)}") for i in range(150)]
-    model = url_filter.fit(spark.createDataFrame(seen, "page_id long, url string").select(*[c.alias(n) for c, n in zip(url_filter.host_and_path(__import__("pyspark").sql.functions.col("url")), ("host", "path"), strict=True)]))
-    assert model.split("gardenriver") == ("garden", "river") and model.split("luckyjackpotbonus") == ("lucky", "jackpot", "bonus")
-    fresh = [("".join(rng.sample(good, 3)) + ".test", 0) for _ in range(100)] + [("".join(rng.sample(bad, 3)) + ".test", 1) for _ in range(100)]
-    right = sum((model.score(model.words(h, "")) > 0) == bool(y) for h, y in fresh)
-    assert right >= 190
+    model = url_filter.fit(spark.createDataFrame(seen, "page_id long, url string").select(*[c.alias(n) for c, n in zip(url_filter.host_and_path(F.col("url")), ("host", "path"), strict=True)]))
+    assert names_split(spark, ["gardenriver", "luckyjackpotbonus"], model) == {"gardenriver": ["garden", "river"], "luckyjackpotbonus": ["lucky", "jackpot", "bonus"]}
+    # Hosts that were never seen, half of the bad ones without any seed word.
+    fresh = [("".join(rng.sample(good, 3)), 0) for _ in range(100)] + [("".join(rng.sample(bad, 3)), 1) for _ in range(50)] + [("".join(rng.sample(bad[4:], 3)), 1) for _ in range(50)]
+    pages = spark.createDataFrame([(i, f"http://{h}.test") for i, (h, _) in enumerate(fresh)], "page_id long, url string")
+    verdicts = {r.page_id: r.verdict == "block" for r in url_filter.judge_urls(pages, model=model).collect()}
+    assert sum(verdicts[i] == bool(y) for i, (_, y) in enumerate(fresh)) >= 190
+
+
+def brute_urls(rows, seeds=url_filter.BLOCK_SEEDS, longest=24):
+    """Verdicts of the model on every page, by plain dictionaries; all distinct URLs are examples."""
+    import math
+    from collections import Counter
+
+    def cut(url):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.split("[/?#]", rest, maxsplit=1)[0]
+        return host.lower(), re.split("[?#]", rest[len(host) :], maxsplit=1)[0]
+
+    names = lambda text: re.findall("[a-z]+", text.lower())
+    parts = [cut(url) for _, url, _ in rows]
+    counts = Counter(n for _, p in parts for n in names(p))
+    for h in {h for h, _ in parts}:
+        counts.update(set(names(h)))
+    counts.subtract(set(n for h, _ in parts for n in names(h)))
+    for _, _, html in rows:
+        text = re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;", " ", html or "")
+        counts.update(w for w in re.split(r"[\W\d_]+", text.lower()) if re.fullmatch("[a-z]+", w))
+    total = sum(n for n in counts.values() if n > 0) + 1
+
+    def split(name):
+        best = [(0.0, [])]
+        for end in range(1, len(name) + 1):
+            tries = []
+            for start in range(max(0, end - longest), end):
+                w = name[start:end]
+                cost = math.log(total) - math.log(counts[w]) if counts[w] > 0 else math.log(total) * (1 + len(w))
+                tries.append((best[start][0] + cost, start))
+            cost, start = min(tries)
+            best.append((cost, best[start][1] + [name[start:end]]))
+        return best[-1][1]
+
+    words = {x: [w for n in names(x[0]) for w in split(n)] + ["/" + w for n in names(x[1]) for w in split(n)] for x in set(parts)}
+    block = [any(w in seeds for w in ws) for ws in words.values()]
+    uses = [Counter(w for b, ws in zip(block, words.values(), strict=True) if b == k for w in ws) for k in (True, False)]
+    known = set(uses[0]) | set(uses[1])
+    sums = [sum(u.values()) + len(known) + 1 for u in uses]
+    odds = {w: round(1e6 * (math.log((uses[0][w] + 1) / sums[0]) - math.log((uses[1][w] + 1) / sums[1]))) for w in known}
+    prior = round(1e6 * (math.log(sum(block) + 1) - math.log(len(block) - sum(block) + 1)))
+    return [(prior + sum(odds.get(w, 0) for w in words[x]), words[x]) for x in parts]
+
+
+@pytest.mark.parametrize("broadcast_names", [1 << 18, 0])
+def test_every_page_is_judged_as_by_brute_force(spark, broadcast_names):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    rows = [(r.page_id, r.url, r.html) for r in pages.collect()]
+    rows += [(9000 + i, f"http://{h}.test/{i % 3}", None) for i, h in enumerate(["luckycasino"] * 50 + ["casinolucky", "gardenriver"])]
+    rows += [(9900, None, "<p>lucky garden casino river</p>" * 30), (9901, "no scheme", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: (r.score, list(r.words), r.verdict, r.rule) for r in url_filter.judge_urls(df, broadcast_names=broadcast_names).collect()}
+    for (page_id, _, _), (score, words) in zip(rows, brute_urls(rows), strict=True):
+        assert got[page_id][:2] == (score, words)
+        assert got[page_id][3] is not None or got[page_id][2] == ("block" if score > 0 else "allow")
+    assert got[9000][1][:2] == ["lucky", "casino"]
 
 
 def test_concatenated_hosts_of_the_fitted_table_are_split(spark):
@@ -394,11 +467,9 @@ def test_concatenated_hosts_of_the_fitted_table_are_split(spark):
 
 
 def test_rare_words_split_names_too(spark):
-    from pyspark.sql import functions as F
-
     urls = spark.createDataFrame([("rareseldom.test", "/common/often"), ("x.test", "/common/often/rare/seldom"), ("y.test", "/common/often")], "host string, path string")
-    model = url_filter.fit(urls.select(F.col("host"), F.col("path")), vocabulary=2)
-    assert model.split("rareseldom") == ("rare", "seldom") and model.total == 11
+    model = url_filter.fit(urls)
+    assert names_split(spark, ["rareseldom"], model)["rareseldom"] == ["rare", "seldom"] and model.total == 10
 
 
 # --- op9
@@ -519,6 +590,35 @@ def test_mixing_shares_shortage_with_siblings_first(spark):
     mix = mixing.Mix(domain_weights={"web": 1, "forum": 1}, lang_weights={"en": 1, "de": 1}, epochs=1, budget_percent=50)
     plan = {(r.domain, r.lang): r.alloc for r in mixing.leaf_plan(leaves, mix).collect()}
     assert plan == {("web", "en"): 100, ("web", "de"): 425, ("forum", "en"): 525}
+    # What a leaf of weight 0 would have got goes on to others.
+    none = mixing.Mix(domain_weights={"web": 1, "forum": 1}, lang_weights={"en": 1, "de": 0}, epochs=1, budget_percent=50)
+    assert {(r.domain, r.lang): r.alloc for r in mixing.leaf_plan(leaves, none).collect()} == {("web", "en"): 100, ("forum", "en"): 950}
+
+
+def test_mixing_with_weights_of_zero_matches_sql(spark):
+    rng = random.Random(14)
+    mix = mixing.Mix(lang_weights={"en": 3, "de": 0, "fr": 1}, source_weights={"src1": 0, "src2": 7}, other=1, epochs=2, budget_percent=60)
+    rows = [(i if i % 9 else None, prose(rng, rng.randint(0, 30)), ["en", "de", "fr", None][i % 4], f"src{i * i % 37}", 1) for i in range(400)]
+    df = frame(spark, rows + rows[:20])
+    want = duck(mixing._duck_sql(mix), documents=df.select("doc_id", "text", "lang", "source").toPandas().astype({"doc_id": "Int64"}))
+    got = mixing.select_mix(df, mix).toPandas().astype({"doc_id": "Int64"})
+    plain_ids = lambda t: sorted(map(repr, t[sorted(t.columns)].fillna({"doc_id": -1}).itertuples(index=False, name=None)))
+    assert plain_ids(got) == plain_ids(want) and len(got)
+
+
+def test_mixed_takes_rows_not_ids(spark):
+    rows = [(None, "a b c", "en", "src0", 1), (None, "d e", "en", "src0", 2), (3, "f g h i", "en", "src0", 3), (4, "j", None, None, 4)]
+    df = frame(spark, rows, extra=True)
+    mix = mixing.Mix(budget_percent=100, epochs=1)
+    assert sorted(mixing.mixed(df, mix).select("n_chars").collect()) == [(1,), (2,), (3,), (4,)]
+    # A repeated doc_id is paid for whole or not at all.
+    twice = frame(spark, [(1, "a b c", "en", "src0", 1), (1, "d e f", "en", "src0", 2)])
+    half = mixing.Mix(budget_percent=70, epochs=1)
+    assert mixing.mixed(twice, half).count() == mixing.select_mix(twice, half).count() == 0
+    for percent in (70, 230):
+        mix = mixing.Mix(budget_percent=percent, epochs=3)
+        chosen = mixing.select_mix(df, mix).collect()
+        assert sum(r.n_tokens for r in chosen) <= 10 * percent // 100 and len(chosen) == mixing.mixed(df, mix).count()
 
 
 # --- edges
@@ -530,20 +630,24 @@ def test_every_operator_takes_edge_rows(spark, rows):
     n = len(rows)
     got = simhash_dedup.simhash_components(df).collect()
     assert len(got) == n and all(r.component_id is None for r in got if r.doc_id is None)
-    assert rlz_dedup.duplicate_spans(df).count() == n
-    assert token_files.token_digest(df, token_files.default_tokenizer()).count() == n
-    assert secret_scan.find_secrets(df).count() == n
-    assert quality_rules.judge(df).count() == n
-    assert quality_rules.keep_good(df).columns == df.columns
+    assert len(rlz_dedup.duplicate_spans(df).collect()) == n
+    assert len(token_files.token_digest(df, token_files.default_tokenizer()).collect()) == n
+    assert len(secret_scan.find_secrets(df).collect()) == len(secret_scan.redact(df).collect()) == n
+    assert len(quality_rules.judge(df).collect()) == n
+    assert quality_rules.keep_good(df).columns == df.columns and quality_rules.keep_good(df).collect() == []
+    kept = simhash_dedup.keep_one(df).collect()
+    assert sorted(str(r.doc_id) for r in kept) == (["1", "10", "5", "5", "5", "9", "None"] if n else [])
     bench = spark.createDataFrame([(1, "x x x x x x"), (None, "x"), (2, None)], "item_id long, text string")
-    assert decontamination.contained_items(df, bench).count() == (1 if n else 0)
-    assert decontamination.contained_items(df, bench.limit(0)).count() == 0
+    assert len(decontamination.contained_items(df, bench).collect()) == (1 if n else 0)
+    assert decontamination.contained_items(df, bench.limit(0)).collect() == []
     lined = line_dedup.align(df)
-    assert lined.count() == n
-    assert mixing.select_mix(df).count() >= 0
-    assert mixing.mixed(df).columns == df.columns
+    assert len(lined.collect()) == n
+    taken = [r.doc_id for r in mixing.select_mix(df).collect()]
+    assert mixing.mixed(df).columns == df.columns and sorted(map(str, taken)) == sorted(str(r.doc_id) for r in mixing.mixed(df).collect())
+    free = decontamination.drop_contaminated(df, bench)
+    assert free.columns == df.columns and len(free.collect()) == max(0, n - 1)
     pages = spark.createDataFrame([(None, None, None), (1, "http://a.b/c", "h"), (1, "http://a.b/c", "h")] if n else [], "page_id long, url string, host string")
-    assert url_filter.judge_urls(pages).count() == (3 if n else 0)
+    assert len(url_filter.judge_urls(pages).collect()) == (3 if n else 0)
     talk = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat_format.rotate(talk).count() == 0
 
