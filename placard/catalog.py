@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from placard.functions import identity, spans, text, urls
 from placard.operators import collect, jobs, merge, review
 from placard.plans import views
-from placard.sources import html_files
 
 NOW = "2024-01-20 00:00:00"
 
@@ -102,7 +101,7 @@ def display_status(spark, d):
 @_query("select o_orderkey, o_orderdate, o_orderstatus from orders order by o_orderdate desc, o_orderkey desc limit 1")
 def latest_notice(spark, d):
     orders = _table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus")
-    return orders.orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(1)
+    return views.keyset_page(orders, size=1, day="o_orderdate", key="o_orderkey")
 
 
 @_query(f"with {VIEW_SQL} select *, case id when 42 then 1 when 7 then 2 when 199 then 3 when 3 then 4 when 100 then 5 end::bigint as position from view where id in (42, 7, 199, 3, 100)", DAYS)
@@ -135,9 +134,10 @@ def visible_semi(spark, d):
     return _table(spark, d, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_name")
 
 
-@_query("select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@_query("select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 300000)")
 def hidden_anti(spark, d):
-    return _table(spark, d, "customer").join(_table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    large = _table(spark, d, "orders").filter("o_totalprice > 300000")
+    return _table(spark, d, "customer").join(large, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
 def _stored(df: DataFrame) -> DataFrame:
@@ -298,16 +298,6 @@ def url_normalise_host(spark, d):
     return _table(spark, d, "pages").select("page_id", urls.host(F.col("url")).alias("host"), urls.canonical(F.col("url")).alias("canonical"))
 
 
-@_query()
-def html_to_text(spark, d):
-    return _table(spark, d, "pages").select("page_id", text.html_to_notice_text("html").alias("body_text"))
-
-
-@_query()
-def file_links(spark, d):
-    return html_files.notice_files(_table(spark, d, "pages"), "page_id")
-
-
 @_query("""select doc_id, case when length(text) >= 12 then substr(text, 1, 3) || '[one]' || substr(text, 6, 4) || substr(text, 12) else text end as changed from documents""")
 def change_application(spark, d):
     change = lambda a, b, r: F.struct(F.lit(a).cast("long").alias("start"), F.lit(b).cast("long").alias("end"), F.lit(r).alias("replacement"))

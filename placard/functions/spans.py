@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-# What a rewrite may not touch.
-PROTECTED = re.compile(r"(?:https?://|www\.)[^\s<>()\[\]{}]+|[\w.+-]+@[\w-]+(?:\.[\w-]+)+|\d+(?:[.,:/~\-–]\d+)*(?:\s*[년월일시분초])?|[월화수목금토일]요일", re.IGNORECASE)
+# What a rewrite may not touch, each pattern by itself. (?U): digits and white space as in Unicode.
+PROTECTED = (
+    r"(?iU)(?:https?://|www\.)[^\s<>]+",
+    r"(?U)[^\s@<>]+@[^\s@<>]+\.[^\s@<>]+",
+    r"(?U)\d+(?:[.,:/~\-–]\d+)*(?:\s*[년월일시분초])?",
+    r"[월화수목금토일]요일",
+)
+WORD = r"^[\p{L}\p{M}\p{N}\p{Pc}]$"
+PLACES = "array<struct<start:bigint,end:bigint>>"
 
 
 def unique_place(text: Column, quote: Column) -> Column:
@@ -59,9 +62,66 @@ def overlaps(spans: Column, start: Column, end: Column) -> Column:
     return F.exists(spans, lambda s: (s["start"] < end) & (start < s["end"]))
 
 
-@F.pandas_udf(T.ArrayType(T.StructType().add("start", T.LongType()).add("end", T.LongType())))
-def protected_spans(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: [{"start": m.start(), "end": m.end()} for m in PROTECTED.finditer(t)], na_action="ignore")
+def matches(text: Column, pattern: str) -> Column:
+    """Places (start, end; code points, end exclusive) of a pattern's matches: lengths of what stands between, and of the matches, added up."""
+    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    steps = F.arrays_zip(F.transform(F.slice(between, F.lit(1), F.size(found)), lambda x: F.length(x)).alias("gap"), F.transform(found, lambda x: F.length(x)).alias("own"))
+    walked = F.aggregate(
+        steps,
+        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(PLACES).alias("out")),
+        lambda acc, x: F.struct(
+            (acc["at"] + x["gap"] + x["own"]).cast("long").alias("at"),
+            F.array_append(acc["out"], F.struct((acc["at"] + x["gap"]).cast("long").alias("start"), (acc["at"] + x["gap"] + x["own"]).cast("long").alias("end"))).alias("out"),
+        ),
+        lambda acc: acc["out"],
+    )
+    return F.when(F.size(found) > 0, walked).otherwise(F.when(text.isNotNull(), F.array().cast(PLACES)))
+
+
+def protected_spans(text: Column) -> Column:
+    """Places of addresses, mails, numbers with their units, and weekdays; those of different kinds may overlap."""
+    return F.array_sort(F.array_distinct(F.concat(*[matches(text, p) for p in PROTECTED])))
+
+
+def _is_word(text: Column, place: Column) -> Column:
+    """Whether the character at a place (from 0) is part of a word; false outside the text."""
+    return F.coalesce(F.when(place >= 0, F.substr(text, (place + 1).cast("int"), F.lit(1))).rlike(WORD), F.lit(False))
+
+
+def locate(text: Column, context: Column, original: Column, protected: Column, whole_word: bool = False) -> Column:
+    """Struct of start, end and problem of a term in its context in a text; nothing is guessed.
+
+    problem: not_unique (context in the text, or term in the context), part_of_word
+    (``whole_word``: whatever the term's own ends are), protected; null where found.
+    """
+    outer, inner = unique_place(text, context), unique_place(context, original)
+    start = outer + inner
+    end = start + F.length(original)
+    last = F.length(original) - 1
+    ends = (F.lit(True), F.lit(True)) if whole_word else (_is_word(original, F.lit(0)), _is_word(original, last))
+    torn = (ends[0] & _is_word(text, start - 1)) | (ends[1] & _is_word(text, end))
+    problem = F.when(start.isNull(), "not_unique").when(torn, "part_of_word").when(overlaps(protected, start, end), "protected")
+    return F.struct(F.when(problem.isNull(), start).alias("start"), F.when(problem.isNull(), end).alias("end"), problem.alias("problem"))
+
+
+def resolved(located: Column) -> Column:
+    """Terms (structs with start and end) in order of place, without those that have none and those that overlap one given before them."""
+    kept = F.aggregate(
+        F.filter(located, lambda x: x["start"].isNotNull()), F.slice(located, F.lit(1), F.lit(0)),
+        lambda acc, x: F.when(F.exists(acc, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])), acc).otherwise(F.array_append(acc, x)),
+    )
+    return F.array_sort(kept, lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0))
+
+
+def glossary_parts(text: Column, terms: Column) -> Column:
+    """The text cut at terms (array of strings): array of (text, is_term). At one place the longest term counts."""
+    quoted = F.transform(F.array_distinct(F.filter(terms, lambda t: F.trim(t) != "")), lambda t: F.struct((-F.length(t)).alias("n"), F.concat(F.lit("\\Q"), t, F.lit("\\E")).alias("t")))
+    pattern = F.array_join(F.transform(F.array_sort(quoted), lambda t: t["t"]), "|")
+    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
+    part = lambda value, is_term: F.struct(value.alias("text"), F.lit(is_term).alias("is_term"))
+    cut = F.flatten(F.transform(between, lambda b, i: F.array(part(b, False), part(F.get(found, i), True))))
+    whole = F.array(part(text, False))
+    return F.filter(F.when(pattern == "", whole).otherwise(cut), lambda p: F.coalesce(p["text"], F.lit("")) != "")
 
 
 def flatten_sections(headline: Column, intro: Column, sections: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placard.functions.extract import age_tokens, date_tokens, money_tokens, time_tokens
+from placard.functions.extract import age_bounds, age_values, date_tokens, money_tokens, time_tokens
 
 # The words by which a source names a schedule's kind, and other rule words.
 KIND_WORDS = {
@@ -24,15 +24,17 @@ POLITE = r"(?:니다|세요|십시오|까요|어요|아요|예요|이에요)[.!?
 def with_facts(rows: DataFrame, text: str, prefix: str) -> DataFrame:
     """rows with the text's dates, times, sums and ages under the prefix."""
     t = F.coalesce(text, F.lit(""))
-    return rows.withColumns({f"{prefix}_dates": date_tokens(t), f"{prefix}_times": time_tokens(t), f"{prefix}_sums": money_tokens(t), f"{prefix}_ages": age_tokens(t)})
+    return rows.withColumns({f"{prefix}_dates": date_tokens(t), f"{prefix}_times": time_tokens(t, bare=True), f"{prefix}_sums": money_tokens(t), f"{prefix}_ages": age_values(t), f"{prefix}_bounds": age_bounds(t)})
 
 
 def _more(left: str, right: str) -> Column:
     return F.size(F.array_except(left, right)) > 0
 
 
-def _numbers(ages: str) -> Column:
-    return F.array_distinct(F.transform(ages, lambda a: F.regexp_extract(a, "[0-9]+", 0)))
+def _bound_changed() -> Column:
+    """Whether the card bounds an age that the source bounds, but otherwise."""
+    age = lambda b: F.regexp_extract(b, "[0-9]+", 0)
+    return F.exists(F.array_except("card_bounds", "source_bounds"), lambda c: F.exists("source_bounds", lambda s: age(s) == age(c)))
 
 
 def audit_cards(cards: DataFrame) -> DataFrame:
@@ -42,17 +44,16 @@ def audit_cards(cards: DataFrame) -> DataFrame:
     reported as such only.
     """
     rows = with_facts(with_facts(cards, "card_text", "card"), "source_text", "source")
-    card, age_same = F.col("card"), lambda a, b: F.size(F.array_except(_numbers(a), _numbers(b))) == 0
+    card = F.col("card")
     is_free = lambda c: F.coalesce(F.col(c).rlike(FREE), F.lit(False))
-    bound = ~_more("card_ages", "source_ages")
     checks = {
-        "age_added": card.isin("audience", "notes") & ~age_same("card_ages", "source_ages"),
-        "age_omitted": card.isin("audience", "notes") & ~age_same("source_ages", "card_ages"),
-        "age_bound_changed": card.isin("audience", "notes") & age_same("card_ages", "source_ages") & ~bound,
+        "age_added": card.isin("audience", "notes") & _more("card_ages", "source_ages"),
+        "age_omitted": card.isin("audience", "notes") & _more("source_ages", "card_ages"),
+        "age_bound_changed": card.isin("audience", "notes") & _bound_changed(),
         "date_added": (card == "deadline") & _more("card_dates", "source_dates"),
         "time_added": (card == "deadline") & _more("card_times", "source_times"),
         "end_time_omitted": (card == "deadline") & (F.size("card_times") > 0) & (F.size("source_times") > F.size("card_times")),
-        "range_reversed": (card == "deadline") & (F.size("card_dates") > 1) & F.exists(F.slice("card_dates", 2, 100), lambda d: d < F.get("card_dates", F.lit(0))),
+        "range_reversed": (card == "deadline") & (F.size("card_dates") > 1) & F.exists("card_dates", lambda d: d < F.get("card_dates", F.lit(0))),
         "amount_added": card.isin("action", "notes") & _more("card_sums", "source_sums"),
         "amount_omitted": (card == "notes") & _more("source_sums", "card_sums"),
         "required_weakened": (card == "action") & F.col("source_text").rlike(REQUIRED) & ~F.col("card_text").rlike(REQUIRED) & F.col("card_text").rlike(OPTIONAL),

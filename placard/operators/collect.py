@@ -17,7 +17,7 @@ def first_occurrences(rows: DataFrame, key: str, order: tuple[str, ...]) -> Data
 def pinned_or_regular(rows: DataFrame, key: str = "post_sn") -> DataFrame:
     """One row for each post of a board list: pinned if any of its rows is, with conflict where title, department or date differ."""
     facts = ("title", "department", "registered_on")
-    out = rows.groupBy(key).agg(F.bool_or("is_pinned").alias("is_pinned"), *[F.first(f).alias(f) for f in facts], (F.count_distinct(F.struct(*[F.coalesce(F.col(f).cast("string"), F.lit("\0")) for f in facts])) > 1).alias("conflict"))
+    out = rows.groupBy(key).agg(F.bool_or("is_pinned").alias("is_pinned"), *[F.min_by(f, F.struct(*[c for c in ("page", "pos") if c in rows.columns], *facts)).alias(f) for f in facts], (F.count_distinct(F.struct(*[F.coalesce(F.col(f).cast("string"), F.lit("\0")) for f in facts])) > 1).alias("conflict"))
     return out
 
 
@@ -36,24 +36,45 @@ def completeness(rows: DataFrame, total: Column, key: str = "post_sn") -> DataFr
     return sums.withColumn("complete", (F.col("distinct") == total) & (F.col("conflicts") == 0))
 
 
+def traversal(pages: DataFrame, again: DataFrame, key: str = "post_sn") -> DataFrame:
+    """One row on a list read in overlapping pages: listed, distinct, conflicts, moved and complete.
+
+    pages: page, pos, total, key and facts, as read; again: the first page, read
+    once more at the end. The list moved meanwhile if that page's keys differ
+    or the pages don't agree on the total.
+    """
+    facts = [c for c in pages.columns if c not in (key, "page", "pos", "total")]
+    each = pages.groupBy(key).agg(F.count("*").alias("n"), F.count_distinct(F.struct(*facts)).alias("versions"))
+    sums = each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("listed"), F.count("*").alias("distinct"), F.count_if(F.col("versions") > 1).alias("conflicts"))
+    totals = pages.agg(F.min("total").alias("low"), F.max("total").alias("high"), F.min("page").alias("first"))
+    first = pages.join(F.broadcast(totals.select(F.col("first").alias("page"))), "page").select("pos", F.col(key).alias("before"))
+    differs = first.join(again.select("pos", F.col(key).alias("after")), "pos", "full_outer").agg(F.count_if(~F.col("before").eqNullSafe(F.col("after"))).alias("different"))
+    one_row = sums.join(totals, F.lit(True)).join(differs, F.lit(True))
+    moved = (F.col("different") > 0) | (F.col("low") != F.col("high"))
+    return one_row.select("listed", "distinct", "conflicts", moved.alias("moved"), ((F.col("distinct") == F.col("high")) & (F.col("conflicts") == 0) & ~moved).alias("complete"))
+
+
 def boundary_scan(rows: DataFrame, first: int, mode: str = "new", baseline: bool = False, by: tuple[str, ...] = (), refresh_stops: bool = True) -> DataFrame:
     """rows (rank in list order from 1, known) that an incremental run takes.
 
     Of the ``first`` rows the unknown ones are taken (all of them in a baseline
     or refresh). If none of those is known, the run goes on until the first
     known row. ``refresh_stops`` false is the variant in which a refresh goes
-    on as well. Lists are independent by ``by``.
+    on as well. Lists are independent by ``by``; of each, only the rank of its
+    first known row is gathered, so a long list isn't one task's.
     """
     refresh = mode == "refresh"
-    known = F.col("known").cast("int")
-    window = Window.partitionBy(*by).orderBy("rank") if by else Window.orderBy("rank")
-    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    head_known = F.max(F.when(F.col("rank") <= first, known)).over(whole)
-    tail_known = F.max(F.when(F.col("rank") > first, known)).over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    takes_all, goes_on = F.lit(baseline or refresh), F.lit(not baseline and not (refresh and refresh_stops))
-    head = (F.col("rank") <= first) & (takes_all | ~F.col("known"))
-    tail = (F.col("rank") > first) & goes_on & (F.coalesce(head_known, F.lit(0)) == 0) & (tail_known == 0)
-    return rows.withColumn("_taken", head | tail).filter("_taken").drop("_taken")
+    lists = rows if by else rows.withColumn("_one", F.lit(1))
+    keys = list(by) or ["_one"]
+    known = lists.filter("known").groupBy(*keys).agg(F.min("rank").alias("_known"))
+    head = (F.col("rank") <= first) & (F.lit(baseline or refresh) | ~F.col("known"))
+    tail = (F.col("rank") > first) & F.lit(not baseline and not (refresh and refresh_stops)) & (F.col("_known").isNull() | ((F.col("_known") > first) & (F.col("rank") < F.col("_known"))))
+    return lists.join(known, keys, "left").filter(head | tail).select(*rows.columns)
+
+
+def first_rows(rows: DataFrame, order: tuple[str, ...], most: int) -> tuple[DataFrame, Column]:
+    """(the first rows in order, whether that leaves any out: a column over all rows)."""
+    return rows.orderBy(*order).limit(most), F.count(F.lit(1)) > most
 
 
 def in_range(rows: DataFrame, column: str, start: str, end: str) -> tuple[DataFrame, DataFrame]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from placard.functions.spans import changes_in_order
 from placard.operators.jobs import cache_status, fold_status, wait_seconds
 
 VIEW = "channel struct<total: long, item: struct<target_code: string, word_info: struct<word: string, pos_info: array<struct<pos_code: string, pos: string, comm_pattern_info: array<struct<sense_info: array<struct<sense_code: string, definition: string>>>>>>>>>"
@@ -21,6 +22,64 @@ def entries(responses: DataFrame) -> DataFrame:
     return senses.select("query_word", "target_code", "pos", "pos_no", "pattern_no", "sense_no", F.col("s.sense_code").alias("sense_code"), F.col("s.definition").alias("definition"))
 
 
+def response_errors(responses: DataFrame, page_size: int = 100) -> DataFrame:
+    """query_word and error of searches (query_word, page, total, codes: the entries' numbers of one page): total_changed, page_short, code_repeated; null where whole."""
+    each = responses.groupBy("query_word").agg(F.min("total").alias("low"), F.max("total").alias("high"), F.sum(F.size("codes")).alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("codes")))).alias("distinct"))
+    error = F.when(F.col("low") != F.col("high"), "total_changed").when(F.col("n") != F.col("high"), "page_short").when(F.col("distinct") != F.col("n"), "code_repeated")
+    return each.select("query_word", error.alias("error"), F.ceil(F.col("high") / page_size).alias("pages"))
+
+
+def mapped(candidates: DataFrame) -> DataFrame:
+    """candidates (notice_id, start, end, changes: array of start, end, replacement in order, easy_text, rewritten) with easy_start, easy_end, easy_expression and mapping_status.
+
+    A change that reaches over a candidate's end leaves nothing to point at;
+    nor does a rewrite, which isn't aligned with the original at all.
+    """
+    grown = lambda upto: F.aggregate(F.filter("changes", upto), F.lit(0).cast("long"), lambda d, c: d + F.length(c["replacement"]) - (c["end"] - c["start"]))
+    touching = F.filter("changes", lambda c: (c["start"] < F.col("end")) & (c["end"] > F.col("start")))
+    crossing = F.exists(touching, lambda c: (c["start"] < F.col("start")) | (c["end"] > F.col("end"))) | F.coalesce("rewritten", F.lit(False))
+    start, end = F.col("start") + grown(lambda c: c["end"] <= F.col("start")), F.col("end") + grown(lambda c: c["start"] < F.col("end"))
+    placed = candidates.withColumns({"easy_start": F.when(~crossing, start), "easy_end": F.when(~crossing, end), "mapping_status": F.when(crossing, "original_only").when(F.size(touching) > 0, "replaced").otherwise("unchanged")})
+    return placed.withColumn("easy_expression", F.expr("substr(easy_text, cast(easy_start + 1 as int), cast(easy_end - easy_start as int))"))
+
+
+def save_links(current: DataFrame, batch: DataFrame, easy_texts: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(next snapshot, refused rows) of links (notice_id, easy_text_token, candidates, generated_at).
+
+    A row is taken if its easy text still has the token that was read, and its
+    candidates are those that the stored text gives (easy_texts: notice_id, token, candidates).
+    """
+    known = easy_texts.select("notice_id", F.col("token").alias("_token"), F.col("candidates").alias("_candidates"))
+    judged = batch.join(known, "notice_id", "left").withColumn("_taken", F.coalesce((F.col("easy_text_token") == F.col("_token")) & F.col("candidates").eqNullSafe(F.col("_candidates")), F.lit(False)))
+    taken = judged.filter("_taken").withColumn("generated_at", now).select(*current.columns)
+    return current.join(taken.select("notice_id"), "notice_id", "left_anti").unionByName(taken), judged.filter("not _taken").select(*batch.columns)
+
+
+def due_notices(resolved: DataFrame, links: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(the next notices whose dictionary is to be completed, one row: how many aren't complete).
+
+    resolved: as of ``notice_dictionary``; links: notice_id, generated_at. Never
+    linked ones come first; one that waits for a lease or cooldown isn't due.
+    """
+    open_ = resolved.filter(F.col("status").isin("pending", "partial"))
+    ready = F.col("candidates").isNull() | F.exists("candidates", lambda c: c["cache_state"] == "unprocessed")
+    due = open_.filter(ready).join(links.select("notice_id", "generated_at").distinct(), "notice_id", "left").orderBy(F.col("generated_at").asc_nulls_first(), "notice_id").limit(limit).select("notice_id")
+    return due, open_.agg(F.count("*").alias("incomplete"))
+
+
+def aligned(text: Column, title: Column, candidates: Column) -> Column:
+    """Whether candidates (start, end, original, query_word, lookup_status) can be shown in title and body: in order, after the title, where they say. Nothing is guessed: one that doesn't fit spoils all."""
+    offset = F.length(title) + 1
+    here = F.forall(candidates, lambda c: (F.substr(text, (c["start"] + 1).cast("int"), (c["end"] - c["start"]).cast("int")) == c["original"]) & (c["original"] != "") & (c["query_word"] != "") & c["lookup_status"].isin("found", "not_found", "pending", "failed") & (c["start"] >= offset))
+    return F.coalesce(here & changes_in_order(candidates, F.length(text).cast("long")), F.lit(False))
+
+
+def shown_status(status: Column, text: Column, title: Column, candidates: Column) -> Column:
+    """What an app shows: failed where candidates don't fit, partial if one failed, pending if one waits while the rest is complete."""
+    some = lambda s: F.exists(candidates, lambda c: c["lookup_status"] == s)
+    return F.when(candidates.isNull(), F.when(status == "complete", "failed").otherwise(status)).when(~aligned(text, title, candidates), "failed").when(some("failed"), "partial").when(some("pending") & (status == "complete"), "pending").otherwise(status)
+
+
 def claim_lookups(cache: DataFrame, wanted: DataFrame, now: Column) -> DataFrame:
     """cache (cache_key, result, lease_token, lease_expires_at, retry_after_at) after leases for wanted keys (cache_key, token) that have no result, live lease or cooldown."""
     joined = cache.alias("c").join(wanted.alias("w"), F.col("c.cache_key") == F.col("w.cache_key"), "full_outer")

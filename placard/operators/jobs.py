@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from placard.functions.identity import contract_key, revision_hash
+from placard.operators.rewrite import candidates_valid, preserves_title
+
 STATES = ("pending", "running", "succeeded", "skipped", "blocked", "retry_wait", "exhausted")
 
 
@@ -14,6 +17,31 @@ def due(now: Column) -> Column:
     return state.isin("pending", "succeeded") | ((state == "retry_wait") & (F.col("next_attempt_at") <= now)) | ((state == "running") & (F.col("lease_expires_at") <= now))
 
 
+def inputs(notices: DataFrame, summaries: DataFrame, easy_texts: DataFrame, summary: tuple[str, str], easy: tuple[str, str]) -> DataFrame:
+    """notice_id, feature, input_version, contract_key and ready of every visible notice and feature.
+
+    summary and easy are (model, prompt version). A summary is ready if it is
+    finished and made of the notice's revision by this model and prompt; an easy
+    text also has to be complete and keep title and candidates in place.
+    """
+    shown = notices.filter("is_visible").select("id", "title", "body_html", "content_revision")
+    key = lambda c: contract_key(F.lit(c[0]), F.lit(c[1]))
+    made = lambda c: (F.col("model") == c[0]) & (F.col("prompt_version") == c[1])
+    done = summaries.select(F.col("notice_id").alias("id"), (F.col("status").isin("summarized", "needs_review") & F.col("result").isNotNull() & made(summary)).alias("_done"), "source_revision")
+    first = shown.join(done, "id", "left").select(
+        F.col("id").alias("notice_id"), F.lit("summary").alias("feature"), F.col("content_revision").cast("string").alias("input_version"), key(summary).alias("contract_key"),
+        F.coalesce(F.col("_done") & (F.col("source_revision") == F.col("content_revision")), F.lit(False)).alias("ready"),
+    )
+    revision = revision_hash(F.col("title"), F.col("body_html"))
+    whole = F.col("dictionary_candidates").isNotNull() & F.col("easy_result").isNotNull() & F.col("body_text_present") & ~F.col("attachment_content_included")
+    kept = preserves_title(F.col("title"), F.col("original_text"), F.col("easy_text"), F.col("changes")) & candidates_valid(F.col("original_text"), F.col("dictionary_candidates"), F.length("title") + 1)
+    second = shown.join(easy_texts.withColumnRenamed("notice_id", "id"), "id", "left").select(
+        F.col("id").alias("notice_id"), F.lit("easy_text").alias("feature"), revision.alias("input_version"), key(easy).alias("contract_key"),
+        F.coalesce((F.col("notice_revision") == revision) & made(easy) & whole & kept, F.lit(False)).alias("ready"),
+    )
+    return first.unionByName(second)
+
+
 def candidates(inputs: DataFrame, jobs: DataFrame, now: Column, limit: int | None = None) -> DataFrame:
     """inputs (notice_id, feature, input_version, contract_key, ready) that need work, in the queue's order.
 
@@ -44,13 +72,29 @@ def enqueue(jobs: DataFrame, chosen: DataFrame, now: Column) -> DataFrame:
     )
 
 
-def claim(jobs: DataFrame, now: Column, lease_seconds: int, most_attempts: int) -> DataFrame:
-    """jobs after a claim of all due ones: running with a lease, or exhausted at the cap of attempts."""
-    open_ = F.coalesce((F.col("state") == "pending") | (due(now) & (F.col("state") != "succeeded")), F.lit(False))
-    spent = open_ & (F.col("attempts") >= most_attempts)
-    state = F.when(spent, "exhausted").when(open_, "running").otherwise(F.col("state"))
-    lease = F.when(open_ & ~spent, F.timestamp_add("SECOND", F.lit(lease_seconds), now)).when(spent, None).otherwise(F.col("lease_expires_at"))
-    return jobs.withColumns({"state": state, "attempts": F.when(open_ & ~spent, F.col("attempts") + 1).otherwise(F.col("attempts")), "lease_expires_at": lease, "next_attempt_at": F.when(open_, None).otherwise(F.col("next_attempt_at"))})
+def claim(jobs: DataFrame, now: Column, lease_seconds: int, most_attempts: int, limit: int | None = None, run: str = "", ready: DataFrame | None = None) -> DataFrame:
+    """jobs after a claim: the first ``limit`` due ones that may still be tried are running, with a lease and the run's token.
+
+    Due are pending jobs, retries whose time has come and runs whose lease ended,
+    in the order of that time (or of their last update), notice and feature. A due job whose
+    result is there (ready: notice_id, feature) has succeeded; one at the cap of attempts is exhausted.
+    """
+    marked = jobs.join(ready.select("notice_id", "feature", F.lit(True).alias("_ready")).distinct(), ["notice_id", "feature"], "left") if ready is not None else jobs.withColumn("_ready", F.lit(None).cast("boolean"))
+    asked = marked.withColumn("_due", F.coalesce(due(now) & (F.col("state") != "succeeded"), F.lit(False))).withColumn("_tries", F.col("_due") & F.col("_ready").isNull() & (F.col("attempts") < most_attempts))
+    chosen = asked.filter("_tries").orderBy(F.coalesce("next_attempt_at", "updated_at").asc_nulls_last(), "notice_id", "feature")
+    taken = (chosen.limit(limit) if limit is not None else chosen).select("notice_id", "feature", F.lit(True).alias("_taken"))
+    joined = asked.join(taken, ["notice_id", "feature"], "left")
+    runs, settled = F.coalesce("_taken", F.lit(False)), F.col("_due") & ~F.col("_tries")
+    reason = F.when(F.col("state") == "running", "processing_lease_expired").otherwise(F.coalesce("last_error_code", F.lit("processing_attempts_exhausted")))
+    token = F.sha2(F.concat_ws(":", F.lit(run), F.col("notice_id").cast("string"), "feature"), 256)
+    pick = lambda name, running, closed: F.when(runs, running).when(settled, closed).otherwise(F.col(name)).alias(name)
+    new = {
+        "state": pick("state", F.lit("running"), F.when(F.col("_ready"), "succeeded").otherwise("exhausted")), "attempts": F.when(runs, F.col("attempts") + 1).otherwise(F.col("attempts")).alias("attempts"),
+        "lease_expires_at": pick("lease_expires_at", F.timestamp_add("SECOND", F.lit(lease_seconds), now), F.lit(None)), "next_attempt_at": pick("next_attempt_at", F.lit(None), F.lit(None)),
+        "claim_token": pick("claim_token", token, F.lit(None)) if "claim_token" in jobs.columns else F.when(runs, token).alias("claim_token"),
+        "last_error_code": pick("last_error_code", F.col("last_error_code"), F.when(F.col("_ready"), None).otherwise(reason)), "updated_at": pick("updated_at", now, now),
+    }
+    return joined.select(*[new.pop(c, F.col(c)) for c in jobs.columns], *[new[c] for c in ("claim_token",) if c in new])
 
 
 def retry_seconds(attempts: Column) -> Column:
@@ -59,8 +103,8 @@ def retry_seconds(attempts: Column) -> Column:
 
 
 def wait_seconds(until: Column, now: Column) -> Column:
-    """Whole seconds until a time, rounded up, from 0 to 3600."""
-    return F.least(F.lit(3600), F.greatest(F.lit(0), F.ceil((F.unix_micros(until) - F.unix_micros(now)) / 1_000_000))).cast("long")
+    """Whole seconds until a time, rounded up, from 0 to 3600; null without one."""
+    return F.when(until.isNotNull(), F.least(F.lit(3600), F.greatest(F.lit(0), F.ceil((F.unix_micros(until) - F.unix_micros(now)) / 1_000_000)))).cast("long")
 
 
 def state_counts(jobs: DataFrame, states: tuple[str, ...] = STATES, column: str = "state") -> DataFrame:

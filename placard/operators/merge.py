@@ -104,6 +104,68 @@ def lost_fields(old: Column, new: Column, uncertain: Column) -> Column:
     return F.array_sort(F.array_except(F.array_except(old, F.coalesce(new, F.array().cast("array<string>"))), uncertain))
 
 
+def clear_changed_summaries(summaries: DataFrame, old: DataFrame, new: DataFrame, now: Column, key: str = "id") -> DataFrame:
+    """The next snapshot of summaries (notice_id, status, result, category, category_code, deadline_on, updated_at) after notices went from old to new.
+
+    Where a notice's revision moved, what was made of its former text goes and
+    a finished summary has to be looked at again.
+    """
+    moved = new.select(F.col(key).alias("notice_id"), "content_revision").join(old.select(F.col(key).alias("notice_id"), F.col("content_revision").alias("_before")), "notice_id").filter("content_revision <> _before").select("notice_id", F.lit(True).alias("_moved"))
+    gone = ("result", "category", "category_code", "deadline_on")
+    joined = summaries.join(moved, "notice_id", "left")
+    holds = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in gone])
+    cleared = F.coalesce(F.col("_moved") & holds, F.lit(False))
+    values = {c: F.when(~cleared, F.col(c)) for c in gone} | {"status": F.when(cleared & (F.col("status") == "summarized"), "needs_review").otherwise(F.col("status")), "updated_at": F.when(cleared, now).otherwise(F.col("updated_at"))}
+    return joined.select(*[values.get(c, F.col(c)).alias(c) for c in summaries.columns])
+
+
+def file_conflicts(new: DataFrame, parent: str = "notice_id") -> DataFrame:
+    """Parents with two different files of one key and kind; such a set is refused whole."""
+    rest = [c for c in new.columns if c not in (parent, "file_key", "kind")]
+    return new.groupBy(parent, "file_key", "kind").agg(F.count("*").alias("n"), F.count_distinct(F.xxhash64(*rest)).alias("m")).filter("m > 1").select(parent).distinct()
+
+
+def save_file_sets(notices: DataFrame, old: DataFrame, new: DataFrame, given: DataFrame, now: Column, parent: str = "notice_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(next notices, next files, refused parents) after file sets were read.
+
+    given: the parents whose set was read, even if it is empty; others keep
+    theirs. A set that differs replaces the stored one whole; its parent counts
+    as modified, and each deleted and each inserted file adds one to its
+    revision. Parents that aren't stored, and sets with a conflict, are refused.
+    """
+    identity = tuple(c for c in new.columns if c != parent)
+    stored = notices.select(F.col("id").alias(parent))
+    refused = file_conflicts(new, parent).unionByName(given.join(stored, parent, "left_anti")).unionByName(new.select(parent).distinct().join(given, parent, "left_anti")).distinct()
+    read = given.join(refused, parent, "left_anti")
+    mine, theirs = old.join(read, parent, "left_semi"), new.join(read, parent, "left_semi").dropDuplicates([parent, *identity])
+    side = lambda df, a, b: df.select(parent, *identity, F.lit(a).alias("_old"), F.lit(b).alias("_new"))
+    each = side(mine, 1, 0).unionByName(side(theirs, 0, 1)).groupBy(parent, *identity).agg(F.max("_old").alias("_old"), F.max("_new").alias("_new"))
+    changed = each.groupBy(parent).agg(F.sum("_old").alias("n_deleted"), F.sum("_new").alias("n_inserted"), F.max((F.col("_old") != F.col("_new")).cast("int")).alias("differs")).filter("differs = 1").drop("differs")
+    counted = notices.join(changed.withColumnRenamed(parent, "id"), "id", "left")
+    events = F.coalesce(F.col("n_deleted") + F.col("n_inserted"), F.lit(0))
+    values = {"content_revision": (F.col("content_revision") + events).cast("long"), "is_modified": F.col("is_modified") | (events > 0), "content_updated_at": F.when(events > 0, now).otherwise(F.col("content_updated_at"))}
+    return counted.select(*[values.get(c, F.col(c)).alias(c) for c in notices.columns]), replace_children(old, theirs, changed.select(parent), parent), refused
+
+
+CONTENT_COLUMNS = ("status", "result", "source_hash")
+
+
+def save_corrections(current: DataFrame, batch: DataFrame, now: Column, by_source: bool = True, content: tuple[str, ...] = CONTENT_COLUMNS) -> DataFrame:
+    """The next snapshot of summaries after candidates that needed correction (notice_id, content, attempt_count, last_error_code).
+
+    A stored result stays (``by_source``: if it is of the same source), else the
+    candidate is stored; error, attempts and time are recorded either way.
+    """
+    joined = current.alias("t").join(batch.alias("b"), F.col("t.notice_id") == F.col("b.notice_id"), "full_outer")
+    asked = F.col("b.notice_id").isNotNull()
+    stays = F.col("t.result").isNotNull() & (F.col("t.source_hash").eqNullSafe(F.col("b.source_hash")) if by_source else F.lit(True))
+    return joined.select(
+        F.coalesce("t.notice_id", "b.notice_id").alias("notice_id"), *[F.when(~asked | F.coalesce(stays, F.lit(False)), F.col(f"t.{c}")).otherwise(F.col(f"b.{c}")).alias(c) for c in content],
+        (F.coalesce("t.attempt_count", F.lit(0)) + F.coalesce("b.attempt_count", F.lit(0))).cast("int").alias("attempt_count"),
+        F.when(asked, F.col("b.last_error_code")).otherwise(F.col("t.last_error_code")).alias("last_error_code"), F.when(asked, now).otherwise(F.col("t.updated_at")).alias("updated_at"),
+    )
+
+
 def save_summaries(current: DataFrame, batch: DataFrame, now: Column) -> DataFrame:
     """The next snapshot of summaries (notice_id, status, result, source_hash, attempt_count, last_error_code, updated_at).
 

@@ -1,63 +1,163 @@
-"""File references and board rows in pages of HTML."""
+"""File references in notices: links and images of a body, rows of files on a page, and links whose ids are masked."""
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
+from urllib.parse import parse_qsl, unquote, urlencode, urljoin, urlsplit, urlunsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from placard.functions.identity import file_key
-from placard.functions.text import is_file_link
-from placard.functions.urls import file_identity
-
-
-class _Files(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.found: list[dict] = []
-        self.link: dict | None = None
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        given = {k: v or "" for k, v in attrs}
-        if tag == "img" and given.get("src") and not decorative(given):
-            self.found.append({"kind": "image", "url": given["src"], "name": given.get("alt", "")})
-        elif tag == "a" and is_file_link(given):
-            self.link = {"kind": "attachment", "url": given.get("href", ""), "name": ""}
-            self.found.append(self.link)
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag == "a":
-            self.link = None
-
-    def handle_data(self, data: str) -> None:
-        if self.link is not None:
-            self.link["name"] += data
-
-
-def decorative(attrs: dict[str, str]) -> bool:
-    """Whether an image only decorates: a pixel, an icon, or inline data."""
-    tiny = any(attrs.get(k, "").removesuffix("px").isdigit() and int(attrs[k].removesuffix("px")) <= 2 for k in ("width", "height"))
-    return tiny or attrs["src"].startswith("data:") or "/icon" in attrs["src"].lower()
-
-
-def references(html: str) -> list[dict]:
-    parser = _Files()
-    parser.feed(html)
-    parser.close()
-    return [f | {"name": " ".join(f["name"].split())} for f in parser.found]
-
-
-@F.pandas_udf(T.ArrayType(T.StructType().add("kind", T.StringType()).add("url", T.StringType()).add("name", T.StringType())))
-def file_references(html: pd.Series) -> pd.Series:
-    return html.map(references, na_action="ignore")
-
-
-def notice_files(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """One row for each file that a page refers to; of one file_key and kind the first reference counts."""
-    found = pages.select(key, F.posexplode(file_references(html)).alias("pos", "f")).select(key, "pos", "f.*")
-    identity = file_identity(F.col("url"))
-    keyed = found.select(key, "pos", "kind", "url", "name", file_key(identity["file_id"], F.col("url")).alias("file_key"))
-    return keyed.groupBy(key, "file_key", "kind").agg(F.min_by(F.struct("url", "name"), "pos").alias("f"), F.min("pos").alias("pos")).select(key, "file_key", "kind", "f.url", "f.name", "pos")
+from placard.sources.html_tree import elements, has
+
+# The sites' addresses, and what counts as a file or as decoration there.
+NOWON, DOWNLOAD, EDITOR = "www.nowon.kr", "/component/file/ND_fileDownload.do", "/webcontent/crosseditor/images/"
+EDITOR_SUFFIX = r"(?i)\.(png|jpe?g|webp)$"
+PAGE_SUFFIX = r"(?i)\.(pdf|hwpx?|png|jpe?g|webp|docx?|xlsx?|pptx?|zip)$"
+CITY_SUFFIX = r"(?i)\.(pdf|hwpx?|docx?|xlsx?|pptx?|zip|png|jpe?g|gif|webp|svg)$"
+CITY_NEWS, CITY_THEME, CITY_CULTURE = "news.seoul.go.kr", "/wp-content/themes/", "culture.seoul.go.kr"
+CITY_DECORATION = tuple(f"/_ui/images/main/cnl-common/{n}.png" for n in ("nLc-logo-culture", "nLc-top-facebook", "nLc-top-instargram", "nLc-top-blog"))
+FILE_ROW, NO_FILES = "첨부파일", "첨부파일이 없습니다"
+
+
+def resolved(base: str, reference: str, city: bool) -> str | None:
+    """The absolute address of a reference in its one form, without fragment; empty where it isn't plain http(s), None where it can't be read."""
+    try:
+        url = urlsplit(urljoin(base, reference.strip()))
+        plain = url.port in (None, 80, 443) and url.username is None and url.password is None
+    except ValueError:
+        return None
+    if url.scheme not in ("http", "https") or not url.netloc:
+        return None if city else ""
+    if city and not plain:
+        return None
+    home = CITY_NEWS if city else NOWON
+    if url.hostname == home and plain:
+        query = url.query
+        if not city and url.path == DOWNLOAD:  # every parameter stays, the serial number first
+            query = urlencode(sorted(parse_qsl(query, keep_blank_values=True), key=lambda p: (p[0] != "q_fileSn", p)))
+        return urlunsplit(("https", home, url.path, query, ""))
+    return urlunsplit((url.scheme, url.netloc, url.path, url.query, ""))
+
+
+def _address(city: bool):
+    @F.pandas_udf("struct<url:string,path:string,host:string>")
+    def run(base: pd.Series, reference: pd.Series) -> pd.DataFrame:
+        found = [None if r is None else resolved(b or "", r, city) for b, r in zip(base, reference, strict=True)]
+        parts = [urlsplit(u) if u else None for u in found]
+        return pd.DataFrame({"url": pd.Series(found, dtype=object), "path": pd.Series([unquote(p.path) if p else None for p in parts], dtype=object), "host": pd.Series([p.hostname if p else None for p in parts], dtype=object)})
+
+    return run
+
+
+def _identity(url: Column) -> tuple[Column, Column, Column]:
+    """(serial number, id, whether the address has either but not both of them once and trimmed)."""
+    values = lambda name: F.regexp_extract_all(url, F.lit(rf"[?&]{name}=([^&#]*)"), F.lit(1))
+    plain = lambda v: F.url_decode(F.get(v, F.lit(0)))
+    serial, file_id = values("q_fileSn"), values("q_fileId")
+    whole = lambda v: (F.size(v) == 1) & (plain(v) != "") & ~plain(v).rlike(r"(?U)^\s|\s$")
+    both, none = whole(serial) & whole(file_id), (F.size(serial) == 0) & (F.size(file_id) == 0)
+    return F.when(both, plain(serial)), F.when(both, plain(file_id)), ~none & ~both
+
+
+def _references(notices: DataFrame, key: str, html: str) -> DataFrame:
+    each = notices.select(key, "url", F.explode(elements("a", "img")(html)).alias("e"))
+    reference = F.when(F.col("e.tag") == "a", F.col("e.attrs").getItem("href")).otherwise(F.col("e.attrs").getItem("src"))
+    kind = F.when(F.col("e.tag") == "a", "attachment").otherwise("inline_image")
+    return each.select(key, F.col("url").alias("base"), F.col("e.at").alias("pos"), kind.alias("kind"), F.trim(reference).alias("reference"), F.col("e.attrs").getItem("download").alias("download"), F.col("e.text").alias("text")).filter("reference <> ''")
+
+
+def _columns(key: str) -> tuple[str, ...]:
+    return (key, "pos", "kind", "file_sn", "file_id", "file_key", "file_name", "url", "error")
+
+
+def district_files(notices: DataFrame, key: str, html: str = "body_html") -> DataFrame:
+    """Files in the bodies of district notices (key, url, html): links with an identity, and images with one or from the editor's folder.
+
+    error: invalid_file_url or invalid_file_identity; such rows name no file.
+    """
+    found = _references(notices, key, html).withColumn("a", _address(city=False)("base", "reference")).filter("a is null or a.url is null or a.url <> ''")
+    serial, file_id, broken = _identity(F.col("a.url"))
+    named = found.withColumns({"file_sn": serial, "file_id": file_id, "error": F.when(F.col("a.url").isNull(), "invalid_file_url").when(broken, "invalid_file_identity")})
+    editor = (F.col("kind") == "inline_image") & F.col("a.url").startswith(f"https://{NOWON}{EDITOR}") & F.lower("a.path").rlike(EDITOR_SUFFIX)
+    kept = named.filter(F.col("error").isNotNull() | F.col("file_id").isNotNull() | editor)
+    name = F.when(F.col("kind") == "attachment", F.coalesce(F.nullif(F.trim("download"), F.lit("")), F.nullif("text", F.lit(""))))
+    return kept.select(key, "pos", "kind", "file_sn", "file_id", file_key(F.col("file_id"), F.col("a.url")).alias("file_key"), name.alias("file_name"), F.col("a.url").alias("url"), "error")
+
+
+def city_files(notices: DataFrame, key: str, html: str = "body_html") -> DataFrame:
+    """Files in the bodies of city notices: links with a file's suffix, and images but known decoration."""
+    found = _references(notices, key, html).filter("not startswith(reference, '#')").withColumn("a", _address(city=True)("base", "reference"))
+    is_file = (F.col("kind") == "inline_image") | F.coalesce(F.col("a.path").rlike(CITY_SUFFIX), F.lit(True))
+    decorative = (F.col("kind") == "inline_image") & F.coalesce(decoration(F.col("a.host"), F.col("a.path")), F.lit(False))
+    error = F.when(F.col("a.url").isNull(), "invalid_file_url").when(~is_file, "download_without_suffix")
+    kept = found.filter(~decorative & (is_file | F.col("download").isNotNull())).withColumn("error", error)
+    none = F.lit(None).cast("string")
+    return kept.select(key, "pos", "kind", none.alias("file_sn"), none.alias("file_id"), file_key(none, F.col("a.url")).alias("file_key"), F.nullif(F.regexp_extract("a.path", "([^/]*)/?$", 1), F.lit("")).alias("file_name"), F.col("a.url").alias("url"), "error")
+
+
+def decoration(host: Column, path: Column) -> Column:
+    """Whether an image is known furniture of the city's sites."""
+    return ((host == CITY_NEWS) & path.contains(CITY_THEME)) | ((host == CITY_CULTURE) & path.isin(*CITY_DECORATION))
+
+
+def page_files(pages: DataFrame, key: str) -> DataFrame:
+    """The files in a page's file row (key, url, html).
+
+    A page without any is a row without url whose error says why:
+    attachment_section_missing, attachment_list_missing, or null where the page
+    says that it has none. Other errors are those of single files.
+    """
+    each = pages.select(key, "url", F.explode(elements("tr", "th", "a")("html")).alias("e")).filter("e.row is not null")
+    heads = each.filter((F.col("e.tag") == "th") & F.contains("e.text", F.lit(FILE_ROW))).select(key, F.col("e.row").alias("row")).distinct()
+    one = heads.groupBy(key).agg(F.count("*").alias("n"), F.min("row").alias("row"))
+    row_text = each.filter("e.tag = 'tr'").select(key, F.col("e.row").alias("row"), F.col("e.text").alias("row_text"))
+    links = each.filter((F.col("e.tag") == "a") & has("e", "ul", ".file-list") & F.col("e.attrs").getItem("href").isNotNull()).select(key, F.col("e.row").alias("row"), F.struct(F.col("e.at").alias("at"), F.trim(F.col("e.attrs").getItem("href")).alias("href"), F.col("e.text").alias("text")).alias("l"))
+    state = pages.select(key, F.col("url").alias("base")).join(one, key, "left").join(row_text, [key, "row"], "left").join(links, [key, "row"], "left")
+    found = state.withColumn("a", _address(city=False)("base", "l.href"))
+    serial, file_id, broken = _identity(F.col("a.url"))
+    error = (
+        F.when(F.coalesce("n", F.lit(0)) != 1, "attachment_section_missing").when(F.col("l").isNull() & F.contains("row_text", F.lit(NO_FILES)), None).when(F.col("l").isNull(), "attachment_list_missing")
+        .when(F.col("l.href") == "", "empty_file_url").when(F.coalesce("a.url", F.lit("")) == "", "invalid_file_url").when(broken, "invalid_file_identity").when(file_id.isNull() & ~F.col("a.path").rlike(PAGE_SUFFIX), "missing_file_identity")
+    )
+    named = found.withColumns({"file_sn": serial, "file_id": file_id, "error": error})
+    return named.select(key, F.col("l.at").alias("pos"), F.when(F.col("l").isNotNull(), "attachment").alias("kind"), "file_sn", "file_id", F.when(F.col("a.url").isNotNull(), file_key(F.col("file_id"), F.col("a.url"))).alias("file_key"), F.nullif("l.text", F.lit("")).alias("file_name"), F.col("a.url").alias("url"), "error")
+
+
+def unique_files(files: DataFrame, key: str) -> DataFrame:
+    """One row for each key, file_key and kind, the first; conflict where they have different addresses."""
+    whole = files.filter("error is null and file_key is not null")
+    rest = [c for c in whole.columns if c not in (key, "file_key", "kind", "error")]
+    grouped = whole.groupBy(key, "file_key", "kind").agg(F.min_by(F.struct(*rest), "pos").alias("f"), (F.count_distinct("url") > 1).alias("conflict"))
+    return grouped.select(key, "file_key", "kind", "f.*", "conflict")
+
+
+def merged_files(body: DataFrame, page: DataFrame, key: str) -> DataFrame:
+    """Files of body and page together; of one in both the page's row counts, and a conflict within either stays one."""
+    both = unique_files(body, key).withColumn("rank", F.lit(1)).unionByName(unique_files(page, key).withColumn("rank", F.lit(0)))
+    rest = [c for c in both.columns if c not in (key, "file_key", "kind", "rank", "conflict")]
+    return both.groupBy(key, "file_key", "kind").agg(F.min_by(F.struct(*rest), "rank").alias("f"), F.max("conflict").alias("conflict")).select(key, "file_key", "kind", "f.*", "conflict")
+
+
+def unmasked(masked: DataFrame, originals: DataFrame, key: str) -> DataFrame:
+    """masked (key, url, file_sn, file_id with runs of stars) with found: the one original (key, url, file_sn, file_id) that fits, and error.
+
+    A run of stars stands for hex digits and hyphens, and the original's id is
+    a UUID. error: masked_file_unresolved (none fits) or masked_file_ambiguous.
+    """
+    literal = F.regexp_replace("file_id", r"[^A-Za-z0-9*-]", "")
+    pattern = F.concat(F.lit("^"), F.regexp_replace(literal, r"\*+", "[0-9a-fA-F-]+"), F.lit("$"))
+    asked = masked.withColumn("pattern", F.when(literal == F.col("file_id"), pattern))
+    uuid = F.col("original_id").rlike("^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$")
+    known = originals.select(key, "file_sn", F.col("file_id").alias("original_id"), F.col("url").alias("original_url")).filter(uuid)
+    fits = asked.join(known, [key, "file_sn"], "left").withColumn("fit", F.when(F.expr("rlike(original_id, pattern)"), F.col("original_url")))
+    counted = fits.groupBy(key, "file_sn", "file_id", "url").agg(F.count_distinct("fit").alias("n"), F.min("fit").alias("fit"))
+    return counted.select(key, "file_sn", "file_id", "url", F.when(F.col("n") == 1, F.col("fit")).alias("found"), F.when(F.col("n") == 0, "masked_file_unresolved").when(F.col("n") > 1, "masked_file_ambiguous").alias("error"))
+
+
+def body_images(files: DataFrame, contents: DataFrame, key: str) -> DataFrame:
+    """Images of bodies by what they show: files (of kind inline_image) and contents (url, content), one row for each digest of a notice, with its addresses."""
+    images = files.filter("kind = 'inline_image' and error is null").select(key, "pos", "url")
+    digested = images.join(contents.select("url", F.sha2("content", 256).alias("digest")), "url")
+    return digested.groupBy(key, "digest").agg(F.array_sort(F.collect_set("url")).alias("urls"), F.min("pos").alias("pos"))
