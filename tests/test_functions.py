@@ -17,30 +17,54 @@ from placard.functions import extract, identity, spans, text, urls
         ("<p>첫 줄\n둘째 줄</p>", "첫 줄\n둘째 줄"),
         ("<p>자료 <a href='/f.do?q_fileSn=1&q_fileId=a'>공고문.hwp</a> 참고</p><a href='/x/form.PDF'>서식</a>", "자료 참고"),
         ("<img src='a.png'>", ""),
-        ("<head><title>제목</title></head><script>var a='<p>';</script>본문<br>다음", "본문\n다음"),
+        ("<head><title>제목</title></head><script>var a='<p>';</script>본문<br>다음", "제목본문\n다음"),
+        ("<p>a<s>b</s><del>c</del></p><svg>d</svg><iframe>e</iframe><object>f</object><center>g</center>h", "a\ng\nh"),
+        ("<a href='/f.do?Q_FILESN=1'>x</a><a href='/%ED%8C%8C%EC%9D%BC.%77ebp'>y</a><a download>z</a><a href='/page'>w</a>", "w"),
+        ("<table><tr><th>가</th><th>나</th><td>다<br>라</td><td> 마</td></tr></table>", "가 나: 다 라 마"),
         ("<input hidden>뒤", "뒤"),
         ("", ""),
-        (None, None),
+        (None, ""),
     ],
 )
 def test_notice_text(html, want):
     assert text.notice_text(html) == want
 
 
-def test_dates_take_the_last_year():
-    assert extract.dates("2026. 3. 1.(일) ~ 3. 15. 그리고 2027년 1월 2일, 2월 30일") == ["2026-03-01", "2026-03-15", "2027-01-02"]
-    assert extract.dates("3월 1일부터") == []
+def tokens(spark, find, *texts):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", find(F.col("t")).alias("x")).orderBy("i").collect()
+    return [r.x for r in rows]
 
 
-def test_times_money_and_ages():
-    assert extract.times("09:30 ~ 오후 6시, 오전 12시 5분, 25:00, 오후 13시") == ["09:30", "18:00", "00:05"]
-    assert extract.amounts("3만 5천원, 12,000원, 1만원, 2만3,500 원") == [Decimal(35000), Decimal(12000), Decimal(10000), Decimal(23500)]
-    assert extract.ages("만 19세 이상, 7~9세, 65세, 18세 미만") == [">=19", ">=7", "<=9", "=65", "<18"]
+def test_dates_take_the_last_year(spark):
+    said = ("2025. 7. 9.(수) ~ 7. 20. 또 2026년 8월 1일, 2월 30일, 7. 20.", "8월 2일부터", None, "2024-2-29/2025-2-29")
+    assert tokens(spark, extract.date_tokens, *said) == [["2025-07-09", "2025-07-20", "2026-08-01", "2026-07-20"], [], None, ["2024-02-29"]]
+
+
+def test_times_money_and_ages(spark):
+    assert tokens(spark, extract.time_tokens, "08:15 ~ 오후 7시, 오전 12시 10분, 25:00, 오후 13시, 9시") == [["08:15", "19:00", "00:10"]]
+    assert tokens(spark, lambda t: extract.time_tokens(t, bare=True), "9시 5분 또는 오후 0시, 21시") == [["09:05", "21:00"]]
+    sums = tokens(spark, extract.money_tokens, "4만 5천원, 13,000원, 2만원, 3만2,500 원, 2만원")[0]
+    assert sums == [Decimal(45000), Decimal(13000), Decimal(20000), Decimal(32500)]
+    assert tokens(spark, extract.age_values, "만 18세 이상, 20-30세, 5에서 7세, 1234세") == [[18, 30, 7, 20, 5]]
+    assert tokens(spark, extract.age_bounds, "만 18세 이상, 20～30세, 60세 미만, 40세") == [[">=18", "<60", ">=20", "<=30"]]
+
+
+def test_numbers_of_any_length(spark):
+    assert tokens(spark, text.number_tokens, "9" * 50 + " 007 12,345 7 10") == [["7", "10", "12345", "9" * 50]]
+
+
+def test_terms_are_located_or_not_at_all(spark):
+    rows = [("one alpha two", "one alpha", "alpha"), ("alphas", "alphas", "alpha"), ("a a", "a", "a"), ("3월 표", "3월 표", "표"), ("x 3월", "x 3월", "3월")]
+    df = spark.createDataFrame(rows, "b string, c string, t string")
+    found = df.select(spans.locate(F.col("b"), F.col("c"), F.col("t"), spans.protected_spans(F.col("b"))).alias("f")).collect()
+    assert [(r.f.start, r.f.end, r.f.problem) for r in found] == [(4, 9, None), (None, None, "part_of_word"), (None, None, "not_unique"), (3, 4, None), (None, None, "protected")]
+    cut = df.limit(1).select(spans.glossary_parts(F.lit("the there a.b"), F.array(F.lit("the"), F.lit("there"), F.lit("."), F.lit(""))).alias("p")).first().p
+    assert [(p.text, p.is_term) for p in cut] == [("the", True), (" ", False), ("there", True), (" a", False), (".", True), ("b", False)]
 
 
 def test_token_columns(spark):
     df = spark.createDataFrame([("값 1,200 그리고 034 www.a.kr/x. https://b.kr/(y) 12:30",), (None,)], "t string")
-    row, none = df.select(text.number_tokens(F.col("t")).alias("n"), text.link_tokens(F.col("t")).alias("l"), extract.time_tokens("t").alias("c")).collect()
+    row, none = df.select(text.number_tokens(F.col("t")).alias("n"), text.link_tokens(F.col("t")).alias("l"), extract.time_tokens(F.col("t")).alias("c")).collect()
     assert [int(x) for x in row.n] == [12, 30, 34, 1200] and row.l == ["https://b.kr/", "www.a.kr/x"] and row.c == ["12:30"]
     assert none.n is None and none.c is None
 
@@ -65,8 +89,10 @@ def test_changes_and_shifted_spans(spark):
 
 def test_protected_spans(spark):
     df = spark.createDataFrame([("문의 a.b@c.kr, 02-123-4567, 월요일 10시 https://x.kr/a)",)], "t string")
-    found = df.select("t", spans.protected_spans("t").alias("p")).first()
-    assert [found.t[s.start : s.end] for s in found.p] == ["a.b@c.kr", "02-123-4567", "월요일", "10시", "https://x.kr/a"]
+    found = df.select("t", spans.protected_spans(F.col("t")).alias("p")).first()
+    assert [found.t[s.start : s.end] for s in found.p] == ["a.b@c.kr,", "02-123-4567", "월요일", "10시", "https://x.kr/a)"]
+    both = spark.createDataFrame([("https://a.kr/1\u3000x",)], "t string").select(spans.protected_spans(F.col("t")).alias("p")).first().p
+    assert [tuple(s) for s in both] == [(0, 14), (13, 14)]
 
 
 def test_revision_hash_equals_compact_json(spark):

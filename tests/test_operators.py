@@ -146,14 +146,23 @@ def test_api_pages(spark):
     pages = [(1, 2, XML.format(total=3, code="INFO-000", rows=row(1) + row(2, "2026-02-30"))), (3, 4, XML.format(total=3, code="INFO-000", rows=row(3, body="&lt;p&gt; &lt;/p&gt;"))), (5, 6, XML.format(total=3, code="ERROR-500", rows="")), (7, 8, XML.format(total=9, code="INFO-000", rows=row(7))), (9, 9, "<!DOCTYPE a><ROOT/>"), (10, 10, XML.format(total=10, code="INFO-000", rows=row("")))]
     parsed = api_xml.parse_pages(spark.createDataFrame(pages, "start long, end long, xml string")).orderBy("start")
     assert [r.error for r in parsed.collect()] == [None, None, "server", "row_count", "entities", "blank_field"]
-    rows = api_xml.normalised(api_xml.notice_rows(parsed)).orderBy("page", "pos").collect()
-    assert [(r.post_sn, r.registered_on, r.body_html) for r in rows] == [("1", dt.date(2026, 1, 2), "<p>b</p>"), ("2", None, "<p>b</p>"), ("3", dt.date(2026, 1, 2), None)]
+    rows = api_xml.notice_rows(parsed).orderBy("page", "pos").collect()
+    assert [(r.post_sn, r.registered) for r in rows] == [("1", "2026-01-02"), ("2", "2026-02-30"), ("3", "2026-01-02")]
+    twice = XML.format(total=1, code="INFO-000", rows=row(1).replace("<TITLE>", "<TITLE>a</TITLE><TITLE>", 1))
+    assert api_xml.parse_pages(spark.createDataFrame([(1, 1, twice)], "start long, end long, xml string")).first().error == "duplicate_field"
+    assert api_xml.ranges(25, 10, 2) == [(1, 10), (9, 18), (17, 25)] and api_xml.ranges(0) == [] and api_xml.ranges(9, sample=True) == [(1, 5)]
+    assert api_xml.one(api_xml.notice_rows(parsed), "2").first().post_sn == "2"
 
 
 def test_file_references(spark):
-    html = "<a href='/d?q_fileSn=1&q_fileId=F'> 공고 <b>문</b></a><a href='/d?q_fileSn=1&q_fileId=F'>again</a><img src='/p.jpg' alt='포스터'><img src='/icon/x.png'><img src='d.gif' width='1'><a href='/page'>no</a>"
-    got = html_files.notice_files(spark.createDataFrame([(1, html), (2, None)], "id long, html string"), "id").orderBy("pos").collect()
-    assert [(r.kind, r.name, r.file_key[:4]) for r in got] == [("attachment", "공고 문", "id:F"), ("image", "포스터", "url:")]
+    link = "/component/file/ND_fileDownload.do?q_fileId=F&q_fileSn=1"
+    html = f"<a href='{link}'> 공고 <b>문</b></a><a href='http://www.nowon.kr{link}&x=#y'>again</a><img src='/p.jpg'><img src='/webcontent/crosseditor/images/a.JPG'><a href='/page'>no</a><a href='mailto:a@b.kr'>m</a><a href='http://[x/'>bad</a>"
+    df = spark.createDataFrame([(1, "https://www.nowon.kr/www/n", html), (2, "u", None)], "id long, url string, body_html string")
+    got = html_files.district_files(df, "id").orderBy("pos").collect()
+    assert [(r.kind, r.file_name, (r.file_key or "")[:4], r.error) for r in got] == [("attachment", "공고 문", "id:F", None), ("attachment", "again", "id:F", None), ("inline_image", None, "url:", None), ("attachment", "bad", "", "invalid_file_url")]
+    assert got[0].url == "https://www.nowon.kr/component/file/ND_fileDownload.do?q_fileSn=1&q_fileId=F"
+    once = html_files.unique_files(html_files.district_files(df, "id"), "id").collect()
+    assert sorted((r.file_key[:4], r.conflict) for r in once) == [("id:F", True), ("url:", False)]
 
 
 def test_replay(spark, tmp_path):

@@ -5,6 +5,7 @@ import datetime as dt
 import duckdb
 import pytest
 
+import placard.catalog_rules  # noqa: F401  (adds its queries)
 from placard.catalog import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -36,9 +37,8 @@ def test_query_equals_sql(spark, sql, name):
     assert _rows(df.columns, df.collect()) == _rows(want.columns, want.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
-def test_other_queries_run(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLE_SQL)
 
 
 def test_entry_imports_and_registers():

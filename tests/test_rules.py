@@ -44,22 +44,24 @@ def test_highlights(spark):
 
 
 def test_rewrite_checks_and_saves(spark):
-    df = spark.createDataFrame([("신청은 5월 3일까지 https://a.kr", "3일까지 신청하세요", ["신청은 5월"]), ("abc 1", "*2 https://b.kr", ["zz"])], "s string, f string, q array<string>")
-    got = [r[0] for r in df.select(rewrite.rewrite_errors(F.col("s"), F.col("f"), F.col("q"))).collect()]
-    assert got == [[], ["link_added", "number_added", "quote_not_in_source", "quote_short", "symbol"]]
+    body = "접수는 6월 4일까지 구청 누리집에서 합니다. 자세한 내용은 누리집에 있습니다. " + "그 밖의 사항은 담당자에게 문의하시기 바랍니다. " * 4
+    cases = [("4일까지 알려 주세요", "접수는 6월 4일까지"), ("5일까지", "접수는"), ("가 · 나", "없는 구절입니다"), ("접수는 6월 4일까지 구청 누리집에서 합니다", "접수는 6월 4일까지 구청")]
+    df = spark.createDataFrame([(i, body, [(t, [q])]) for i, (t, q) in enumerate(cases)], "i int, b string, s array<struct<text:string,evidence:array<string>>>")
+    got = [r.e for r in df.select("i", rewrite.rewrite_errors(F.col("b"), F.array(F.lit("제목 '가·나'")), F.col("s")).alias("e")).orderBy("i").collect()]
+    assert got == [[], ["number_added", "quote_short"], ["quote_not_in_source", "symbol"], ["copied"]]
     schema = "intro array<string>, sections array<struct<heading:string,style:string,sentences:array<string>>>"
     shapes = spark.createDataFrame([(["a"], [("누가 받나요?", "steps", ["x"])]), (["a"] * 4, [("누가", "list", ["x" * 81])]), ([], [])], schema)
     assert [r[0] for r in shapes.select(rewrite.structure_errors(F.col("intro"), F.col("sections"))).collect()] == [[], ["heading", "intro", "sentence", "style"], ["sections"]]
     import hashlib
 
     h = lambda t: hashlib.sha256(t.encode()).hexdigest()
-    easy = "notice_id long, notice_revision long, source_hash string, easy_text string, generated_at timestamp, token string"
-    now = spark.createDataFrame([(1, 1, h("t1"), "old", NOW, "k1"), (2, 1, h("t2"), "old", NOW, "k2"), (3, 1, h("t3"), "old", NOW, "k3")], easy)
-    notices = spark.createDataFrame([(1, 2, "t1"), (2, 1, "t2"), (3, 1, "t3"), (4, 1, "t4")], "notice_id long, content_revision long, original_text string")
+    easy = "notice_id long, notice_revision long, source_hash string, easy_text string, model string, prompt_version string, generated_at timestamp, token string"
+    now = spark.createDataFrame([(i, 1, h(f"t{i}"), "old", "m", "p", NOW, f"k{i}") for i in (1, 2, 3, 5)], easy)
+    notices = spark.createDataFrame([(1, 2, "t1"), (2, 1, "t2"), (3, 1, "t3"), (4, 1, "t4"), (5, 1, "t5")], "notice_id long, content_revision long, original_text string")
     later, sooner = NOW + dt.timedelta(1), NOW - dt.timedelta(1)
-    batch = [(1, 2, h("t1"), "new", sooner, "n1", None), (2, 1, h("t2"), "new", sooner, "n2", None), (3, 1, h("t3"), "new", later, "n3", None), (4, 1, h("x"), "new", NOW, "n4", None)]
+    batch = [(1, 2, h("t1"), "new", "m", "p", sooner, "n1", None), (2, 1, h("t2"), "new", "m", "p", sooner, "n2", "k2"), (3, 1, h("t3"), "new", "m", "p", later, "n3", None), (4, 1, h("x"), "new", "m", "p", NOW, "n4", None), (5, 1, h("t5"), "new", "m2", "p", sooner, "n5", "k5")]
     kept, refused = rewrite.save_easy_texts(now, spark.createDataFrame(batch, easy + ", expected_token string"), notices)
-    assert {r.notice_id: r.easy_text for r in kept.collect()} == {1: "new", 2: "old", 3: "new"} and sorted(r.notice_id for r in refused.collect()) == [2, 4]
+    assert {r.notice_id: r.easy_text for r in kept.collect()} == {1: "new", 2: "old", 3: "new", 5: "new"} and sorted(r.notice_id for r in refused.collect()) == [2, 4]
     old, new = (spark.createDataFrame(x, "id long, base string, derived string") for x in ([(1, "a", "d"), (2, "a", "d"), (3, "a", "d")], [(1, "a", "d"), (2, "b", "d"), (3, "b", "e")]))
     assert {r.id: r.derived for r in rewrite.clear_stale(old, new, "id", ("derived",), ("base",)).collect()} == {1: "d", 2: None, 3: "e"}
 
