@@ -379,29 +379,27 @@ def parity(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=64 * WIDE).astype(np.uint8) & 1).view("<u8").astype(np.uint64)
 
 
-def open_pairs(entries: DataFrame, found: DataFrame, targets: int | None, whole: int = 32) -> DataFrame:
-    """(a, b): pairs of nodes of different components that share a key.
-
-    entries: key, node; found: node, component. A key's nodes outside its
-    largest component are paired with its nodes: with all of them where the
-    key has at most ``whole``, else with about ``targets`` (None: all). Counts
-    are combined before the shuffle and no group is collected.
+def open_pairs(entries: DataFrame, found: DataFrame, facts: DataFrame, least: float, targets: int | None, whole: int = 32) -> DataFrame:
+    """(a, b): pairs of nodes of different components that share a key, and whose sizes and parities allow the similarity.
+
+    entries: key, node; found: node, component; facts: node, size, p0 to p3. A
+    key's nodes outside its largest component are paired with its nodes: with
+    all of them where the key has at most ``whole``, else with about
+    ``targets`` (None: all). Counts are combined before the shuffle, no group
+    is collected, and the join itself rules pairs out.
     """
     named = entries.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = named.groupBy("key", "component").agg(F.count("*").alias("n"))
     keys = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("components"), F.max_by("component", F.struct("n", "component")).alias("main")).filter("components > 1")
-    placed = checkpointed(named.join(keys.select("key", "n", "main"), "key"))
-    asked = placed if targets is None else placed.filter(f"n <= {whole} or pmod(xxhash64(node), n) < {targets}")
-    pairs = placed.filter("component <> main").select("key", "node", "component").join(asked.select("key", F.col("node").alias("other"), F.col("component").alias("of_other")), "key").filter("component <> of_other")
-    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-
-
-def similar_enough(pairs: DataFrame, facts: DataFrame, least: float) -> DataFrame:
-    """pairs (a, b) whose sizes and parities (facts: node, size, p0 to p3) allow the similarity."""
-    end = lambda e: facts.select(F.col("node").alias(e), *[F.col(c).alias(f"{e}_{c}") for c in facts.columns if c != "node"])
+    placed = checkpointed(named.join(keys.select("key", "n", "main"), "key").join(facts, "node"))
+    columns = ["node", "component", *[c for c in facts.columns if c != "node"]]
+    side = lambda df, e: df.select("key", *[F.col(c).alias(f"{e}_{c}") for c in columns])
+    asking = side(placed.filter("component <> main"), "a")
+    asked = side(placed if targets is None else placed.filter(f"n <= {whole} or pmod(xxhash64(node), n) < {targets}"), "b")
     apart = " + ".join(f"bit_count(a_p{i} ^ b_p{i})" for i in range(WIDE))
     fits = f"least(a_size, b_size) >= {least} * greatest(a_size, b_size) - 1e-9 and {apart} <= {(1 - least) / (1 + least)} * (a_size + b_size) + 1e-9"
-    return pairs.join(end("a"), "a").join(end("b"), "b").filter(fits).select("a", "b")
+    pairs = asking.withColumnRenamed("key", "a_key").join(asked, F.expr(f"a_key = key and a_component <> b_component and {fits}"))
+    return pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, threshold: int = 23, targets: tuple[int, ...] = (4, 64)) -> DataFrame:
@@ -458,8 +456,8 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, threshold
     entries, facts = checkpointed(own), nodes.select("node", "size", *[f"p{i}" for i in range(WIDE)])
     tried = None
     for some in (*targets, None):
-        pairs = open_pairs(entries, found, some)
-        pairs = checkpointed(similar_enough(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), facts, least))
+        pairs = open_pairs(entries, found, facts, least, some)
+        pairs = checkpointed(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.unionByName(pairs)
         if not pairs.isEmpty():
             more = verified(pairs)
