@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placard.llm.common import SPACE, checkpointed, only, packed, staged, table, words
+from placard.llm.common import SPACE, checkpointed, only, packed, small, staged, table, words
 
 SYMBOLS = "#*$%&|<>"
 #: Each measure: the expression, its least quartile distance, and whether low values count too.
@@ -40,7 +40,11 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_rep
 
 
 def bin_of(value: str) -> str:
-    """SQL for a value's bin: the value itself up to 128, then rounded down to 7 leading bits."""
+    """A value's bin: the value itself up to 128, then rounded down to 7 leading bits."""
+    return f"{value} - {value} % shiftleft(1L, greatest(0, length(bin({value})) - 7))"
+
+
+def _duck_bin_of(value: str) -> str:
     steps = " ".join(f"when {value} < {1 << k} then {value} - {value} % {1 << (k - 7)}" for k in range(8, 40))
     return f"case when {value} < 128 then {value} {steps} else {1 << 39} end"
 
@@ -105,7 +109,7 @@ def fences(measured: DataFrame, reach: int = 3, least_docs: int = 30) -> DataFra
 
 
 def _judged(measured: DataFrame, reach: int, least_docs: int) -> DataFrame:
-    limits = fences(measured.select("lang", "source", *COUNTS), reach, least_docs).withColumnsRenamed({"lang": "of_lang", "source": "of_source"})
+    limits = small(checkpointed(fences(measured.select("lang", "source", *COUNTS), reach, least_docs))).withColumnsRenamed({"lang": "of_lang", "source": "of_source"})
     outside = [f"({e}) > {m}_high" for m, (e, _, _) in MEASURES.items()] + [f"({e}) < {m}_low" for m, (e, _, low) in MEASURES.items() if low]
     joined = measured.join(limits, F.expr("lang <=> of_lang and source <=> of_source"), "left")
     failed = F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words")
@@ -156,7 +160,7 @@ m as (select w.doc_id, lang, source, len(ws)::bigint as n_words, length(array_to
              (length(text) - length(translate(text, '{SYMBOLS}', '')))::bigint as n_symbols, len(ls)::bigint as n_lines,
              (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words
       from w left join c using (doc_id)),
-sketch as (select lang, source, measure, bin, count(*) as n from ({" union all ".join(f"select lang, source, '{m}' as measure, {bin_of(f'({_duck(e)})')} as bin from m where n_words > 0" for m, (e, _, _) in MEASURES.items())}) group by all),
+sketch as (select lang, source, measure, bin, count(*) as n from ({" union all ".join(f"select lang, source, '{m}' as measure, {_duck_bin_of(f'({_duck(e)})')} as bin from m where n_words > 0" for m, (e, _, _) in MEASURES.items())}) group by all),
 {_duck_quantiles("own", ["lang", "source"])},
 {_duck_quantiles("lng", ["lang"])},
 {_duck_quantiles("corpus", [])},
