@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from placard.llm.common import checkpointed, only, table, words
+from placard.llm.common import checkpointed, only, packed, small, table, words
 
 
 def _anchors(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
@@ -145,10 +145,11 @@ def align(docs: DataFrame, rare: int = 8, block_words: int = 20) -> DataFrame:
     split = only(docs, "doc_id", "text").filter("doc_id is not null").withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n"))
     one = split.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"), F.transform("lines", lambda x: F.size(words(x))).alias("sizes"))
     known = checkpointed(one.groupBy("doc_id").agg(F.min_by(F.struct("digest", "hashes", "sizes"), "digest").alias("d")).select("doc_id", "d.*"))
-    firsts = known.groupBy("digest").agg(F.min("doc_id").alias("original"))
-    copies = known.join(firsts, "digest").filter("doc_id <> original").select("doc_id", F.filter(F.transform("sizes", lambda n, i: F.when(n >= 0, i)), lambda i: i.isNotNull()).alias("gone"), F.aggregate("sizes", F.lit(0), lambda s, n: s + n).alias("n"))
-    copies = copies.filter(f"n >= {block_words}").select("doc_id", "gone")
-    originals = checkpointed(known.join(firsts.select(F.col("original").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "hashes", "sizes"))
+    repeated = checkpointed(known.groupBy("digest").agg(F.min("doc_id").alias("original"), F.count("*").alias("n")).filter("n > 1").select("digest", "original"))
+    total = F.aggregate("sizes", F.lit(0), lambda s, n: s + n)
+    copies = checkpointed(known.join(small(repeated), "digest").filter("doc_id <> original").select("doc_id", F.size("sizes").alias("lines"), total.alias("n")))
+    originals = checkpointed(known.join(small(copies.select("doc_id")), "doc_id", "left_anti").select("doc_id", "hashes", "sizes"))
+    copies = copies.filter(f"n >= {block_words}").select("doc_id", F.sequence(F.lit(0), F.col("lines") - 1).alias("gone"))
     later = originals.select(F.col("doc_id").alias("later"), F.col("hashes").alias("later_hashes"), F.col("sizes").alias("later_sizes"))
     earlier = originals.select(F.col("doc_id").alias("earlier"), F.col("hashes").alias("earlier_hashes"))
 
@@ -159,6 +160,17 @@ def align(docs: DataFrame, rare: int = 8, block_words: int = 20) -> DataFrame:
             found = [(d, gone) for d, gone in found if gone]
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([g for _, g in found], pa.list_(pa.int32()))], ["doc_id", "gone"])
 
+    def uncovered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {"doc_id": [], "run": [], "a": [], "b": []}
+            for d, runs, gone in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "runs", "gone")), strict=True):
+                deleted = set(gone or ())
+                for r in runs:
+                    if not deleted.issuperset(range(r["a"], r["b"] + 1)):
+                        for name, value in (("doc_id", d), ("run", r["run"]), ("a", r["a"]), ("b", r["b"])):
+                            out[name].append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["run"], pa.int64()), pa.array(out["a"], pa.int32()), pa.array(out["b"], pa.int32())], list(out))
+
     def lines_gone(pairs: DataFrame) -> DataFrame:
         both = pairs.join(earlier, "earlier").join(later, "later").select("later", "earlier_hashes", "later_hashes", "later_sizes")
         return both.mapInArrow(run, "doc_id long, gone array<int>").select("doc_id", F.explode("gone").alias("i"))
@@ -174,7 +186,8 @@ def align(docs: DataFrame, rare: int = 8, block_words: int = 20) -> DataFrame:
     left, upto, more = held.filter("doc_id > first"), 1, max(1, rare)
     ranked = None
     while True:
-        left = checkpointed(left.join(aligned, "doc_id", "left").filter(F.col("gone").isNull() | F.exists(F.sequence("a", "b"), lambda i: ~F.array_contains("gone", i))).select("doc_id", "run", "a", "b"))
+        by_doc = left.groupBy("doc_id").agg(F.collect_list(F.struct("run", "a", "b")).alias("runs")).join(aligned, "doc_id", "left")
+        left = checkpointed(by_doc.select("doc_id", "runs", "gone").mapInArrow(uncovered, "doc_id long, run long, a int, b int"))
         if ranked is None:
             by = Window.partitionBy("run").orderBy("doc_id")
             ranked = checkpointed(held.join(left.select("run").distinct(), "run", "left_semi").select("run", "doc_id").distinct().select("run", F.col("doc_id").alias("earlier"), F.row_number().over(by).alias("rank")))
@@ -186,10 +199,10 @@ def align(docs: DataFrame, rare: int = 8, block_words: int = 20) -> DataFrame:
         upto, more = upto + more, 2 * more
     gone = checkpointed(copies.unionByName(aligned).join(known.select("doc_id", "digest"), "doc_id")).withColumnsRenamed({"doc_id": "of_doc", "digest": "of_digest"})
     # The row travels as one struct, so its columns can't clash with the operator's own.
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     same = (F.col("row.doc_id") == F.col("of_doc")) & (F.sha2(F.coalesce("row.text", F.lit("")), 256) == F.col("of_digest"))
-    lined = packed.join(gone, same, "left").select("row", F.coalesce("gone", F.array().cast("array<int>")).alias("deleted"), F.split("row.text", "\n").alias("all_lines"))
-    kept = F.array_join(F.filter("all_lines", lambda x, i: ~F.array_contains("deleted", i)), "\n")
+    lined = packed(docs).join(gone, same, "left").select("row", F.coalesce("gone", F.array().cast("array<int>")).alias("deleted"), F.split("row.text", "\n").alias("all_lines"))
+    stays = F.array_except(F.sequence(F.lit(0), F.size("all_lines") - 1), "deleted")
+    kept = F.array_join(F.transform(stays, lambda i: F.get("all_lines", i)), "\n")
     text = F.when(F.size("deleted") > 0, kept).otherwise(F.col("row.text"))
     own = [(text if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns if c not in ("deleted", "n_lines")]
     return lined.select(*own, "deleted", F.when(F.col("row.text").isNull(), 0).otherwise(F.size("all_lines")).cast("long").alias("n_lines"))

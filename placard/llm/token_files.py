@@ -15,14 +15,16 @@ File layout, all integers little-endian:
 
 A reader takes the tail first, then only the frames it wants, and checks each
 one's checksum. Documents are in ascending doc_id order within a file and from
-file to file. A manifest (JSON) names the files in order, with the ids that
-come before each; a file that a lost or repeated task attempt left is not
-named there and so never read.
+file to file. The manifest, a Parquet table in the folder, names the files in
+order with the ids that come before each; a file that a lost or repeated task
+attempt left is not named there and so never read.
 
 Edge cases: a null or empty text has just the end id; a null doc_id sorts
-first; equal doc_ids are all written, ordered by text; an empty table gives a
+first; equal doc_ids (and rows without one) are all written, in the order of
+their texts' hashes, and may fill several files; an empty table gives a
 manifest without files; a special token's string in a text is encoded as the
-tokenizer does it by itself.
+tokenizer does it by itself; texts of a tokenizer that cuts them in another way
+than the public byte-level files do go to the library whole.
 """
 
 from __future__ import annotations
@@ -64,6 +66,15 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b if b in visible else next(others)) for b in range(256)}
 
 
+def cuts_plainly(tokenizer: dict) -> bool:
+    """Whether a tokenizer (its JSON) cuts texts by ``PATTERN`` alone, so that pieces can be encoded by themselves."""
+    cut, model = tokenizer.get("pre_tokenizer") or {}, tokenizer.get("model") or {}
+    by_bytes = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+    whole = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "unk_token", "byte_fallback", "ignore_merges"))
+    marks = all(t.get("special") and t.get("content", "").startswith("<|") and not t.get("lstrip") and not t.get("rstrip") and not t.get("single_word") for t in tokenizer.get("added_tokens") or ())
+    return bool(by_bytes and whole and marks and not tokenizer.get("normalizer") and not tokenizer.get("truncation") and not tokenizer.get("padding"))
+
+
 class _Memo(dict):
     """What a function returned for short strings; emptied when full."""
 
@@ -97,6 +108,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end = Tokenizer.from_file(path), np.uint32(end_id).astype("<u4").tobytes()
+        with open(path, encoding="utf-8") as file:
+            self.plain = cuts_plainly(json.load(file))
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
         self.model, self.parts, self.letters = self.tokenizer.model, regex.compile(PATTERN).findall, _byte_letters()
         self.memo, self.words = _Memo(self._after_space), _Memo(self._word)
@@ -125,6 +138,9 @@ class Encoder:
             if not text:
                 yield self.end
                 continue
+            if not self.plain:
+                yield self._whole(text) + self.end
+                continue
             first, *rest = text.split(" ")
             try:
                 tail = b"".join(map(memo, rest))
@@ -210,23 +226,28 @@ class FrameReader:
         return np.frombuffer(content, f"<u{self.width}").astype("<u4")
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, files: int) -> list[dict]:
-    """Encodes docs (doc_id, text) into files in the folder; returns the manifest, which is also written there.
+MANIFEST = "file string, low long, low_hash long, high long, docs long, tokens long"
+
+
+def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, files: int) -> DataFrame:
+    """Encodes docs (doc_id, text) into files in the folder; returns the manifest, which is also there.
 
-    Rows are dealt by ranges of doc_id, so a file holds one range. The manifest
-    has a row for each file, so its size is bound by ``files``.
+    Rows are dealt by ranges of doc_id, and of the text's hash where many rows
+    share one, so a file holds one range and no doc_id is too much for a task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path, end_id)
         system, base = filesystem(folder)
-        writer, total, low = None, 0, None
+        writer, total, first = None, 0, {}
         name = f"part-{uuid.uuid4().hex}.zst"  # an attempt's own
         for batch in batches:
+            if not batch.num_rows:
+                continue
             if writer is None:
                 system.create_dir(base, recursive=True)
                 writer = FrameWriter(system.open_output_stream(f"{base}/{name}", compression=None, buffer_size=1 << 20), encode.width)
-                low = batch.column("doc_id")[0].as_py()
+                first = {"low": batch.column("doc_id")[0].as_py(), "low_hash": batch.column("hash")[0].as_py()}
             for at in range(0, batch.num_rows, 256):
                 piece = batch.slice(at, 256)
                 for doc_id, ids in zip(piece.column("doc_id").to_pylist(), encode.encode(piece.column("text").to_pylist()), strict=True):
@@ -235,20 +256,16 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         if writer is not None:
             writer.finish()
             writer.stream.close()
-            yield pa.RecordBatch.from_pylist([{"file": name, "low": low, "docs": len(writer.ids), "tokens": total}], SCHEMA)
-
-    SCHEMA = pa.schema([("file", pa.string()), ("low", pa.int64()), ("docs", pa.int64()), ("tokens", pa.int64())])
-    dealt = only(docs, "doc_id", "text").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
-    written = dealt.mapInArrow(run, "file string, low long, docs long, tokens long").collect()
-    manifest, before = [], 0
-    for row in sorted(written, key=lambda r: (r.low is not None, r.low or 0)):
-        manifest.append(row.asDict() | {"before": before})
-        before += row.tokens
-    system, base = filesystem(folder)
-    system.create_dir(base, recursive=True)
-    with system.open_output_stream(f"{base}/manifest.json") as out:
-        out.write(json.dumps(manifest).encode())
-    return manifest
+            yield pa.RecordBatch.from_pylist([{"file": name, "high": writer.ids[-1], "docs": len(writer.ids), "tokens": total} | first], SCHEMA)
+
+    SCHEMA = pa.schema([("file", pa.string()), *[(c, pa.int64()) for c in ("low", "low_hash", "high", "docs", "tokens")]])
+    spark = docs.sparkSession
+    dealt = only(docs, "doc_id", "text").withColumn("hash", F.xxhash64("text")).repartitionByRange(files, "doc_id", "hash").sortWithinPartitions("doc_id", "hash")
+    # Files have names of their own attempt, so the list is written once and never computed again.
+    dealt.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/written")
+    before = "cast(coalesce(sum(tokens) over (order by low nulls first, low_hash, file rows between unbounded preceding and 1 preceding), 0) as bigint)"
+    spark.read.schema(MANIFEST).parquet(f"{folder}/written").selectExpr("*", f"{before} as before").write.parquet(f"{folder}/manifest")
+    return spark.read.schema(f"{MANIFEST}, before long").parquet(f"{folder}/manifest")
 
 
 def read_token_files(spark: SparkSession, folder: str, frames: int = 4096) -> DataFrame:
@@ -256,10 +273,6 @@ def read_token_files(spark: SparkSession, folder: str, frames: int = 4096) -> Da
 
     A task gets ``frames`` frames of one file at a time.
     """
-    system, base = filesystem(folder)
-    with system.open_input_stream(f"{base}/manifest.json") as source:
-        manifest = json.loads(source.read())
-    pieces = [(f["file"], f["before"], at) for f in manifest for at in range(0, f["docs"], frames)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = filesystem(folder)
@@ -274,18 +287,22 @@ def read_token_files(spark: SparkSession, folder: str, frames: int = 4096) -> Da
                         columns = [pa.array([reader.doc_ids[i] for i in part], pa.int64()), pa.array(starts[at : part.stop]), pa.array(reader.n_tokens[at : part.stop]), pa.array([reader.ids(i).tobytes() for i in part], pa.binary())]
                         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids"])
 
-    listed = spark.createDataFrame(pieces, "file string, before long, at long")
-    return listed.repartition(max(1, len(pieces)), "file", "at").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    manifest = spark.read.schema(f"{MANIFEST}, before long").parquet(f"{folder}/manifest")
+    pieces = manifest.select("file", "before", F.explode(F.sequence(F.lit(0).cast("long"), F.col("docs") - 1, F.lit(frames).cast("long"))).alias("at"))
+    count = int(manifest.agg(F.coalesce(F.sum(F.ceil(F.col("docs") / frames)), F.lit(0)).alias("n")).first().n)
+    return pieces.repartition(max(1, min(count, 100_000)), "file", "at").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
-def read_documents(folder: str, wanted: set[int]) -> dict[int, np.ndarray]:
-    """The token ids of a few documents; decompresses their frames only."""
+def read_documents(spark: SparkSession, folder: str, wanted: set[int]) -> dict[int, np.ndarray]:
+    """The token ids of a few documents; opens the files that may hold them and decompresses their frames only."""
+    manifest = spark.read.schema(f"{MANIFEST}, before long").parquet(f"{folder}/manifest")
+    near = F.lit(False)
+    for doc_id in wanted:
+        near = near | ((F.col("high") >= doc_id) & (F.col("low").isNull() | (F.col("low") <= doc_id)))
     system, base = filesystem(folder)
-    with system.open_input_stream(f"{base}/manifest.json") as source:
-        manifest = json.loads(source.read())
     out = {}
-    for entry in manifest:
-        with system.open_input_file(f"{base}/{entry['file']}") as stream:
+    for entry in manifest.filter(near).select("file").collect():
+        with system.open_input_file(f"{base}/{entry.file}") as stream:
             reader = FrameReader(stream)
             out |= {d: reader.ids(i) for i, d in enumerate(reader.doc_ids) if d in wanted}
     return out
@@ -294,8 +311,7 @@ def read_documents(folder: str, wanted: set[int]) -> dict[int, np.ndarray]:
 def token_digest(docs: DataFrame, tokenizer_path: str, end_id: int = 2, rows_per_file: int | None = None) -> DataFrame:
     """Writes docs to files in the shared folder and reads them back: (doc_id, start, n_tokens, ids_crc32).
 
-    Files grow with the square root of the corpus, from 4096 to 65536 rows, so
-    that the manifest, which the driver holds, stays small.
+    Files grow with the square root of the corpus, from 4096 to 65536 rows.
     """
     spark = docs.sparkSession
     folder, rows = fresh_path(spark, "token-files"), docs.count()

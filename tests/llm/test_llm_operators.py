@@ -234,7 +234,7 @@ def test_token_files_round_trip(spark, tmp_path):
         ids = np.array(whole.encode(text or "", add_special_tokens=False).ids + [2], "<u4").tobytes()
         assert (bytes(got[d].ids), got[d].start, got[d].n_tokens) == (ids, start, len(ids) // 4)
         start += len(ids) // 4
-    some = token_files.read_documents(folder, {0, 9})
+    some = token_files.read_documents(spark, folder, {0, 9})
     assert some[9].tobytes() == bytes(got[9].ids) and set(some) == {0, 9}
     digest = {r.doc_id: r.ids_crc32 for r in token_files.token_digest(frame(spark, rows), path).collect()}
     assert digest == {d: zlib.crc32(bytes(r.ids)) for d, r in got.items()}
@@ -243,13 +243,38 @@ def test_token_files_round_trip(spark, tmp_path):
 def test_token_files_notice_damage(spark, tmp_path):
     folder = str(tmp_path / "out")
     manifest = token_files.write_token_files(frame(spark, [(1, "some words here", "en", "s", 1)]), folder, token_files.default_tokenizer(), 2, 1)
-    file = tmp_path / "out" / manifest[0]["file"]
+    file = tmp_path / "out" / manifest.first().file
     data = bytearray(file.read_bytes())
     data[-22] ^= 1  # of the seek table's last entry but one, which is the document's: the checksum
     file.write_bytes(data)
     with pytest.raises(ValueError, match="damaged"):
-        token_files.read_documents(folder, {1})
-    assert json.loads((tmp_path / "out" / "manifest.json").read_text()) == manifest
+        token_files.read_documents(spark, folder, {1})
+
+
+def test_one_doc_id_fills_several_files(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(None if i % 3 else i, prose(rng, 5), "en", "s", 1) for i in range(300)]
+    manifest = token_files.write_token_files(frame(spark, rows), str(tmp_path / "out"), token_files.default_tokenizer(), 2, 6).collect()
+    assert len(manifest) > 3 and max(m.docs for m in manifest) < 150
+    read = token_files.read_token_files(spark, str(tmp_path / "out"), frames=7).orderBy("start").collect()
+    assert len(read) == 300 and [r.doc_id for r in read if r.doc_id is not None] == list(range(0, 300, 3)) and all(r.doc_id is None for r in read[:200])
+    at = 0
+    for r in read:
+        assert r.start == at
+        at += r.n_tokens
+
+
+def test_other_tokenizers_encode_whole(tmp_path):
+    path = token_files.default_tokenizer()
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    assert token_files.cuts_plainly(spec)
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    assert not token_files.cuts_plainly(spec)
+    (tmp_path / "t.json").write_text(json.dumps(spec), encoding="utf-8")
+    other = token_files.Encoder(str(tmp_path / "t.json"), 2)
+    for text, ids in zip(["one two", " x"], other.encode(["one two", " x"]), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == other.tokenizer.encode(text, add_special_tokens=False).ids + [2]
 
 
 def test_encoder_equals_the_library_on_odd_texts():
