@@ -242,7 +242,7 @@ def wide_fingerprint(words: list[bytes], memo: dict[bytes, bytes]) -> np.ndarray
     distinct = list(dict.fromkeys(words))
     if not distinct:
         return np.zeros(WIDE, np.uint64)
-    if len(memo) > 500_000:
+    if len(memo) > 250_000:
         memo.clear()
     for w in distinct:
         if w not in memo:
@@ -336,7 +336,7 @@ def shingle_hashes(words: list[bytes], shingle: int, memo: dict[bytes, int]) ->
 
     if not words:
         return np.zeros(0, np.uint64)
-    if len(memo) > 500_000:
+    if len(memo) > 250_000:
         memo.clear()
     for w in set(words):
         if w not in memo:
@@ -428,12 +428,14 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, threshold
         memo: dict[bytes, bytes] = {}
         word_memo: dict[bytes, int] = {}
         for batch in batches:
-            words = [_lowered(t) for t in batch.column("text").to_pylist()]
-            digests = pa.array([xxh3_128_digest(b" ".join(w)) for w in words], pa.binary())
-            hashes = [shingle_hashes(w, shingle, word_memo) for w in words]
-            numbers = np.array([np.concatenate((wide_fingerprint(w, memo), parity(h), [np.uint64(len(h))])) for w, h in zip(words, hashes, strict=True)], np.uint64).reshape(-1, len(fields)).view(np.int64)
-            keys = pa.array([band_keys(h).view(np.int64) if len(h) else [] for h in hashes], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), digests, *[pa.array(np.ascontiguousarray(n)) for n in numbers.T], keys], ["doc_id", "digest", *fields, "keys"])
+            for at in range(0, batch.num_rows, 256):  # few texts are cut into words at a time
+                piece = batch.slice(at, 256)
+                words = [_lowered(t) for t in piece.column("text").to_pylist()]
+                digests = pa.array([xxh3_128_digest(b" ".join(w)) for w in words], pa.binary())
+                hashes = [shingle_hashes(w, shingle, word_memo) for w in words]
+                numbers = np.array([np.concatenate((wide_fingerprint(w, memo), parity(h), [np.uint64(len(h))])) for w, h in zip(words, hashes, strict=True)], np.uint64).reshape(-1, len(fields)).view(np.int64)
+                keys = pa.array([band_keys(h).view(np.int64) if len(h) else [] for h in hashes], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), digests, *[pa.array(np.ascontiguousarray(n)) for n in numbers.T], keys], ["doc_id", "digest", *fields, "keys"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
