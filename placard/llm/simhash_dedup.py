@@ -10,10 +10,14 @@ bits of 32, so a ball of radius 4 crosses nearly every boundary. Instead the
 bits are cut into blocks, and each tree measures Hamming distance on a choice
 of blocks only. Such a distance never exceeds the whole one, so the triangle
 bounds hold, and by the pigeonhole principle every pair within the threshold
-is within a smaller radius in at least one tree. That radius (0 with the
-default cut) decides how many shards a query overlaps: a fingerprint lives in
-one leaf of each tree, and is also sent as a query to every leaf whose region
-its ball crosses. Within a leaf, pairs are checked exactly on all 64 bits.
+is within a smaller radius in at least one tree. A fingerprint lives in one
+leaf of each tree, and is also sent as a query to every leaf whose region its
+ball crosses. Within a leaf, pairs are checked exactly on all 64 bits.
+
+How many leaves a ball of positive radius crosses is measured on a sample for
+the cuts of few blocks (``cut_costs``); for cuts of more blocks than bits may
+differ the radius is 0. Such a tree would grow until all points of a leaf
+agree on its bits, so these bits name the leaf. The cheapest cut is taken.
 
 Leaves that hold too many points are compared in blocks, each pair of blocks
 by a task of its own. A task returns a spanning forest of the links it finds,
@@ -134,6 +138,41 @@ def sub_metrics(threshold: int, blocks: int) -> list[tuple[int, int]]:
     return [(sum(c), 0) for c in itertools.combinations(masks, blocks - threshold)]
 
 
+def _trees(sample: np.ndarray, total: int, threshold: int, blocks: int, leaf_size: int) -> list[tuple[int, int, VantageTree | None]]:
+    """(mask, reach, tree) of a cut; the tree is None where the mask's bits name the leaf."""
+    out = []
+    for n, (mask, reach) in enumerate(sub_metrics(threshold, blocks)):
+        depth = min(16, bin(mask).count("1"), max(0, math.ceil(math.log2(max(1, total) / leaf_size))))
+        out.append((mask, reach, VantageTree(sample, mask, depth, seed=n) if reach else None))
+    return out
+
+
+def cut_costs(sample: np.ndarray, total: int, threshold: int = 4, leaf_size: int = 64, cuts: tuple[int, ...] = (2, 3, 4, 5, 6, 7, 8)) -> dict[int, tuple[float, float]]:
+    """For each number of blocks: rows sent to leaves, and comparisons there, for each fingerprint.
+
+    Measured by ball queries of the sample where the radius is positive, else
+    counted from the number of trees and of values that their bits can have.
+    """
+    out = {}
+    for blocks in cuts:
+        rows = pairs = 0.0
+        for mask, reach, tree in _trees(sample, total, threshold, blocks, leaf_size):
+            if tree is None:
+                rows, pairs = rows + 1, pairs + total / 2 ** bin(mask).count("1")
+            elif len(sample):
+                lives = np.bincount(tree.home(sample)) / len(sample)
+                _, leaf = tree.overlapping(sample, reach)
+                rows, pairs = rows + len(leaf) / len(sample), pairs + total * float(lives[leaf[leaf < len(lives)]].sum()) / len(sample)
+        out[blocks] = (rows, pairs)
+    return out
+
+
+def cheapest_cut(sample: np.ndarray, total: int, threshold: int = 4, leaf_size: int = 64, row_cost: float = 100.0) -> int:
+    """The number of blocks whose rows and comparisons cost least; a row costs as much as ``row_cost`` comparisons."""
+    costs = cut_costs(sample, total, threshold, leaf_size, tuple(range(max(1, threshold - 1), threshold + 5)))
+    return min(costs, key=lambda b: row_cost * costs[b][0] + costs[b][1])
+
+
 def _forest(fps: np.ndarray, near: np.ndarray, threshold: int) -> list[tuple[int, int]]:
     """Links (positions) that connect what lies within the threshold: a spanning forest of fps x near."""
     label, links = np.arange(len(fps)), []
@@ -149,29 +188,23 @@ def fingerprint_links(nodes: DataFrame, threshold: int = 4, blocks: int | None =
     """(a, b): links between node ids that keep all fingerprints within the threshold connected.
 
     nodes: (node, fp), one row per distinct fingerprint. ``sample_size``
-    fingerprints, those of least hash, place the vantage points; every
-    fingerprint is indexed. ``blocks`` is the cut of the 64 bits: from 5 up,
-    more where there are more fingerprints, always exact.
+    fingerprints, those of least hash, place the vantage points and measure
+    the cuts; every fingerprint is indexed. ``blocks`` is the cut of the 64
+    bits, always exact; None takes the cheapest.
     """
     spark = nodes.sparkSession
     total = nodes.count()
-    if blocks is None:
-        blocks = threshold + 1 + (total > 1 << 24) + (total > 1 << 31)
     sample = np.array([r.fp for r in nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample_size).collect()], np.int64).view(np.uint64)
-    metrics = sub_metrics(threshold, blocks)
-    trees = []
-    for n, (mask, reach) in enumerate(metrics):
-        depth = min(16, bin(mask).count("1"), max(0, math.ceil(math.log2(max(1, total) / leaf_size))))
-        trees.append((VantageTree(sample, mask, depth, seed=n), reach))
+    trees = _trees(sample, total, threshold, blocks or cheapest_cut(sample, total, threshold, leaf_size), leaf_size)
     shared = spark.sparkContext.broadcast(trees)  # at most 2^16 nodes a tree
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
             node = batch.column("node").to_numpy(zero_copy_only=False)
-            for n, (tree, reach) in enumerate(shared.value):
-                home = tree.home(fps)
-                who, leaf = (np.arange(len(fps)), home) if reach == 0 else tree.overlapping(fps, reach)
+            for n, (mask, reach, tree) in enumerate(shared.value):
+                home = (fps & np.uint64(mask)).view(np.int64) if tree is None else tree.home(fps)
+                who, leaf = (np.arange(len(fps)), home) if tree is None else tree.overlapping(fps, reach)
                 out = [np.full(len(who), n, np.int32), leaf, leaf == home[who], node[who], fps[who].view(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["tree", "leaf", "lives", "node", "fp"])
 
@@ -260,25 +293,21 @@ def shingle_similarity(a: list[bytes], b: list[bytes], shingle: int) -> float:
     return len(x & y) / len(x | y)
 
 
-def wide_links(nodes: DataFrame, threshold: int = 23, leaf_size: int = 256, sample_size: int = 8192, block_rows: int = 20_000) -> DataFrame:
+def wide_links(nodes: DataFrame, threshold: int = 23, block_rows: int = 20_000) -> DataFrame:
     """(a, b): links of nodes (node, f0 to f3) within the threshold of 256 bits, at least a minimum spanning forest.
 
     If four words differ in ``threshold`` bits together, one of them differs in
-    a quarter at most; each word has a forest of its own for that. A leaf's
+    a quarter at most; each word has trees of its own for that, of radius 0 on
+    blocks of its bits, which name the leaf. A leaf's
     links come by distance, in steps of 4 bits, so two nodes are connected by
     links of their own step at most. The forest is of candidates: where one of
     them fails verification, a true link that it stands for is missing, and
     the search of ``near_copies`` over verified components finds it.
     """
-    spark, words = nodes.sparkSession, [f"f{i}" for i in range(WIDE)]
+    words = [f"f{i}" for i in range(WIDE)]
     total, each = nodes.count(), threshold // WIDE
-    sample = np.array([tuple(r) for r in nodes.select(*words).orderBy(F.xxhash64(*words), *words).limit(sample_size).collect()], np.int64).reshape(-1, WIDE).view(np.uint64)
-    trees = []
-    for word in range(WIDE):
-        for n, (mask, _) in enumerate(sub_metrics(each, each + 1)):
-            depth = min(16, bin(mask).count("1"), max(0, math.ceil(math.log2(max(1, total) / leaf_size))))
-            trees.append((word, VantageTree(sample[:, word], mask, depth, seed=100 * word + n)))
-    shared = spark.sparkContext.broadcast(trees)
+    blocks = each + 1 + (total > 1 << 20) + (total > 1 << 27)  # more blocks: more bits agree, so leaves stay small
+    masks = [(word, np.uint64(mask)) for word in range(WIDE) for mask, _ in sub_metrics(each, blocks)]
 
     def numbers(rows: pa.Table | pa.RecordBatch) -> np.ndarray:
         return np.stack([np.asarray(rows.column(f)) for f in words], axis=1).view(np.uint64)
@@ -286,8 +315,8 @@ def wide_links(nodes: DataFrame, threshold: int = 23, leaf_size: int = 256, samp
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = numbers(batch)
-            for n, (word, tree) in enumerate(shared.value):
-                leaf = (n << 32) + tree.home(np.ascontiguousarray(fps[:, word]))
+            for n, (word, mask) in enumerate(masks):
+                leaf = ((fps[:, word] & mask) ^ np.uint64(n * 0x9E3779B97F4A7C15 % (1 << 64))).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(leaf), batch.column("node"), *[batch.column(f) for f in words]], ["leaf", "node", *words])
 
     fields = ", ".join(f"{f} long" for f in words)

@@ -108,6 +108,31 @@ def test_vantage_forest_finds_every_pair(threshold, blocks):
     assert found == want and want
 
 
+@pytest.mark.parametrize("blocks", [None, 1, 3, 4])
+def test_ball_queries_cross_leaves_and_match_brute_force(spark, blocks):
+    rng = np.random.default_rng(17)
+    base = rng.integers(0, 1 << 62, 150, dtype=np.uint64)
+    near = [b ^ np.uint64(sum(1 << int(i) for i in rng.choice(62, 4, replace=False))) for b in base[:80]]
+    fps = {i: int(f) for i, f in enumerate(np.unique(np.concatenate((base, np.array(near, np.uint64)))))}
+    values = np.array(list(fps.values()), np.uint64)
+    if blocks:
+        for _, reach, tree in simhash_dedup._trees(values, len(values), 4, blocks, 4):
+            who, leaf = tree.overlapping(values, reach)
+            assert reach > 0 and len(leaf) > len(values) == len(np.unique(who))  # balls reach into other leaves
+            assert blocks == 1 or len(leaf) < len(values) << tree.depth  # and branches are pruned
+    nodes = spark.createDataFrame(list(fps.items()), "node long, fp long")
+    got = {r.node: r.component for r in simhash_dedup.components(simhash_dedup.fingerprint_links(nodes, 4, blocks, leaf_size=4)).collect()}
+    assert {i: got.get(i, i) for i in fps} == brute_components(fps, 4)
+
+
+def test_the_cheapest_cut_follows_the_corpus():
+    sample = np.random.default_rng(2).integers(0, 1 << 64, 2048, dtype=np.uint64)
+    cuts = [simhash_dedup.cheapest_cut(sample, n) for n in (1 << 12, 1 << 22, 1 << 32)]
+    assert cuts == sorted(cuts) and cuts[0] < cuts[-1]
+    costs = simhash_dedup.cut_costs(sample, 1 << 18)
+    assert costs[4][0] > costs[5][0] and costs[2][0] > costs[4][0]
+
+
 def test_crowded_leaves_are_cut_and_stay_exact(spark):
     rng = np.random.default_rng(3)
     base = int(rng.integers(0, 1 << 62))
