@@ -234,13 +234,38 @@ def brute_removed(rows, phrase=13):
     return out
 
 
-@pytest.mark.parametrize("rows_per_block", [None, 7, 1])
-def test_rlz_matches_brute_force(spark, rows_per_block):
-    got = {r.doc_id: r for r in rlz_dedup.duplicate_spans(frame(spark, extra=True), rows_per_block=rows_per_block).collect()}
+@pytest.mark.parametrize(("rows_per_block", "busy"), [(None, 1 << 26), (7, 1 << 26), (7, 50), (1, 1 << 26)])
+def test_rlz_matches_brute_force(spark, rows_per_block, busy):
+    got = {r.doc_id: r for r in rlz_dedup.duplicate_spans(frame(spark, extra=True), rows_per_block=rows_per_block, busy=busy).collect()}
     want = brute_removed(corpus())
     assert {d: r.kept for d, r in got.items()} == want
     assert all(r.n_words - r.n_removed == len(r.kept.split()) for r in got.values())
-    assert any(r.n_removed for r in got.values())
+    words = {r[0]: (r[1] or "").split() for r in corpus()}
+    factors = [(d, f) for d, r in got.items() for f in r.spans]
+    assert factors
+    for d, f in factors:  # the very words stand at the place that a factor names
+        assert f.words >= 13 and f.doc_id < d and words[d][f.start : f.start + f.words] == words[f.doc_id][f.offset : f.offset + f.words]
+    for r in got.values():
+        assert all(x.start + x.words <= y.start for x, y in itertools.pairwise(r.spans))
+
+
+def test_factors_are_the_longest_over_all_blocks(spark):
+    rng = random.Random(77)
+    passage = [f"w{i}" for i in range(60)]
+    noise = lambda n: [f"n{rng.random()}" for _ in range(n)]
+    texts = [noise(9) + passage[:13] + noise(9), noise(30), noise(5) + passage[5:30] + noise(5), noise(4) + passage + noise(4), noise(3) + passage + passage[:20] + noise(3)]
+    rows = [(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)]
+    got = {r.doc_id: [tuple(f) for f in r.spans] for r in rlz_dedup.duplicate_spans(frame(spark, rows), rows_per_block=1).collect()}
+    assert [(s, n, d, o) for s, n, _, d, o in got[3]] == [(4, 13, 0, 9), (17, 17, 2, 13)] and got[0] == got[1] == []
+    # The passage's first window stands in document 0 too, but the factor is the whole passage of document 3.
+    assert [(s, n, d, o) for s, n, _, d, o in got[4]] == [(3, 60, 3, 4), (63, 20, 3, 4)]
+
+
+def test_stretches_and_choice():
+    assert rlz_dedup.stretches(np.array([-1, 2, 2, -1, 0, 1]), 3) == [(1, 4, [(2, 1, 4)]), (4, 4, [(0, 4, 4), (1, 4, 4)])]
+    many = rlz_dedup.stretches(np.array([0, 1, 2, 3, 4, 0]), 2)
+    assert many == [(0, 7, [(0, 0, 7), (1, 1, 2), (2, 2, 2), (3, 3, 2), (4, 4, 2)])]
+    assert rlz_dedup.chosen([(0, 5, 1, 9, 0), (2, 8, 0, 3, 4), (9, 6, 2, 7, 1)], 3) == [(0, 5, 1, 9, 0), (5, 5, 0, 3, 7), (10, 5, 2, 7, 2)]
 
 
 # --- op10
