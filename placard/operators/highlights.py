@@ -57,6 +57,22 @@ def parts(text: Column, spans: Column) -> Column:
 
 
 def line_breaks(text: Column) -> Column:
-    """A break after each sentence and before each list mark."""
-    sentences = F.regexp_replace(text, r"(?<=[가-힣][.!?])[ \t]+(?=\S)", "\n")
-    return F.regexp_replace(sentences, r"[ \t]+(?=[○●•※▶■□-] )", "\n")
+    """A break in place of the spaces after a Korean sentence, before a bullet, and before the numbers of a list.
+
+    Breaks and indents stay; addresses hold no spaces; numbers count as a list only if they go up from 1 within their line and aren't
+    part of a date.
+    """
+    date = r"\b\d{1,4}\.[ \t]*\d{1,2}\.(?:[ \t]*\d{1,2}\.)?"
+    lines = F.split(text, "\n", -1)
+    number = r"(?:^|(?<=[ \t]))(?:\((\d+)\)|(\d+)[.)])[ \t]+(?=\S)"
+
+    def broken(line: Column) -> Column:
+        undated = F.regexp_replace(line, date, "")
+        found = F.transform(F.regexp_extract_all(undated, F.lit(number), F.lit(0)), lambda m: F.regexp_extract(m, r"\d+", 0).try_cast("int"))
+        is_list = (F.size(found) > 1) & F.forall(F.transform(found, lambda n, i: n == i + 1), lambda ok: F.coalesce(ok, F.lit(False)))
+        # What follows another mark on the line, isn't a date and begins with the list's next number.
+        listed = F.when(is_list, F.regexp_replace(line, r"(?<=\S)[ \t]+(?=(?:\(\d+\)|\d+[.)])[ \t]+\S)(?!\d{1,4}\.[ \t]*\d{1,2}\.)", "\n")).otherwise(line)
+        sentences = F.regexp_replace(listed, r"(?<=[가-힣][.!?])[ \t]+(?=\S)|(?<=[가-힣][.!?][\"'”’」』)])[ \t]+(?=\S)", "\n")
+        return F.regexp_replace(sentences, r"(?<=\S)[ \t]+(?=[•●■▶※][ \t]+\S)", "\n")
+
+    return F.array_join(F.transform(lines, broken), "\n")

@@ -40,7 +40,14 @@ def test_highlights(spark):
     cut = [[(p.text, p.highlighted) for p in r[0]] for r in spans.select(highlights.parts(F.col("t"), F.col("s"))).collect()]
     assert cut == [[("a", False), ("b", True), ("c", True), ("de", True), ("f", False)], []]
     assert spark.range(1).select(highlights.occurrences(F.lit("aaaa"), F.lit("aa"))).first()[0] == [0, 1, 2]
-    assert spark.range(1).select(highlights.line_breaks(F.lit("합니다. 다음 ○ 항목"))).first()[0] == "합니다.\n다음\n○ 항목"
+    assert spark.range(1).select(highlights.line_breaks(F.lit("합니다. 다음 ● 항목"))).first()[0] == "합니다.\n다음\n● 항목"
+
+
+def test_line_breaks_know_lists_and_dates(spark):
+    texts = ["1. 신청 2. 접수 3. 발표", "2026. 3. 1. 까지 2. 접수", "2. 둘 3. 셋", "(1) 가 (2) 나", "끝입니다.” 다음", "a.b@c.kr 1) 하나"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r.b for r in df.select("i", highlights.line_breaks(F.col("t")).alias("b")).orderBy("i").collect()]
+    assert got == ["1. 신청\n2. 접수\n3. 발표", texts[1], texts[2], "(1) 가\n(2) 나", "끝입니다.”\n다음", texts[5]]
 
 
 def test_rewrite_checks_and_saves(spark):
