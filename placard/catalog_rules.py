@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from placard import catalog
 from placard.catalog import NOW, VIEW_SQL, _query, _table, _view, notices
-from placard.functions import extract, identity, spans, text, urls
+from placard.functions import extract, identity, registry, spans, text, urls
 from placard.operators import claims, collect, dictionary, highlights, jobs, manifest, merge, review, rewrite, validators
 from placard.plans import views
 from placard.sources import api_xml, board_pages, html_files, normalise
@@ -782,3 +782,55 @@ def lease_waits(spark, d):
 def unique_turns(spark, d):
     turns = _table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list("text").alias("t"))
     return turns.select("conv_id", validators.unique(C("t")).alias("all_different"), F.size("t").cast("long").alias("n"))
+
+
+@_query("select doc_id, case when doc_id % 2 = 0 then 't' || doc_id || chr(10) || 'b' else 't' || doc_id end as input from documents")
+def rewrite_inputs(spark, d):
+    html = F.when(C("id") % 2 == 0, "<p>b</p>").otherwise("<p></p><img src='x'>")
+    return _docs(spark, d).select(C("id").alias("doc_id"), text.title_and_body(_say("t", C("id")), text.html_to_notice_text(html)).alias("input"))
+
+
+@_query("""select '{"processed":' || count(*) || ',"pending":' || sum((event_type = 'signup')::int) || ',"running":0,"succeeded":' || sum((event_type not in ('signup', 'error', 'view'))::int) || ',"skipped":0,"blocked":' || sum((event_type = 'view')::int) || ',"retry_wait":' || sum((event_type = 'error')::int) ||
+',"exhausted":0,"reasons":["e0","e1","e2"],"complete":false}' as report from events""")
+def run_report(spark, d):
+    state = F.when(C("event_type") == "error", "retry_wait").when(C("event_type") == "view", "blocked").when(C("event_type") == "signup", "pending").otherwise("succeeded")
+    return jobs.report(_table(spark, d, "events").select(state.alias("state"), _say("e", C("event_id") % 3).alias("reason_code")))
+
+
+@_query("""select doc_id, list_extract(['audience', '', 'summary', '', 'location'], (doc_id % 5 + 1)::int) as valid from documents""")
+def evidence_checked(spark, d):
+    # By id % 5: in the body, elsewhere, in the title for a field that may be, in the title for one that may not, a file that was sent.
+    k, none = C("id") % 5, L(None).cast("string")
+    item = F.struct(_nth(("audience", "audience", "summary", "audience", "location"), k).alias("field"), _nth(("b1", "zz", "t1", "t1", "any"), k).alias("excerpt"), F.when(k == 4, "image").otherwise("text").alias("source_type"), F.when(k == 4, "media_1").alias("source_id"))
+    return _docs(spark, d).select(C("id").alias("doc_id"), F.array_join(F.transform(claims.valid_evidence(F.array(item), L("a b1 c"), L("t1"), F.array(L("media_1"))), lambda e: e["field"]), ",").alias("valid"))
+
+
+@_query("select doc_id, doc_id % 8 > 0 and doc_id % 8 < 7 as loses from documents")
+def information_lost(spark, d):
+    # By id % 8: nothing, a field, a card, a note, a date, evidence, the deadline; evidence that is named as uncertain.
+    k = C("id") % 8
+    date = F.struct(L("event").alias("kind"), *[L("x").alias(c) for c in ("start_date", "end_date", "start_time", "end_time")])
+    short = F.struct(L("event").alias("kind"), L("x").alias("start_date"), *[L(None).cast("string").alias(c) for c in ("end_date", "start_time", "end_time")])
+
+    def result(changed: bool) -> Column:
+        lost = lambda n: (k == n) if changed else L(False)
+        fields = [F.when(~lost(1) if f == "audience" else L(True), "v").alias(f) for f in merge.RESULT_FIELDS]
+        cards = F.struct(*[F.when(lost(2), " ").otherwise("v").alias(c) if c == "notes" else L("v").alias(c) for c in merge.CARDS]).alias("card_summaries")
+        evidence = F.when(lost(5) | lost(7), F.array(L("summary"))).otherwise(F.array(L("summary"), L("dates"))).alias("evidence")
+        return F.struct(*fields, cards, F.when(lost(3), F.array(L("n"))).otherwise(F.array(L("n"), L("m"))).alias("notes"), F.array(L("t")).alias("topics"), F.when(lost(4), F.array(short)).otherwise(F.array(date)).alias("dates"), evidence, F.when(lost(7), F.array(L("dates"))).otherwise(F.array().cast("array<string>")).alias("uncertainties"))
+
+    rows = _docs(spark, d).select("id", result(False).alias("a"), result(True).alias("b"))
+    return rows.select(C("id").alias("doc_id"), merge.loses_information(C("a"), C("b"), L("2026-01-01"), F.when(k != 6, "2026-01-01")).alias("loses"))
+
+
+@_query("select doc_id, doc_id % 4 = 0 as valid from documents")
+def dictionary_results(spark, d):
+    k = C("id") % 4
+    entry = F.struct(L("7").alias("target_code"), L("w").alias("word"), F.when(k == 3, F.array(L(" "))).otherwise(F.array(L("s"))).alias("senses"))
+    return _docs(spark, d).select(C("id").alias("doc_id"), dictionary.result_valid(F.when(k == 1, "x").otherwise("w"), L("stdict-v1"), F.when(k == 2, "not_found").otherwise("found"), F.array(entry), L("w")).alias("valid"))
+
+
+@_query("select doc_id, 'id:f' || doc_id as file_key, least(3600, 30 * 2 ** least(doc_id % 12, 10))::bigint as wait, case when doc_id % 2 = 0 then 2 end::int as place from documents")
+def sql_functions(spark, d):
+    registry.register(spark)
+    return _docs(spark, d).selectExpr("id as doc_id", "file_key(concat('f', id), 'u') as file_key", "retry_seconds(cast(id % 12 + 1 as int)) as wait", "unique_place(if(id % 2 = 0, 'a b c', 'a b b'), 'b') as place")

@@ -70,6 +70,18 @@ def missing_cards(summaries: DataFrame, key: str, needed: tuple[str, ...], evide
     return summaries.select(key, F.array_sort(F.array_except(F.array(*map(F.lit, needed)), F.transform(evidence, lambda e: e["field"]))).alias("missing"))
 
 
+#: Fields that a notice's title may prove.
+BY_TITLE = ("summary", "category", "category_code")
+
+
+def valid_evidence(evidence: Column, body: Column, title: Column, media: Column) -> Column:
+    """Those of evidence (field, excerpt, source_type, source_id) that hold: text that stands in the body, or for some fields in the title; files that were sent (media: array of ids)."""
+    stated = lambda e: F.trim(e["excerpt"]) != ""
+    in_text = lambda e: (e["source_type"] == "text") & e["source_id"].isNull() & (F.contains(body, e["excerpt"]) | (e["field"].isin(*BY_TITLE) & F.contains(title, e["excerpt"])))
+    in_file = lambda e: e["source_type"].isin("document", "image") & F.array_contains(media, e["source_id"])
+    return F.filter(evidence, lambda e: F.coalesce(stated(e) & (in_text(e) | in_file(e)), F.lit(False)))
+
+
 def ground_dates(dates: DataFrame) -> DataFrame:
     """dates (notice_id, kind, start_date, end_date, block) with verdict.
 

@@ -80,6 +80,12 @@ def shown_status(status: Column, text: Column, title: Column, candidates: Column
     return F.when(candidates.isNull(), F.when(status == "complete", "failed").otherwise(status)).when(~aligned(text, title, candidates), "failed").when(some("failed"), "partial").when(some("pending") & (status == "complete"), "pending").otherwise(status)
 
 
+def result_valid(query_word: Column, version: Column, status: Column, entries: Column, asked: Column, contract: str = "stdict-v1") -> Column:
+    """Whether a stored result is the asked word's, of this contract, and found just if it has entries (target_code, word, senses), each with a number and a sense."""
+    whole = F.forall(entries, lambda e: (F.trim(e["target_code"]) != "") & (F.trim(e["word"]) != "") & (F.size(e["senses"]) > 0) & F.forall(e["senses"], lambda x: F.trim(x) != ""))
+    return F.coalesce((query_word == asked) & (version == contract) & status.isin("found", "not_found") & ((status == "found") == (F.size(entries) > 0)) & whole, F.lit(False))
+
+
 def claim_lookups(cache: DataFrame, wanted: DataFrame, now: Column) -> DataFrame:
     """cache (cache_key, result, lease_token, lease_expires_at, retry_after_at) after leases for wanted keys (cache_key, token) that have no result, live lease or cooldown."""
     joined = cache.alias("c").join(wanted.alias("w"), F.col("c.cache_key") == F.col("w.cache_key"), "full_outer")

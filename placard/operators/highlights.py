@@ -15,28 +15,32 @@ def occurrences(text: Column, quote: Column) -> Column:
 def locate(evidence: DataFrame) -> DataFrame:
     """evidence (notice_id, card, excerpt, source_type, body) with place_status, start and end (UTF-16 units).
 
-    An excerpt that is there but once is matched; one that matches only with
-    white space squeezed is near and has no place; two or more places are
-    ambiguous, none is guessed.
+    An excerpt that is there but once is matched; one that is there but once
+    with other white space is near, and its place is where it stands in the
+    body; two or more places are ambiguous, none is guessed.
     """
-    squeeze = lambda c: F.regexp_replace(c, r"(?U)\s+", " ")
     units = lambda c: (F.octet_length(F.encode(c, "UTF-16LE")) / 2).cast("long")
     at = F.instr("body", F.col("excerpt"))
     again = F.instr(F.expr("substr(body, instr(body, excerpt) + 1)"), F.col("excerpt"))
+    words = F.filter(F.split("excerpt", r"(?U)\s+"), lambda w: w != "")
+    loose = F.concat(F.lit(r"(?U)\Q"), F.array_join(words, r"\E\s+\Q"), F.lit(r"\E"))
+    found = F.when(F.size(words) > 0, F.regexp_extract_all("body", loose, F.lit(0)))
     status = (
         F.when(F.col("source_type") != "text", "file_reference").when(F.coalesce(F.col("excerpt"), F.lit("")) == "", "invalid_reference").when((at > 0) & (again == 0), "matched")
-        .when(at > 0, "ambiguous").when(F.contains(squeeze(F.col("body")), squeeze(F.trim("excerpt"))), "near").otherwise("not_found")
+        .when(at > 0, "ambiguous").when(F.size(found) == 1, "near").when(F.size(found) > 1, "ambiguous").otherwise("not_found")
     )
-    placed = evidence.withColumn("place_status", status).withColumn("_before", F.when(F.col("place_status") == "matched", F.expr("substr(body, 1, instr(body, excerpt) - 1)")))
-    return placed.withColumn("start", units(F.col("_before"))).withColumn("end", F.col("start") + units(F.col("excerpt"))).drop("_before")
+    placed = evidence.withColumns({"place_status": status, "_found": F.get(found, F.lit(0))})
+    text = F.when(F.col("place_status") == "matched", F.col("excerpt")).when(F.col("place_status") == "near", F.col("_found"))
+    placed = placed.withColumn("_text", text).withColumn("start", units(F.expr("substr(body, 1, instr(body, _text) - 1)")))
+    return placed.withColumn("end", F.col("start") + units(F.col("_text"))).drop("_found", "_text")
 
 
 def card_status(located: DataFrame) -> DataFrame:
     """notice_id, card, status (ready, partial, ambiguous, file_only, not_found, no_evidence) and spans, sorted and distinct."""
     n = lambda *s: F.count_if(F.col("place_status").isin(*s))
     sums = located.groupBy("notice_id", "card").agg(
-        F.count("place_status").alias("all"), n("matched").alias("matched"), n("ambiguous").alias("ambiguous"), n("file_reference").alias("files"),
-        F.array_sort(F.collect_set(F.when(F.col("place_status") == "matched", F.struct("start", "end")))).alias("spans"),
+        F.count("place_status").alias("all"), n("matched", "near").alias("matched"), n("ambiguous").alias("ambiguous"), n("file_reference").alias("files"),
+        F.array_sort(F.collect_set(F.when(F.col("place_status").isin("matched", "near"), F.struct("start", "end")))).alias("spans"),
     )
     status = (
         F.when(F.col("all") == 0, "no_evidence").when(F.col("matched") == F.col("all"), "ready").when(F.col("matched") > 0, "partial").when(F.col("files") == F.col("all"), "file_only")

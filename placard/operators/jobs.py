@@ -129,3 +129,11 @@ def fold_status(states: Column) -> Column:
     done = F.size(F.filter(states, lambda s: s.isin("found", "not_found")))
     waits = F.exists(states, lambda s: s.isin("waiting", "cooling"))
     return F.when(done == F.size(states), "complete").when(done > 0, "partial").when(waits, "pending").otherwise("unprocessed")
+
+
+def report(transitions: DataFrame, states: tuple[str, ...] = STATES) -> DataFrame:
+    """One row: a run's report as JSON, with how many jobs came to each state, sorted reasons of failures, and whether all went well."""
+    counts = [F.count_if(F.col("state") == s).alias(s) for s in states]
+    failed = F.col("state").isin("blocked", "exhausted", "retry_wait")
+    sums = transitions.agg(F.count("*").alias("processed"), *counts, F.array_sort(F.collect_set(F.when(failed, F.col("reason_code")))).alias("reasons"), (F.count_if(failed) == 0).alias("complete"))
+    return sums.select(F.to_json(F.struct(*sums.columns)).alias("report"))

@@ -166,6 +166,29 @@ def save_corrections(current: DataFrame, batch: DataFrame, now: Column, by_sourc
     )
 
 
+# A result's fields that a later one of the same source has to keep, and its cards.
+RESULT_FIELDS = ("category_code", "publisher", "applicable_area", "audience", "action", "location", "status_detail", "notice_update", "changed_details", "summary")
+CARDS = ("audience", "deadline", "action", "notes")
+
+
+def loses_information(old: Column, new: Column, old_deadline: Column, new_deadline: Column) -> Column:
+    """Whether a new result (struct) has less than the old one.
+
+    Fields, cards, notes and topics, dates of each kind (their number, and how
+    many have each part), evidence for a field that isn't named as uncertain,
+    or the deadline.
+    """
+    blank = lambda c: F.coalesce(F.trim(c.cast("string")), F.lit("")) == ""
+    gone = [~blank(old[f]) & blank(new[f]) for f in RESULT_FIELDS] + [~blank(old["card_summaries"][c]) & blank(new["card_summaries"][c]) for c in CARDS]
+    size = lambda a: F.coalesce(F.size(a), F.lit(0))
+    fewer = [size(new[c]) < size(old[c]) for c in ("notes", "topics")]
+    parts = (None, "start_date", "end_date", "start_time", "end_time")
+    n = lambda dates, kind, part: size(F.filter(dates, lambda d: d["kind"].eqNullSafe(kind) & (d[part].isNotNull() if part else F.lit(True))))
+    dates = F.exists(old["dates"], lambda d: reduce(lambda a, b: a | b, [n(new["dates"], d["kind"], p) < n(old["dates"], d["kind"], p) for p in parts]))
+    evidence = size(lost_fields(old["evidence"], new["evidence"], F.coalesce(new["uncertainties"], F.array().cast("array<string>")))) > 0
+    return F.coalesce(reduce(lambda a, b: a | b, [*gone, *fewer, F.coalesce(dates, F.lit(False)), evidence, old_deadline.isNotNull() & new_deadline.isNull()]), F.lit(False))
+
+
 def save_summaries(current: DataFrame, batch: DataFrame, now: Column) -> DataFrame:
     """The next snapshot of summaries (notice_id, status, result, source_hash, attempt_count, last_error_code, updated_at).
 

@@ -35,7 +35,7 @@ def test_highlights(spark):
     located = highlights.locate(df.filter("source_type is not null"))
     assert {(r.card, r.place_status) for r in located.collect()} == {("a", "matched"), ("a", "near"), ("b", "ambiguous"), ("c", "file_reference"), ("e", "not_found")}
     got = {r.card: (r.status, [tuple(s) for s in r.spans]) for r in highlights.card_status(located).collect()}
-    assert got == {"a": ("partial", [(7, 12)]), "b": ("ambiguous", []), "c": ("file_only", []), "e": ("not_found", [])}
+    assert got == {"a": ("ready", [(7, 12), (14, 20)]), "b": ("ambiguous", []), "c": ("file_only", []), "e": ("not_found", [])}
     spans = spark.createDataFrame([("abcdef", [(1, 3), (2, 5)]), ("", [])], "t string, s array<struct<start:long,end:long>>")
     cut = [[(p.text, p.highlighted) for p in r[0]] for r in spans.select(highlights.parts(F.col("t"), F.col("s"))).collect()]
     assert cut == [[("a", False), ("b", True), ("c", True), ("de", True), ("f", False)], []]
