@@ -232,7 +232,7 @@ w as (select *, max(case when rank <= 10 then known::int end) over (partition by
 select event_type, user_id, rank::bigint as rank from w where (rank <= 10 and not known) or (rank > 10 and coalesce(head, 0) = 0 and tail = 0)""")
 def boundary_scan(spark, d):
     seen = _table(spark, d, "events").groupBy("event_type", "user_id").agg((F.min("ts") < F.lit("2024-01-02").cast("timestamp")).alias("known"), F.min("event_id").alias("pos"))
-    ranked = seen.selectExpr("event_type", "user_id", "known", "cast(row_number() over (partition by event_type order by pos desc) as bigint) as rank")
+    ranked = collect.list_ranks(seen, ("event_type",), "pos")
     return collect.boundary_scan(ranked, 10, by=("event_type",)).select("event_type", "user_id", "rank")
 
 

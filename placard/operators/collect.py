@@ -54,6 +54,21 @@ def traversal(pages: DataFrame, again: DataFrame, key: str = "post_sn") -> DataF
     return one_row.select("listed", "distinct", "conflicts", moved.alias("moved"), ((F.col("distinct") == F.col("high")) & (F.col("conflicts") == 0) & ~moved).alias("complete"))
 
 
+def list_ranks(rows: DataFrame, by: tuple[str, ...], pos: str, buckets: int = 256) -> DataFrame:
+    """rows with rank: the place from 1, highest pos (a whole number) first, within each list.
+
+    Lists are cut into buckets of equal width of pos; counts of the buckets
+    before give the offset, so no task ranks a whole list.
+    """
+    span = rows.agg(F.min(pos).alias("_low"), F.max(pos).alias("_high"))
+    width = F.greatest(F.lit(1), F.ceil((F.col("_high") - F.col("_low") + 1) / buckets))
+    cut = rows.join(F.broadcast(span), F.lit(True)).withColumn("_bucket", F.floor((F.col("_high") - F.col(pos)) / width)).drop("_low", "_high")
+    lists = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut.groupBy(*by, "_bucket").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(lists), F.lit(0))).drop("_n")
+    within = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(F.desc(pos)))
+    return cut.join(offsets, [*by, "_bucket"]).withColumn("rank", (F.col("_before") + within).cast("long")).drop("_bucket", "_before")
+
+
 def boundary_scan(rows: DataFrame, first: int, mode: str = "new", baseline: bool = False, by: tuple[str, ...] = (), refresh_stops: bool = True) -> DataFrame:
     """rows (rank in list order from 1, known) that an incremental run takes.
 
