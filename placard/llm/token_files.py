@@ -33,7 +33,6 @@ import functools
 import json
 import struct
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
