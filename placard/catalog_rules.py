@@ -532,10 +532,10 @@ def reminders(spark, d):
     return _docs(spark, d).select(C("id").alias("doc_id"), made.alias("r")).select("doc_id", "r.identifier", C("r.at").alias("remind_at"))
 
 
-@_query(f"with {VIEW_SQL} select id, registered_on from view where registered_on = date '2024-03-05' and exists (select 1 from labels where doc_id = id and quality = 1)", ("registered_on",))
+@_query(f"with {VIEW_SQL} select id, registered_on from view where registered_on >= date '2024-03-05' and exists (select 1 from labels where doc_id = id and quality = 1)", ("registered_on",))
 def known_ids(spark, d):
     known = _table(spark, d, "labels").filter("quality = 1").select(C("doc_id").alias("id"))
-    return _view(spark, d).filter("registered_on = date'2024-03-05'").join(known, "id", "left_semi").select("id", "registered_on")
+    return _view(spark, d).filter("registered_on >= date'2024-03-05'").join(known, "id", "left_semi").select("id", "registered_on")
 
 
 @_query(f"with {VIEW_SQL} select doc_id as notice_id, doc_id % 3 as k from documents where doc_id in (select id from notices where is_visible and dong_group is distinct from 'other')")
