@@ -13,6 +13,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: What workers keep from task to task, as functions that let it go.
+KEPT: list = []
+
+
+def release() -> None:
+    """Lets go of what earlier stages keep in this Python worker; called by tasks that need memory for other things."""
+    for forget in KEPT:
+        forget()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placard.llm.common import checkpointed, only, small, staged
+from placard.llm.common import checkpointed, only, release, small, staged
 
 BITS = 64
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -268,23 +268,18 @@ def _lowered(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(_LOWER).split()
 
 
-def wide_fingerprint(words: list[bytes], memo: dict[bytes, bytes]) -> np.ndarray:
+def wide_fingerprint(words: list[bytes]) -> np.ndarray:
     """The 256-bit SimHash of a text's distinct words, as four 64-bit numbers."""
     from xxhash import xxh3_128_digest
 
     distinct = list(dict.fromkeys(words))
     if not distinct:
         return np.zeros(WIDE, np.uint64)
-    if len(memo) > 250_000:
-        memo.clear()
-    for w in distinct:
-        if w not in memo:
-            memo[w] = xxh3_128_digest(w, 1) + xxh3_128_digest(w, 2)
-    hashes = np.frombuffer(b"".join([memo[w] for w in distinct]), np.uint8).reshape(-1, 8 * WIDE)
     counts = np.zeros(64 * WIDE, np.int64)
-    for part in range(0, len(hashes), 1 << 14):
-        counts += np.unpackbits(hashes[part : part + (1 << 14)], axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * counts > len(hashes)).view("<u8").astype(np.uint64)
+    for part in range(0, len(distinct), 1 << 12):
+        digests = b"".join([xxh3_128_digest(w, 1) + xxh3_128_digest(w, 2) for w in distinct[part : part + (1 << 12)]])
+        counts += np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8 * WIDE), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(distinct)).view("<u8").astype(np.uint64)
 
 
 def shingle_similarity(a: list[bytes], b: list[bytes], shingle: int) -> float:
@@ -359,18 +354,13 @@ def wide_links(nodes: DataFrame, threshold: int = 23, block_rows: int = 20_000)
     return tasks.groupBy("cell").applyInArrow(search, "a long, b long").filter("a <> b").distinct()
 
 
-def shingle_hashes(words: list[bytes], shingle: int, memo: dict[bytes, int]) -> np.ndarray:
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
     """The distinct 64-bit hashes of a text's shingles, ascending; a text without words has none."""
     from xxhash import xxh64_intdigest
 
     if not words:
         return np.zeros(0, np.uint64)
-    if len(memo) > 250_000:
-        memo.clear()
-    for w in set(words):
-        if w not in memo:
-            memo[w] = xxh64_intdigest(w, 7)
-    each = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+    each = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
     n = max(1, len(words) - shingle + 1)
     out = np.zeros(n, np.uint64)
     for k in range(min(shingle, len(words))):
@@ -393,8 +383,8 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     salt, odd = rng.integers(0, 1 << 64, (2, BANDS * BAND_ROWS), dtype=np.uint64)
     odd |= np.uint64(1)
     least = np.full(BANDS * BAND_ROWS, np.uint64((1 << 64) - 1))
-    for at in range(0, len(hashes), 1 << 13):
-        mixed = (hashes[at : at + (1 << 13), None] ^ salt) * odd
+    for at in range(0, len(hashes), 1 << 11):
+        mixed = (hashes[at : at + (1 << 11), None] ^ salt) * odd
         np.minimum(least, (mixed ^ mixed >> np.uint64(31)).min(axis=0), out=least)
     keys = np.arange(1, BANDS + 1, dtype=np.uint64)
     for values in least.reshape(BANDS, BAND_ROWS).T:
@@ -454,15 +444,14 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, threshold
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
-        memo: dict[bytes, bytes] = {}
-        word_memo: dict[bytes, int] = {}
+        release()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):  # few texts are cut into words at a time
                 piece = batch.slice(at, 256)
                 words = [_lowered(t) for t in piece.column("text").to_pylist()]
                 digests = pa.array([xxh3_128_digest(b" ".join(w)) for w in words], pa.binary())
-                hashes = [shingle_hashes(w, shingle, word_memo) for w in words]
-                numbers = np.array([np.concatenate((wide_fingerprint(w, memo), parity(h), [np.uint64(len(h))])) for w, h in zip(words, hashes, strict=True)], np.uint64).reshape(-1, len(fields)).view(np.int64)
+                hashes = [shingle_hashes(w, shingle) for w in words]
+                numbers = np.array([np.concatenate((wide_fingerprint(w), parity(h), [np.uint64(len(h))])) for w, h in zip(words, hashes, strict=True)], np.uint64).reshape(-1, len(fields)).view(np.int64)
                 keys = pa.array([band_keys(h).view(np.int64) if len(h) else [] for h in hashes], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), digests, *[pa.array(np.ascontiguousarray(n)) for n in numbers.T], keys], ["doc_id", "digest", *fields, "keys"])
 

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placard.llm.common import fresh_path, only, table
+from placard.llm.common import KEPT, fresh_path, only, table
 
 INDEX_MAGIC, SEEK_MAGIC, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 #: Entries that each of one worker's memos holds at most; pieces of over PIECE characters are never kept.
@@ -77,14 +77,14 @@ def cuts_plainly(tokenizer: dict) -> bool:
 class _Memo(dict):
     """What a function returned for short strings; emptied when full."""
 
-    def __init__(self, function):
+    def __init__(self, function, most: int):
         super().__init__()
-        self.function = function
+        self.function, self.most = function, most
 
     def __missing__(self, key: str) -> bytes:
         found = self.function(key)
         if len(key) <= PIECE:
-            if len(self) >= MEMO:
+            if len(self) >= self.most:
                 self.clear()
             self[key] = found
         return found
@@ -111,7 +111,7 @@ class Encoder:
             self.plain = cuts_plainly(json.load(file))
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
         self.model, self.parts, self.letters = self.tokenizer.model, regex.compile(PATTERN).findall, _byte_letters()
-        self.memo, self.words = _Memo(self._after_space), _Memo(self._word)
+        self.memo, self.words = _Memo(self._after_space, MEMO), _Memo(self._word, MEMO // 2)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -160,6 +160,9 @@ def encoder(path: str, end_id: int) -> Encoder:
     return Encoder(path, end_id)
 
 
+KEPT.append(encoder.cache_clear)
+
+
 class FrameWriter:
     def __init__(self, stream, width: int, level: int = 3):
         import zstandard
