@@ -44,7 +44,7 @@ from placard.llm.common import KEPT, fresh_path, only, table
 
 INDEX_MAGIC, SEEK_MAGIC, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 #: Entries that each of one worker's memos holds at most; pieces of over PIECE characters are never kept.
-MEMO, PIECE = 400_000, 64
+MEMO, PIECE = 700_000, 64
 #: The byte-level pattern of the public tokenizer files (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -111,7 +111,7 @@ class Encoder:
             self.plain = cuts_plainly(json.load(file))
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
         self.model, self.parts, self.letters = self.tokenizer.model, regex.compile(PATTERN).findall, _byte_letters()
-        self.memo, self.words = _Memo(self._after_space, MEMO), _Memo(self._word, MEMO // 2)
+        self.memo, self.words = _Memo(self._after_space, MEMO), _Memo(self._word, MEMO)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
