@@ -8,6 +8,7 @@ from placard.llm.chat_format import OP3_SQL, op3_chat
 from placard.llm.decontamination import OP7_SQL, op7_decontamination
 from placard.llm.line_dedup import op9_lines
 from placard.llm.mixing import OP1_SQL, op1_mixing
+from placard.llm.piece_codec import op12_pieces
 from placard.llm.quality_rules import OP5_SQL, op5_quality
 from placard.llm.rlz_dedup import op6_rlz
 from placard.llm.secret_scan import op4_secrets
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_urls": op8_urls,
     "op9_lines": op9_lines,
     "op10_token_files": op10_token_files,
+    "op12_pieces": op12_pieces,
     "pipeline": corpus_pipeline.run,
 }
 
