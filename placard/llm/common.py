@@ -70,6 +70,39 @@ def small(df: DataFrame, rows: int = 1 << 20) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def ranked(df: DataFrame, key: str, *order: Column, name: str = "rank") -> DataFrame:
+    """df with the rank of each row among the rows of its key, from 1.
+
+    Rows are sorted by ranges of key and order, so the rows of one key may lie
+    in many tasks. Each is numbered in its own; the rows of the key in the tasks
+    before come on top, from a table of one row for each key and task. Equal
+    rows are dealt by a number of their own, so they don't make one range either.
+    """
+    by = [F.col(f"`{key}`").asc_nulls_first(), *order, F.col("__row")]
+    dealt = df.withColumn("__row", F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by)
+    placed = staged(dealt.drop("__row").withColumn("__at", F.monotonically_increasing_id()).withColumn("__task", F.shiftright("__at", 33)))
+    runs = placed.groupBy(key, "__task").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    runs = runs.withColumn("__before", F.expr(f"coalesce(sum(__n) over (partition by `{key}` order by __task rows between unbounded preceding and 1 preceding), 0)"))
+    return placed.join(runs, [key, "__task"]).withColumn(name, (F.col("__at") - F.col("__first") + F.col("__before") + 1).cast("long")).drop("__at", "__task", "__first", "__n", "__before")
+
+
+def running(df: DataFrame, key: str, at: str, sums: dict[str, str], stretch: int = 4096, backward: bool = False) -> DataFrame:
+    """df (unique key and at, a number from 0 on without wide gaps) with running aggregates: name -> SQL aggregate, bit_xor or sum of a column, of the rows so far.
+
+    A key's rows are taken in stretches of at; what comes before a stretch is
+    found from one row for each stretch, so a key of any size is spread.
+    """
+    df = df.withColumn("__s", F.floor(F.col(at) / stretch))
+    way, glue = ("desc" if backward else "asc"), {n: "^" if a.startswith("bit_xor") else "+" for n, a in sums.items()}
+    each = df.groupBy(key, "__s").agg(*[F.expr(a).alias(f"__{n}") for n, a in sums.items()])
+    before = [f"coalesce({a.split('(')[0]}(__{n}) over (partition by {key} order by __s {way} rows between unbounded preceding and 1 preceding), 0) as __{n}" for n, a in sums.items()]
+    some = " or ".join(f"__{n} <> 0" for n in sums)
+    offsets = small(staged(each.selectExpr(key, "__s", *before).filter(some)))
+    inside = df.selectExpr("*", *[f"{a} over (partition by {key}, __s order by {at} {way} rows between unbounded preceding and current row) as {n}" for n, a in sums.items()])
+    shifted = {n: F.expr(f"{n} {g} coalesce(__{n}, 0)") for n, g in glue.items()}
+    return inside.join(offsets, [key, "__s"], "left").withColumns(shifted).drop("__s", *[f"__{n}" for n in sums])
+
+
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """Just these columns, so that further ones can't clash with an operator's own."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
