@@ -26,8 +26,8 @@ def ranges(total: int, size: int = MOST_ROWS, overlap: int = 10, sample: bool =
     return [(start, min(total, start + size - 1)) for start in range(1, max(1, total - overlap) + 1, size - overlap)] if total else []
 
 
-def parse_pages(pages: DataFrame, fields: tuple[str, ...] = FIELDS, required: tuple[str, ...] = REQUIRED, board: str | None = None) -> DataFrame:
-    """pages (start, end, xml) with total, rows and error.
+def parse_pages(pages: DataFrame, fields: tuple[str, ...] = FIELDS, required: tuple[str, ...] = REQUIRED, board: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """pages (start, end, xml, and columns to keep) with total, rows and error.
 
     error: range, entities, malformed, result (not one), server (to be tried
     again), code, duplicate_field, blank_field, other_board (``board`` names the
@@ -48,7 +48,7 @@ def parse_pages(pages: DataFrame, fields: tuple[str, ...] = FIELDS, required: tu
         .when(twice, "duplicate_field").when(blank, "blank_field").when(foreign, "other_board").when((code == "INFO-000") & (F.size(raw) != expected), "row_count")
     )
     rows = F.transform(raw, lambda r: F.struct(*[F.get(r[f], F.lit(0)).alias(f) for f in fields]))
-    return parsed.select("start", "end", F.col("p.list_total_count").alias("total"), rows.alias("rows"), error.alias("error"))
+    return parsed.select(*keep, "start", "end", F.col("p.list_total_count").alias("total"), rows.alias("rows"), error.alias("error"))
 
 
 def parse_city_pages(pages: DataFrame, board: str) -> DataFrame:

@@ -73,11 +73,6 @@ def collect_stream(batches: DataFrame, table: SnapshotTable, checkpoint: str, no
     return batches.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_tokens(executions: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """The last registered execution of each notice within an hour's window, for fencing results that come late."""
-    return executions.withWatermark("registered_at", delay).groupBy(F.window("registered_at", "1 hour"), "notice_id").agg(F.max("execution_token").alias("latest_token"))
-
-
 def fenced_stream(results: DataFrame, executions: DataFrame, current: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Writes each micro-batch of results that is accepted to folder/accepted, and late or stale ones to folder/superseded.
 

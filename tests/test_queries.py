@@ -5,7 +5,8 @@ import datetime as dt
 import duckdb
 import pytest
 
-import placard.catalog_rules  # noqa: F401  (adds its queries)
+import placard.catalog_feeds
+import placard.catalog_rules  # noqa: F401  (these add their queries)
 from placard.catalog import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
