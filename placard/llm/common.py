@@ -92,15 +92,15 @@ def running(df: DataFrame, key: str, at: str, sums: dict[str, str], stretch: int
     A key's rows are taken in stretches of at; what comes before a stretch is
     found from one row for each stretch, so a key of any size is spread.
     """
-    df = df.withColumn("__s", F.floor(F.col(at) / stretch))
+    df = df.withColumn("__stretch", F.floor(F.col(at) / stretch))
     way, glue = ("desc" if backward else "asc"), {n: "^" if a.startswith("bit_xor") else "+" for n, a in sums.items()}
-    each = df.groupBy(key, "__s").agg(*[F.expr(a).alias(f"__{n}") for n, a in sums.items()])
-    before = [f"coalesce({a.split('(')[0]}(__{n}) over (partition by {key} order by __s {way} rows between unbounded preceding and 1 preceding), 0) as __{n}" for n, a in sums.items()]
-    some = " or ".join(f"__{n} <> 0" for n in sums)
-    offsets = small(staged(each.selectExpr(key, "__s", *before).filter(some)))
-    inside = df.selectExpr("*", *[f"{a} over (partition by {key}, __s order by {at} {way} rows between unbounded preceding and current row) as {n}" for n, a in sums.items()])
-    shifted = {n: F.expr(f"{n} {g} coalesce(__{n}, 0)") for n, g in glue.items()}
-    return inside.join(offsets, [key, "__s"], "left").withColumns(shifted).drop("__s", *[f"__{n}" for n in sums])
+    each = df.groupBy(key, "__stretch").agg(*[F.expr(a).alias(f"__sum_{n}") for n, a in sums.items()])
+    before = [f"coalesce({a.split('(')[0]}(__sum_{n}) over (partition by {key} order by __stretch {way} rows between unbounded preceding and 1 preceding), 0) as __sum_{n}" for n, a in sums.items()]
+    some = " or ".join(f"__sum_{n} <> 0" for n in sums)
+    offsets = small(staged(each.selectExpr(key, "__stretch", *before).filter(some)))
+    inside = df.selectExpr("*", *[f"{a} over (partition by {key}, __stretch order by {at} {way} rows between unbounded preceding and current row) as {n}" for n, a in sums.items()])
+    shifted = {n: F.expr(f"{n} {g} coalesce(__sum_{n}, 0)") for n, g in glue.items()}
+    return inside.join(offsets, [key, "__stretch"], "left").withColumns(shifted).drop("__stretch", *[f"__sum_{n}" for n in sums])
 
 
 def only(df: DataFrame, *columns: str) -> DataFrame:
