@@ -43,7 +43,7 @@ from placard.llm.common import KEPT, only, table
 
 SPACE = "▁"
 #: Entries that each of a task's two memos and a worker's memo of pairs hold at most; longer parts than PIECE aren't kept.
-PARTS, PAIRS, PIECE = 300_000, 2_000_000, 64
+PARTS, PAIRS, PIECE = 800_000, 2_000_000, 64
 #: Piece types of the model format (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: The model format's number for merge-type models (fixed value).
@@ -185,13 +185,9 @@ class Pieces:
 
     def cuts(self, part: str) -> list[str]:
         """A part, cut between characters that no piece holds side by side."""
-        together, out, start = self.together, [], 0
-        for k in range(1, len(part)):
-            if part[k - 1 : k + 1] not in together:
-                out.append(part[start:k])
-                start = k
-        out.append(part[start:])
-        return out
+        together = self.together
+        at = [k for k in range(1, len(part)) if part[k - 1 : k + 1] not in together]
+        return [part[i:k] for i, k in zip([0, *at], [*at, len(part)], strict=True)] if at else [part]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: control ids are left out, one space that the encoder put first too, bytes that make no character become U+FFFD."""
