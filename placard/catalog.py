@@ -25,13 +25,13 @@ def notices(spark: SparkSession, d: str) -> DataFrame:
     docs = _table(spark, d, "documents").join(_table(spark, d, "labels"), "doc_id", "left")
     return docs.select(
         F.col("doc_id").alias("id"), F.col("lang").alias("category"), F.col("source").alias("source_board"), F.col("doc_id").cast("string").alias("post_sn"),
-        F.when(F.col("lang") == "de", "other").when(F.col("lang") != "en", "wolgye").alias("dong_group"), F.substring(F.split("text", "\n")[0], 1, 80).alias("title"),
+        F.when(F.col("lang") == "de", "other").when(F.col("lang") != "en", "wolgye").alias("dong_group"), F.split("text", "\n")[0].alias("title"),
         F.expr("date_add(date'2024-01-01', cast(n_chars % 365 as int))").alias("registered_on"), (F.coalesce("toxic", F.lit(0)) == 0).alias("is_visible"), F.col("text").alias("body_text"), "quality", "n_chars",
     )
 
 
 NOTICES_SQL = """notices as (select doc_id as id, lang as category, source as source_board, doc_id::varchar as post_sn,
-  case when lang = 'de' then 'other' when lang <> 'en' then 'wolgye' end as dong_group, substr(string_split(text, chr(10))[1], 1, 80) as title,
+  case when lang = 'de' then 'other' when lang <> 'en' then 'wolgye' end as dong_group, string_split(text, chr(10))[1] as title,
   (date '2024-01-01' + (n_chars % 365)::int)::date as registered_on, coalesce(toxic, 0) = 0 as is_visible, text as body_text, quality, n_chars
   from documents left join labels using (doc_id))"""
 
@@ -85,12 +85,12 @@ def notice_list_oldest(spark, d):
 
 @_query(f"with {VIEW_SQL} select * from view where category_code = 3 and source_board in ('src1', 'src2', 'src3')", DAYS)
 def category_filter(spark, d):
-    return _view(spark, d).filter((F.col("category_code") == 3) & F.col("source_board").isin("src1", "src2", "src3"))
+    return views.filtered(_view(spark, d), "src1", 3).unionByName(views.filtered(_view(spark, d), "src2", 3)).unionByName(views.filtered(_view(spark, d), "src3", 3))
 
 
 @_query(f"with {VIEW_SQL} select * from view where category_code is null", DAYS)
 def unclassified(spark, d):
-    return _view(spark, d).filter("category_code is null")
+    return views.filtered(_view(spark, d), code=None)
 
 
 @_query(f"with {VIEW_SQL} select display_status, count(*) as n, count(deadline_on) as n_deadlines from view group by display_status")
@@ -109,9 +109,13 @@ def saved_notices(spark, d):
     return views.saved(_view(spark, d), [42, 7, 199, 7, 3, 100])
 
 
-@_query(f"with {VIEW_SQL} select * from view where contains(lower(title), 'there')", DAYS)
+@_query(f"""with {VIEW_SQL}, h as (select view.*, case when display_status = 'summarized' then string_split(body_text, chr(10))[2] end as headline from view join notices using (id))
+select * from h where contains(lower(title), 'there') or contains(lower(coalesce(headline, '')), 'there')""", DAYS)
 def title_search(spark, d):
-    return views.search(_view(spark, d), "  THERE ", "title")
+    """The keyword in the title or in the headline, for which a text's second line stands where the summary is done."""
+    second = notices(spark, d).select("id", F.get(F.split("body_text", "\n"), F.lit(1)).alias("headline"))
+    shown = _view(spark, d).join(second, "id").withColumn("headline", F.when(F.col("display_status") == "summarized", F.col("headline")))
+    return views.search(shown, "  THERE ", "title", "headline")
 
 
 @_query(f"with {VIEW_SQL} select id, deadline_on, coalesce(deadline_on < date '2024-09-15', false) as expired from view", ("deadline_on",))
@@ -143,22 +147,23 @@ def hidden_anti(spark, d):
 def _stored(df: DataFrame) -> DataFrame:
     """A snapshot's columns; the body is known by its hash here."""
     none = F.lit(None).cast("string")
-    return df.select("category", "source_board", "post_sn", "dong_group", "title", none.alias("department"), "registered_on", F.concat(F.lit("https://board.test/"), "post_sn").alias("url"), F.sha2("body_text", 256).alias("body_html"), none.alias("license_type"))
+    return df.select("category", "source_board", "post_sn", "dong_group", "title", none.alias("department"), "registered_on", F.concat(F.lit("https://board.test/"), "post_sn").alias("url"), F.sha2("body_text", 256).alias("body_html"), none.alias("license_type"), (F.col("n_chars") % 2 == 0).alias("is_pinned"), "body_text")
 
 
 def _merged(spark, d):
     base = notices(spark, d)
     at = F.lit("2024-01-01 00:00:00").cast("timestamp")
     target = _stored(base.filter("n_chars < 4000")).withColumns({"is_modified": F.lit(False), "is_visible": F.lit(False), "content_revision": F.lit(1).cast("long"), "content_updated_at": at, "updated_at": at})
-    batch = _stored(base.filter("n_chars > 1000")).withColumn("title", F.when(F.length("title") > 60, F.concat("title", F.lit(" (edited)"))).otherwise(F.col("title")))
+    # Pins and the body as text aren't content: they change without a new revision.
+    batch = _stored(base.filter("n_chars > 1000")).withColumn("is_pinned", ~F.col("is_pinned")).withColumn("body_text", F.concat("body_text", F.lit("\n"))).withColumn("title", F.when(F.length("title") > 60, F.concat("title", F.lit(" (edited)"))).otherwise(F.col("title")))
     return merge.upsert_notices(target, batch, F.lit(NOW).cast("timestamp"))
 
 
 @_query(f"""with {NOTICES_SQL}, k as (select *, n_chars > 1000 as b, n_chars < 4000 as t, length(title) > 60 as edited from notices)
-select category, source_board, post_sn, case when b and edited then title || ' (edited)' else title end as title, b and t and edited as is_modified, b as is_visible,
+select category, source_board, post_sn, case when b and edited then title || ' (edited)' else title end as title, b and t and edited as is_modified, b as is_visible, (n_chars % 2 = 0) <> b as is_pinned, sha256(body_text || case when b then chr(10) else '' end) as body,
   (case when t and not (b and edited) then 1 when t then 2 else 1 end)::bigint as content_revision from k where b or t""")
 def upsert_changed_rows(spark, d):
-    return _merged(spark, d).select("category", "source_board", "post_sn", "title", "is_modified", "is_visible", "content_revision")
+    return _merged(spark, d).select("category", "source_board", "post_sn", "title", "is_modified", "is_visible", "content_revision", "is_pinned", F.sha2("body_text", 256).alias("body"))
 
 
 @_query(f"with {NOTICES_SQL} select category, source_board, post_sn, title from notices")

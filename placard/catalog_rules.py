@@ -675,14 +675,27 @@ def days_and_times(spark, d):
     return _docs(spark, d).select(n.alias("doc_id"), said.alias("t")).select("doc_id", _joined(extract.date_tokens(C("t"))).alias("days"), _joined(extract.time_tokens(C("t"))).alias("times"))
 
 
-@_query("""select doc_id, case doc_id % 6 when 0 then '' when 1 then 'card_deadline_date_added' when 2 then 'card_audience_age_bound_changed' when 3 then 'card_notes_amount_omitted' when 4 then 'card_notes_false_free' else 'card_action_source_missing' end as reasons from documents""")
+@_query("""with t as (select doc_id, n_chars, lang, source, n_chars % 28 + 1 as x, n_chars % 50 + 10 as a, n_chars % 5 * 1000 as m from documents)
+select doc_id, 'deadline' as card, case when lang <> 'en' then 'card_deadline_date_added' else '' end as reasons from t
+union all select doc_id, 'audience', case when lang = 'de' then 'card_audience_age_added,card_audience_age_omitted' when source = 'src1' then 'card_audience_age_bound_changed' else '' end from t
+union all select doc_id, 'notes', case when lang = 'fr' then case when m > 0 then 'card_notes_amount_omitted,card_notes_false_free' else '' end when lang = 'de' then 'card_notes_amount_added,card_notes_amount_omitted' else '' end from t
+union all select doc_id, 'action', case when lang = 'en' and n_chars % 2 = 0 then 'card_action_required_weakened' else '' end from t
+union all select doc_id, 'location', 'card_location_source_missing' from t where source = 'src2'""")
 def cards_audited(spark, d):
-    k = C("id") % 6
-    card = _nth(("deadline", "deadline", "audience", "notes", "notes", "action"), k)
-    said = _nth(("2026년 3월 1일까지", "2026년 3월 2일까지", "19세 이하", "참가비 있음", "무료입니다", "x"), k)
-    source = _nth(("접수 2026. 3. 1.", "접수 2026. 3. 1.", "19세 이상", "참가비 5만원", "참가비 안내", " "), k)
-    rows = _docs(spark, d).select(C("id").alias("notice_id"), card.alias("card"), said.alias("card_text"), source.alias("source_text"))
-    return claims.audit_cards(rows).select(C("notice_id").alias("doc_id"), F.array_join("reasons", ",").alias("reasons"))
+    """Each document's cards, whose dates, ages, sums and words come from its columns, against sources of the same."""
+    t = _table(spark, d, "documents")
+    n, lang = C("n_chars"), C("lang")
+    x, age, money = n % 28 + 1, n % 50 + 10, n % 5 * 1000
+    card = lambda name, said, source: F.struct(L(name).alias("card"), said.alias("card_text"), source.alias("source_text"))
+    cards = F.array(
+        card("deadline", _say("2026년 3월 ", F.when(lang == "en", x).otherwise(x % 28 + 1), "일까지"), _say("접수 2026. 3. ", x, ".")),
+        card("audience", _say("만 ", F.when(lang == "de", age + 1).otherwise(age), F.when(C("source") == "src1", "세 이하").otherwise("세 이상")), _say(age, "세 이상")),
+        card("notes", F.when(lang == "fr", "무료입니다").otherwise(_say("참가비 ", F.when(lang == "de", money + 500).otherwise(money), "원")), _say("참가비 ", money, "원입니다")),
+        card("action", F.when(lang == "en", "신분증 제출은 하지 않아도 됩니다").when(lang == "de", "신청 가능합니다").otherwise("신분증을 가져오세요"), F.when(n % 2 == 0, "반드시 신분증을 제출하세요").otherwise("신분증을 제출하세요")),
+        F.when(C("source") == "src2", card("location", L("x"), L(" "))),
+    )
+    rows = t.select(C("doc_id").alias("notice_id"), F.inline(F.array_compact(cards)))
+    return claims.audit_cards(rows).select(C("notice_id").alias("doc_id"), "card", F.array_join("reasons", ",").alias("reasons"))
 
 
 @_query("""select doc_id, list_extract(['ok', 'reversed', 'date_not_in_source', 'kind_not_in_source'], (doc_id % 4 + 1)::int) as verdict, doc_id % 2 = 0 as polite, case when doc_id % 3 = 0 then 'location' else '' end as missing from documents""")
@@ -729,12 +742,12 @@ def glossary_marked(spark, d):
     return _docs(spark, d).select(C("id").alias("doc_id"), F.array_join(F.transform(cut, lambda p: F.when(p["is_term"], F.concat(L("["), p["text"], L("]"))).otherwise(p["text"])), "").alias("marked"))
 
 
-@_query("""select doc_id, length(text) - length(replace(text, 'e', '')) as n, case when length(text) >= 9 then substr(text, 1, 3) || '[' || substr(text, 4, 3) || '][' || substr(text, 7, 3) || ']' || substr(text, 10) else text end as marked from documents where n_chars < 400""")
+@_query("""select doc_id, length(text) - length(replace(text, 'e', '')) as n, case when length(text) >= 9 then substr(text, 1, 3) || '[' || substr(text, 4, 3) || '][' || substr(text, 7, 3) || ']' || substr(text, 10) else text end as marked from documents""")
 def text_parts(spark, d):
     span = lambda a, b: F.struct(L(a).cast("long").alias("start"), L(b).cast("long").alias("end"))
     cut = highlights.parts(C("text"), F.when(F.length("text") >= 9, F.array(span(3, 6), span(6, 9))).otherwise(F.array().cast("array<struct<start:long,end:long>>")))
     marked = F.array_join(F.transform(cut, lambda p: F.when(p["highlighted"], F.concat(L("["), p["text"], L("]"))).otherwise(p["text"])), "")
-    return _docs(spark, d).filter("n_chars < 400").select(C("id").alias("doc_id"), F.size(highlights.occurrences(C("text"), L("e"))).cast("long").alias("n"), marked.alias("marked"))
+    return _docs(spark, d).select(C("id").alias("doc_id"), F.size(highlights.occurrences(C("text"), L("e"))).cast("long").alias("n"), marked.alias("marked"))
 
 
 @_query("""select doc_id as notice_id, list_extract(['ready', 'partial', 'ambiguous', 'file_only', 'not_found'], (doc_id % 5 + 1)::int) as status, case when doc_id % 5 < 2 then '2:4' else '' end as places from documents""")

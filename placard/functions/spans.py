@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from placard.functions.places import quoted
+
 # What a rewrite may not touch, each pattern by itself. (?U): digits and white space as in Unicode.
 PROTECTED = (
     r"(?iU)(?:https?://|www\.)[^\s<>]+",
@@ -115,8 +117,8 @@ def resolved(located: Column) -> Column:
 
 def glossary_parts(text: Column, terms: Column) -> Column:
     """The text cut at terms (array of strings): array of (text, is_term). At one place the longest term counts."""
-    quoted = F.transform(F.array_distinct(F.filter(terms, lambda t: F.trim(t) != "")), lambda t: F.struct((-F.length(t)).alias("n"), F.concat(F.lit("\\Q"), t, F.lit("\\E")).alias("t")))
-    pattern = F.array_join(F.transform(F.array_sort(quoted), lambda t: t["t"]), "|")
+    listed = F.transform(F.array_distinct(F.filter(terms, lambda t: F.trim(t) != "")), lambda t: F.struct((-F.length(t)).alias("n"), quoted(t).alias("t")))
+    pattern = F.array_join(F.transform(F.array_sort(listed), lambda t: t["t"]), "|")
     between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
     part = lambda value, is_term: F.struct(value.alias("text"), F.lit(is_term).alias("is_term"))
     cut = F.flatten(F.transform(between, lambda b, i: F.array(part(b, False), part(F.get(found, i), True))))

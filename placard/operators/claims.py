@@ -17,7 +17,15 @@ KIND_WORDS = {
     "application": "신청|접수|모집", "event": "행사|축제|공연|개최|일시|캠프|전시|체험", "operation": "수업|운영|교육|강좌", "payment": "납부|결제|입금", "submission": "제출|보완|서류",
     "effective": "시행|적용|개정", "disruption": "통제|휴관|중단", "result": "결과|발표|선정|합격",
 }
-FREE, REQUIRED, OPTIONAL = "무료|무상", "필수|반드시|의무", "선택|가능|권장"
+FREE = r"(?:무료|무상)(?!\s*(?:가|는|이)?\s*(?:아니|아닌|아님))|비용\s*(?:이|은)?\s*없"
+WAIVER = "무료|무상|면제|감면|지원"
+FEE_WORD = "참가비|수강료|이용료|비용|요금|회비|납부|지원금|지원액|수당|보조금"
+REQUIRED = "반드시|필수|의무"
+OPTIONAL = r"선택(?!\s*(?:이|은|이)?\s*(?:아니|아닌|아님))|하지\s*않아도|안\s*해도|생략(?:할\s*수|해도)"
+NOT_REQUIRED = r"필수(?:가|는|로)?\s*(?:아니|아님)|의무(?:가|는)?\s*(?:아니|없)"
+CLAUSE_END, PARTICLE = r"[\n.!?;；]", r"(?:은|는|이|가|을|를|에|의|와|과|도)$"
+#: Words of a requirement that name no document or action.
+GENERIC = ("신청", "신청자", "참여", "참여자", "제출", "준비", "필수", "의무", "반드시", "할일", "사람", "대상자", "해야", "필요", "여부", "행동")
 POLITE = r"(?:니다|세요|십시오|까요|어요|아요|예요|이에요)[.!?]?$"
 
 
@@ -37,6 +45,20 @@ def _bound_changed() -> Column:
     return F.exists(F.array_except("card_bounds", "source_bounds"), lambda c: F.exists("source_bounds", lambda s: age(s) == age(c)))
 
 
+def _weakened(card: Column, source: Column) -> Column:
+    """Whether the card makes optional what the source requires: in a clause on one of the source's own nouns, or where it requires nothing else."""
+    weak = F.filter(F.split(card, CLAUSE_END), lambda c: c.rlike(NOT_REQUIRED) | c.rlike(OPTIONAL))
+    words = F.transform(F.regexp_extract_all(source, F.lit("[가-힣]{2,}"), F.lit(0)), lambda w: F.regexp_replace(w, PARTICLE, ""))
+    nouns = F.filter(F.array_except(words, F.array(*map(F.lit, GENERIC))), lambda w: w != "")
+    named = F.exists(nouns, lambda n: F.exists(weak, lambda c: F.contains(c, n)))
+    return source.rlike(REQUIRED) & (F.size(weak) > 0) & (named | ~card.rlike(REQUIRED))
+
+
+def _false_free(card: Column, source: Column, sums: Column) -> Column:
+    """Whether the card says that what costs something is free, and the source tells of no waiver at all."""
+    return source.rlike(FEE_WORD) & F.exists(sums, lambda s: s > 0) & card.rlike(FREE) & ~source.rlike(WAIVER)
+
+
 def audit_cards(cards: DataFrame) -> DataFrame:
     """cards (notice_id, card, card_text, source_text) with reasons: sorted codes of what the card adds, omits or changes.
 
@@ -45,7 +67,9 @@ def audit_cards(cards: DataFrame) -> DataFrame:
     """
     rows = with_facts(with_facts(cards, "card_text", "card"), "source_text", "source")
     card = F.col("card")
-    is_free = lambda c: F.coalesce(F.col(c).rlike(FREE), F.lit(False))
+    fee, free = F.col("source_text").rlike(FEE_WORD), F.col("card_text").rlike(FREE)
+    # That something is free says as much as a sum of zero.
+    stated = F.when(free & F.array_contains("source_sums", F.lit(0).cast("decimal(28,4)")), F.array_append("card_sums", F.lit(0).cast("decimal(28,4)"))).otherwise(F.col("card_sums"))
     checks = {
         "age_added": card.isin("audience", "notes") & _more("card_ages", "source_ages"),
         "age_omitted": card.isin("audience", "notes") & _more("source_ages", "card_ages"),
@@ -54,10 +78,10 @@ def audit_cards(cards: DataFrame) -> DataFrame:
         "time_added": (card == "deadline") & _more("card_times", "source_times"),
         "end_time_omitted": (card == "deadline") & (F.size("card_times") > 0) & (F.size("source_times") > F.size("card_times")),
         "range_reversed": (card == "deadline") & (F.size("card_dates") > 1) & F.exists("card_dates", lambda d: d < F.get("card_dates", F.lit(0))),
-        "amount_added": card.isin("action", "notes") & _more("card_sums", "source_sums"),
-        "amount_omitted": (card == "notes") & _more("source_sums", "card_sums"),
-        "required_weakened": (card == "action") & F.col("source_text").rlike(REQUIRED) & ~F.col("card_text").rlike(REQUIRED) & F.col("card_text").rlike(OPTIONAL),
-        "false_free": (card == "notes") & is_free("card_text") & ~is_free("source_text"),
+        "amount_added": _more("card_sums", "source_sums") & ((card == "action") | (card == "notes") & (fee | F.col("card_text").rlike(FEE_WORD))),
+        "amount_omitted": (card == "notes") & fee & (F.size(F.array_except("source_sums", stated)) > 0),
+        "required_weakened": (card == "action") & _weakened(F.col("card_text"), F.col("source_text")),
+        "false_free": (card == "notes") & _false_free(F.col("card_text"), F.col("source_text"), F.col("source_sums")),
     }
     codes = F.array(*[F.when(F.coalesce(c, F.lit(False)), F.concat(F.lit("card_"), card, F.lit(f"_{name}"))) for name, c in checks.items()])
     missing = F.trim(F.coalesce("source_text", F.lit(""))) == ""

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from placard.functions.places import quote_places
+
 
 def occurrences(text: Column, quote: Column) -> Column:
     """All places (from 0, code points) of a quote, overlapping ones too."""
-    last = F.length(text) - F.length(quote)
-    return F.when((F.length(quote) > 0) & (last >= 0), F.filter(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.when(F.substr(text, i + 1, F.length(quote)) == quote, i)), lambda i: i.isNotNull())).otherwise(F.array().cast("array<int>"))
+    found = quote_places(text, quote)
+    return F.when(found["exact"], F.transform(found["places"], lambda p: p["start"])).otherwise(F.array().cast("array<int>"))
 
 
 def locate(evidence: DataFrame) -> DataFrame:
@@ -19,20 +21,15 @@ def locate(evidence: DataFrame) -> DataFrame:
     with other white space is near, and its place is where it stands in the
     body; two or more places are ambiguous, none is guessed.
     """
-    units = lambda c: (F.octet_length(F.encode(c, "UTF-16LE")) / 2).cast("long")
-    at = F.instr("body", F.col("excerpt"))
-    again = F.instr(F.expr("substr(body, instr(body, excerpt) + 1)"), F.col("excerpt"))
-    words = F.filter(F.split("excerpt", r"(?U)\s+"), lambda w: w != "")
-    loose = F.concat(F.lit(r"(?U)\Q"), F.array_join(words, r"\E\s+\Q"), F.lit(r"\E"))
-    found = F.when(F.size(words) > 0, F.regexp_extract_all("body", loose, F.lit(0)))
+    own = F.coalesce("excerpt", F.lit(""))
+    placed = evidence.withColumn("_found", quote_places(F.when(F.col("source_type") == "text", F.col("body")), own))
+    n, exact = F.size("_found.places"), F.col("_found.exact")
     status = (
-        F.when(F.col("source_type") != "text", "file_reference").when(F.coalesce(F.col("excerpt"), F.lit("")) == "", "invalid_reference").when((at > 0) & (again == 0), "matched")
-        .when(at > 0, "ambiguous").when(F.size(found) == 1, "near").when(F.size(found) > 1, "ambiguous").otherwise("not_found")
+        F.when(F.col("source_type") != "text", "file_reference").when(own == "", "invalid_reference").when((n == 1) & exact, "matched")
+        .when(n == 1, "near").when(n > 1, "ambiguous").otherwise("not_found")
     )
-    placed = evidence.withColumns({"place_status": status, "_found": F.get(found, F.lit(0))})
-    text = F.when(F.col("place_status") == "matched", F.col("excerpt")).when(F.col("place_status") == "near", F.col("_found"))
-    placed = placed.withColumn("_text", text).withColumn("start", units(F.expr("substr(body, 1, instr(body, _text) - 1)")))
-    return placed.withColumn("end", F.col("start") + units(F.col("_text"))).drop("_found", "_text")
+    only = lambda c: F.when(n == 1, F.col("_found.places")[0][c]).cast("long")
+    return placed.withColumns({"place_status": status, "start": only("start16"), "end": only("end16")}).drop("_found")
 
 
 def card_status(located: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 KEY = ("category", "source_board", "post_sn")
 #: The columns whose change counts as a change of the notice.
 CONTENT = ("category", "source_board", "dong_group", "post_sn", "title", "department", "registered_on", "url", "body_html", "license_type")
+#: What a snapshot knows of a notice beside its columns.
+STATE = ("is_modified", "is_visible", "content_revision", "content_updated_at", "updated_at")
 
 
 def _struct(side: str, columns: tuple[str, ...]) -> Column:
@@ -31,19 +33,23 @@ def batch_conflicts(batch: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
 def upsert_notices(target: DataFrame, batch: DataFrame, now: Column, key: tuple[str, ...] = KEY, content: tuple[str, ...] = CONTENT) -> DataFrame:
     """The next snapshot of notices.
 
-    target has key and content columns and is_modified, is_visible,
-    content_revision, content_updated_at, updated_at; batch has key and
-    content. A notice in the batch becomes visible again; its revision moves
-    on, and it counts as modified, only if some content differs (null-safe).
+    target has key and content columns and STATE; batch has key and content. A
+    notice in the batch becomes visible again; its revision moves on, and it
+    counts as modified, only if some content differs (null-safe). Any further
+    column (is_pinned, body_text) comes from the batch where the batch has it,
+    and counts for no change; otherwise a notice keeps its own.
     """
     content = tuple(c for c in content if c not in key)
+    carried = [c for c in dict.fromkeys((*target.columns, *batch.columns)) if c not in (*key, *content, *STATE)]
     old, new = target.alias("t"), batch.alias("b")
     joined = old.join(new, reduce(lambda a, b: a & b, [F.col(f"t.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key]), "full_outer")
-    in_batch, in_target = F.col("b.post_sn").isNotNull(), F.col("t.post_sn").isNotNull()
+    in_batch, in_target = F.col(f"b.{key[-1]}").isNotNull(), F.col(f"t.{key[-1]}").isNotNull()
+    further = lambda c: F.col(f"t.{c}") if c not in batch.columns else F.when(in_batch, F.col(f"b.{c}")).otherwise(F.col(f"t.{c}") if c in target.columns else None)
     changed = in_batch & in_target & ~_struct("t", content).eqNullSafe(_struct("b", content))
     return joined.select(
         *[F.coalesce(f"b.{k}", f"t.{k}").alias(k) for k in key],
         *[F.when(in_batch, F.col(f"b.{c}")).otherwise(F.col(f"t.{c}")).alias(c) for c in content],
+        *[further(c).alias(c) for c in carried],
         (F.coalesce("t.is_modified", F.lit(False)) | changed).alias("is_modified"),
         F.when(in_batch, True).otherwise(F.col("t.is_visible")).alias("is_visible"),
         (F.coalesce("t.content_revision", F.lit(0)) + F.when(changed | ~in_target, 1).otherwise(0)).cast("long").alias("content_revision"),

@@ -14,6 +14,38 @@ PUBLIC_LIST = ("id", "source_board", "title", "registered_on", "display_status",
 EXCLUDED_GROUP = "other"
 
 
+#: The columns that each role may select of a notice's own rows; what isn't named here is private to the service.
+ROLES = {
+    "reader": ("id", "category", "source_board", "dong_group", "is_pinned", "post_sn", "title", "department", "registered_on", "url", "body_text", "license_type", "is_modified", "content_updated_at"),
+    "service": None,
+}
+#: Category codes that an app may ask for; None asks for notices without one.
+CODES = tuple(range(1, 8))
+MOST_IDS = 20
+
+
+def for_role(notices: DataFrame, role: str) -> DataFrame:
+    """The rows and columns of notices that a role sees: a reader visible notices and public columns, the service everything."""
+    if role not in ROLES:
+        raise ValueError(f"no role {role!r}")
+    if ROLES[role] is None:
+        return notices
+    return visible(notices).select(*[c for c in ROLES[role] if c in notices.columns])
+
+
+def filtered(view: DataFrame, source: str | None = None, code: int | None | str = "any", ids: list[int] | None = None, codes: tuple[int, ...] = CODES) -> DataFrame:
+    """The app's filters: a source, a category code (None: notices without one, "any": all), a few ids. A code that isn't allowed is refused, not searched for."""
+    if code not in (*codes, None, "any"):
+        raise ValueError(f"category code {code!r} isn't allowed")
+    if ids is not None and len(ids) > MOST_IDS:
+        raise ValueError(f"at most {MOST_IDS} ids at a time")
+    if source is not None:
+        view = view.filter(F.col("source_board") == source)
+    if code != "any":
+        view = view.filter(F.col("category_code").isNull() if code is None else F.col("category_code") == code)
+    return view if ids is None else view.filter(F.col("id").isin(*ids))
+
+
 def visible(notices: DataFrame) -> DataFrame:
     """Visible notices, those of other districts left out; a null group stays."""
     return notices.filter(F.col("is_visible") & ~F.col("dong_group").eqNullSafe(F.lit(EXCLUDED_GROUP)))

@@ -6,7 +6,8 @@ import duckdb
 import pytest
 
 import placard.catalog_feeds
-import placard.catalog_rules  # noqa: F401  (these add their queries)
+import placard.catalog_rules
+import placard.catalog_texts  # noqa: F401  (these add their queries)
 from placard.catalog import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"

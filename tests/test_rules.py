@@ -11,7 +11,7 @@ NOW = dt.datetime(2026, 1, 2)
 def test_card_audit(spark):
     rows = [
         (1, "audience", "만 19세 이상", "만 20세 이상"), (2, "audience", "19세 이하", "만 19세 이상"), (3, "deadline", "2026년 5월 1일 18:00", "접수 2026년 5월 1일"),
-        (4, "deadline", "2026년 5월 9일 ~ 5월 1일", "2026년 5월 1일 ~ 5월 9일"), (5, "notes", "무료, 1만원", "참가비 1만 5천원"), (6, "action", "신청 가능합니다", "반드시 신청해야 합니다"), (7, "action", "신청", None), (8, "notes", "1만원", "10,000원"),
+        (4, "deadline", "2026년 5월 9일 ~ 5월 1일", "2026년 5월 1일 ~ 5월 9일"), (5, "notes", "무료, 1만원", "참가비 1만 5천원"), (6, "action", "신청하지 않아도 됩니다", "반드시 신청해야 합니다"), (7, "action", "신청", None), (8, "notes", "1만원", "10,000원"),
     ]
     got = {r.notice_id: r.reasons for r in claims.audit_cards(spark.createDataFrame(rows, "notice_id long, card string, card_text string, source_text string")).collect()}
     assert got == {
@@ -100,3 +100,14 @@ def test_rule_tables(spark):
     assert {r.id: r.broken for r in validators.violations(rows, "id", validators.change_rules()).collect()} == {2: ["order", "original", "unchanged"]}
     row = spark.range(1).select(validators.toggled(F.array(F.lit(1), F.lit(2)), F.lit(1)).alias("a"), validators.toggled(F.array(F.lit(1)), F.lit(2)).alias("b"), validators.unique(F.array(F.lit(1), F.lit(1))).alias("u")).first()
     assert (row.a, row.b, row.u) == ([2], [1, 2], False)
+
+
+def test_required_and_free_as_the_rules_have_them(spark):
+    rows = [
+        ("action", "신청하지 않아도 됩니다", "반드시 신청해야 합니다", ["card_action_required_weakened"]), ("action", "신청 가능합니다", "반드시 신청해야 합니다", []), ("action", "필수가 아니에요", "의무입니다", []), ("action", "생략할 수 있어요", "의무입니다", ["card_action_required_weakened"]),
+        ("action", "신분증은 선택이 아니에요", "신분증 필수", []), ("action", "반드시 오세요. 통장은 선택입니다", "반드시 신분증을 내세요", []), ("action", "반드시 오세요. 신분증은 선택입니다", "반드시 신분증을 내세요", ["card_action_required_weakened"]),
+        ("notes", "참가비는 무료가 아니에요, 5천원", "참가비 5천원", []), ("notes", "비용이 없습니다", "참가비 5천원", ["card_notes_amount_omitted", "card_notes_false_free"]), ("notes", "무료", "참가비 5천원, 주민은 면제", ["card_notes_amount_omitted"]),
+        ("notes", "무료", "참가비 0원", []), ("notes", "1만원", "상금", []), ("notes", "참가비 1만원", "상금", ["card_notes_amount_added"]),
+    ]
+    df = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(rows)], "notice_id long, card string, card_text string, source_text string")
+    assert {r.notice_id: r.reasons for r in claims.audit_cards(df).collect()} == {i: r[3] for i, r in enumerate(rows)}
