@@ -58,6 +58,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def sweep(spark: SparkSession) -> None:
+    """Has the files of finished steps dropped: shuffles, and checkpoints if the cluster cleans them.
+
+    Spark deletes them when the driver's JVM collects the objects that stand for
+    them. An idle driver may not do that for the whole of a job of many small
+    steps, whose files then add up on the executors' disks.
+    """
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def staged(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared folder as Parquet and read again: for rows with texts, of which later steps read some columns."""
     path = fresh_path(df.sparkSession, "staged")

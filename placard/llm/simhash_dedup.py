@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placard.llm.common import checkpointed, only, release, small, staged
+from placard.llm.common import checkpointed, only, release, small, staged, sweep
 
 BITS = 64
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -230,7 +230,7 @@ def fingerprint_links(nodes: DataFrame, threshold: int = 4, blocks: int | None =
     return tasks.groupBy("cell").applyInArrow(search, "a long, b long").filter("a <> b")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, sweeps: bool = False) -> DataFrame:
     """(node, component): the least node reachable, for every node that reaches a lesser one.
 
     Alternates large-star and small-star steps until the links are stars; each
@@ -246,6 +246,8 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         links = checkpointed(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        if sweeps:
+            sweep(links.sparkSession)
         now = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (now.n, now.h) == seen:
             return links.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
@@ -465,12 +467,14 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, threshold
         ends = checkpointed(links.select(F.col("a").alias("doc_id")).union(links.select("b")).distinct())
         linked = staged(texts.join(small(ends), "doc_id", "left_semi"))
         both = links.join(linked.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a").join(linked.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
-        return checkpointed(both.select("a", "b", "a_text", "b_text").mapInArrow(compare, "a long, b long").distinct())
+        done = checkpointed(both.select("a", "b", "a_text", "b_text").mapInArrow(compare, "a long, b long").distinct())
+        sweep(done.sparkSession)
+        return done
 
     known = staged(texts.mapInArrow(describe, f"doc_id long, digest binary, {', '.join(f'{c} long' for c in fields)}, keys array<long>"))
     nodes = checkpointed(known.groupBy("digest").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in fields]).filter("node is not null"))
     true = verified(checkpointed(wide_links(nodes, threshold)))
-    found = components(true)
+    found = components(true, sweeps=True)
 
     own = known.join(nodes.select("digest", "node"), "digest").filter("doc_id = node").select("node", F.explode("keys").alias("key")).distinct()
     entries, facts = checkpointed(own), nodes.select("node", "size", *[f"p{i}" for i in range(WIDE)])
@@ -478,12 +482,13 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, threshold
     for some in (*targets, None):
         pairs = open_pairs(entries, found, facts, least, some)
         pairs = checkpointed(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        sweep(docs.sparkSession)
         tried = pairs if tried is None else tried.unionByName(pairs)
         if not pairs.isEmpty():
             more = verified(pairs)
             if not more.isEmpty():
                 true = true.unionByName(more)
-                found = checkpointed(components(true))
+                found = checkpointed(components(true, sweeps=True))
     named = nodes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     return known.select("doc_id", "digest").join(named, "digest", "left").select("doc_id", "component_id")
 
