@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from urllib.parse import parse_qsl, unquote, urlencode, urljoin, urlsplit, urlunsplit
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,38 +14,83 @@ EDITOR_SUFFIX = r"(?i)\.(png|jpe?g|webp)$"
 PAGE_SUFFIX = r"(?i)\.(pdf|hwpx?|png|jpe?g|webp|docx?|xlsx?|pptx?|zip)$"
 CITY_SUFFIX = r"(?i)\.(pdf|hwpx?|docx?|xlsx?|pptx?|zip|png|jpe?g|gif|webp|svg)$"
 CITY_NEWS, CITY_THEME, CITY_CULTURE = "news.seoul.go.kr", "/wp-content/themes/", "culture.seoul.go.kr"
-CITY_DECORATION = tuple(f"/_ui/images/main/cnl-common/{n}.png" for n in ("nLc-logo-culture", "nLc-top-facebook", "nLc-top-instargram", "nLc-top-blog"))
+CITY_DECORATION = (
+    "/_ui/images/main/cnl-common/nLc-logo-culture.png",
+    "/_ui/images/main/cnl-common/nLc-top-facebook.png",
+    "/_ui/images/main/cnl-common/nLc-top-instargram.png",
+    "/_ui/images/main/cnl-common/nLc-top-blog.png",
+)
 FILE_ROW, NO_FILES = "첨부파일", "첨부파일이 없습니다"
 
 
-def resolved(base: str, reference: str, city: bool) -> str | None:
-    """The absolute address of a reference in its one form, without fragment; empty where it isn't plain http(s), None where it can't be read."""
-    try:
-        url = urlsplit(urljoin(base, reference.strip()))
-        plain = url.port in (None, 80, 443) and url.username is None and url.password is None
-    except ValueError:
-        return None
-    if url.scheme not in ("http", "https") or not url.netloc:
-        return None if city else ""
-    if city and not plain:
-        return None
-    home = CITY_NEWS if city else NOWON
-    if url.hostname == home and plain:
-        query = url.query
-        if not city and url.path == DOWNLOAD:  # every parameter stays, the serial number first
-            query = urlencode(sorted(parse_qsl(query, keep_blank_values=True), key=lambda p: (p[0] != "q_fileSn", p)))
-        return urlunsplit(("https", home, url.path, query, ""))
-    return urlunsplit((url.scheme, url.netloc, url.path, url.query, ""))
+#: An address's scheme, authority, path and query; and an authority's user, host and port.
+ADDRESS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(?:#.*)?$"
+AUTHORITY = r"^(?:(.*)@)?(\[[0-9A-Fa-f:.]+\]|[^:\[\]@]*)(?::([0-9]*))?$"
+
+
+def _parts(address: Column) -> Column:
+    """Struct of scheme, authority, path and query (with its mark) of an address; what is missing is empty."""
+    part = lambda n: F.regexp_extract(address, ADDRESS, n)
+    return F.struct(F.lower(part(1)).alias("scheme"), part(2).alias("authority"), part(3).alias("path"), part(4).alias("query"))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path whose . and .. steps are taken."""
+    steps = F.split(F.regexp_replace(path, "^/", ""), "/")
+    walked = F.aggregate(
+        steps, F.array().cast("array<string>"),
+        lambda acc, step: F.when(step == ".", acc).when(step == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, step)),
+    )
+    ends = F.element_at(steps, -1).isin(".", "..")
+    return F.concat(F.lit("/"), F.array_join(F.when(ends, F.array_append(walked, F.lit(""))).otherwise(walked), "/"))
+
 
+def _decoded(text: Column, plus: bool) -> Column:
+    """Percent signs decoded; plus: a plus sign is a space. Left as it is where it can't be."""
+    return F.coalesce(F.try_url_decode(text if plus else F.replace(text, F.lit("+"), F.lit("%2B"))), F.replace(text, F.lit("+"), F.lit(" ")) if plus else text)
 
-def _address(city: bool):
-    @F.pandas_udf("struct<url:string,path:string,host:string>")
-    def run(base: pd.Series, reference: pd.Series) -> pd.DataFrame:
-        found = [None if r is None else resolved(b or "", r, city) for b, r in zip(base, reference, strict=True)]
-        parts = [urlsplit(u) if u else None for u in found]
-        return pd.DataFrame({"url": pd.Series(found, dtype=object), "path": pd.Series([unquote(p.path) if p else None for p in parts], dtype=object), "host": pd.Series([p.hostname if p else None for p in parts], dtype=object)})
 
-    return run
+def _encoded(text: Column) -> Column:
+    return F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def _sorted_query(query: Column) -> Column:
+    """A download's parameters in one order, the serial number first; blank and repeated ones stay."""
+    given = F.filter(F.split(F.regexp_replace(query, r"^\?", ""), "&"), lambda p: p != "")
+    named = F.transform(given, lambda p: F.struct(_decoded(F.regexp_extract(p, "(?s)^([^=]*)", 1), True).alias("name"), _decoded(F.regexp_extract(p, "(?s)^[^=]*=?(.*)$", 1), True).alias("value")))
+    ordered = F.array_sort(F.transform(named, lambda p: F.struct((p["name"] != "q_fileSn").alias("later"), p["name"].alias("name"), p["value"].alias("value"))))
+    return F.array_join(F.transform(ordered, lambda p: F.concat(_encoded(p["name"]), F.lit("="), _encoded(p["value"]))), "&")
+
+
+def addressed(rows: DataFrame, base: Column, reference: Column, city: bool) -> DataFrame:
+    """rows with a: url, path (decoded) and host of a reference as its page resolves it, in one form and without fragment.
+
+    url is empty where it isn't http(s), and null where it can't be read; the
+    city's pages take neither, nor an address with a user or another port. The
+    site's own addresses become https without port; a null reference has no a.
+    """
+    empty = F.lit("")
+    rows = rows.withColumns({"_r": _parts(F.trim(reference)), "_b": _parts(F.coalesce(base, empty))})
+    r, b = (lambda c: F.col(f"_r.{c}")), (lambda c: F.col(f"_b.{c}"))
+    own, rooted = (r("scheme") != "") & (r("scheme") != b("scheme")) | (r("authority") != ""), r("path").startswith("/")
+    merged = F.when(rooted, r("path")).otherwise(F.concat(F.regexp_replace(b("path"), "[^/]*$", ""), r("path")))
+    path = F.when(own, r("path")).when(r("path") == "", b("path")).otherwise(_without_dots(merged))
+    query = F.when(own | (r("path") != "") | (r("query") != ""), r("query")).otherwise(b("query"))
+    rows = rows.withColumns({"_s": F.coalesce(F.nullif(r("scheme"), empty), b("scheme")), "_a": F.when(own, r("authority")).otherwise(b("authority")), "_p": path, "_q": F.when(query == "?", "").otherwise(query)})
+    part = lambda n: F.regexp_extract("_a", AUTHORITY, n)
+    port, host = F.nullif(part(3), empty).try_cast("int"), F.lower(part(2))
+    readable = F.col("_a").rlike(AUTHORITY) & ((part(3) == "") | F.coalesce(port.between(0, 65535), F.lit(False)))
+    plain = ~F.contains("_a", F.lit("@")) & (port.isNull() | port.isin(80, 443))
+    web = F.col("_s").isin("http", "https") & (F.col("_a") != "")
+    home = CITY_NEWS if city else NOWON
+    sorted_ = F.lit(False) if city else F.col("_p") == DOWNLOAD
+    asked = F.when(sorted_, F.concat(F.lit("?"), _sorted_query(F.col("_q")))).otherwise(F.col("_q"))
+    canonical = F.concat(F.lit(f"https://{home}"), F.col("_p"), F.when(asked == "?", "").otherwise(asked))
+    as_is = F.concat("_s", F.lit("://"), "_a", "_p", "_q")
+    url = F.when(~readable, None).when(~web, None if city else "").when(~plain & F.lit(city), None).when((host == home) & plain, canonical).otherwise(as_is)
+    known = url.isNotNull() & (url != "")
+    a = F.when(reference.isNotNull(), F.struct(url.alias("url"), F.when(known, _decoded(F.col("_p"), False)).alias("path"), F.when(known, host).alias("host")))
+    return rows.withColumn("a", a).drop("_r", "_b", "_s", "_a", "_p", "_q")
 
 
 def _identity(url: Column) -> tuple[Column, Column, Column]:
@@ -77,7 +119,7 @@ def district_files(notices: DataFrame, key: str, html: str = "body_html") -> Dat
 
     error: invalid_file_url or invalid_file_identity; such rows name no file.
     """
-    found = _references(notices, key, html).withColumn("a", _address(city=False)("base", "reference")).filter("a is null or a.url is null or a.url <> ''")
+    found = addressed(_references(notices, key, html), F.col("base"), F.col("reference"), city=False).filter("a is null or a.url is null or a.url <> ''")
     serial, file_id, broken = _identity(F.col("a.url"))
     named = found.withColumns({"file_sn": serial, "file_id": file_id, "error": F.when(F.col("a.url").isNull(), "invalid_file_url").when(broken, "invalid_file_identity")})
     editor = (F.col("kind") == "inline_image") & F.col("a.url").startswith(f"https://{NOWON}{EDITOR}") & F.lower("a.path").rlike(EDITOR_SUFFIX)
@@ -88,7 +130,7 @@ def district_files(notices: DataFrame, key: str, html: str = "body_html") -> Dat
 
 def city_files(notices: DataFrame, key: str, html: str = "body_html") -> DataFrame:
     """Files in the bodies of city notices: links with a file's suffix, and images but known decoration."""
-    found = _references(notices, key, html).filter("not startswith(reference, '#')").withColumn("a", _address(city=True)("base", "reference"))
+    found = addressed(_references(notices, key, html).filter("not startswith(reference, '#')"), F.col("base"), F.col("reference"), city=True)
     is_file = (F.col("kind") == "inline_image") | F.coalesce(F.col("a.path").rlike(CITY_SUFFIX), F.lit(True))
     decorative = (F.col("kind") == "inline_image") & F.coalesce(decoration(F.col("a.host"), F.col("a.path")), F.lit(False))
     error = F.when(F.col("a.url").isNull(), "invalid_file_url").when(~is_file, "download_without_suffix")
@@ -115,7 +157,7 @@ def page_files(pages: DataFrame, key: str) -> DataFrame:
     row_text = each.filter("e.tag = 'tr'").select(key, F.col("e.row").alias("row"), F.col("e.text").alias("row_text"))
     links = each.filter((F.col("e.tag") == "a") & has("e", "ul", ".file-list") & F.col("e.attrs").getItem("href").isNotNull()).select(key, F.col("e.row").alias("row"), F.struct(F.col("e.at").alias("at"), F.trim(F.col("e.attrs").getItem("href")).alias("href"), F.col("e.text").alias("text")).alias("l"))
     state = pages.select(key, F.col("url").alias("base")).join(one, key, "left").join(row_text, [key, "row"], "left").join(links, [key, "row"], "left")
-    found = state.withColumn("a", _address(city=False)("base", "l.href"))
+    found = addressed(state, F.col("base"), F.col("l.href"), city=False)
     serial, file_id, broken = _identity(F.col("a.url"))
     error = (
         F.when(F.coalesce("n", F.lit(0)) != 1, "attachment_section_missing").when(F.col("l").isNull() & F.contains("row_text", F.lit(NO_FILES)), None).when(F.col("l").isNull(), "attachment_list_missing")

@@ -11,6 +11,7 @@ from placard.catalog_texts import _CARDS
 from placard.functions import places, registry, shapes, spans
 from placard.operators import budgets, highlights, merge, rewrite, schedules
 from placard.plans import views
+from placard.sources import html_files
 
 
 def brute_spaced(text, quote):
@@ -204,3 +205,22 @@ def test_dictionary_table_functions(spark):
     assert [tuple(r) for r in spark.sql("select * from notice_dictionary_entries(1) order by ordinal").collect()] == [(0, "w", "found", 0), (1, "v", "pending", 30)]
     got = spark.sql("select n.id, d.status, d.retry_after from (values (1L), (2L), (3L), (4L)) n(id) left join lateral notice_dictionary(n.id) d order by n.id").collect()
     assert [tuple(r) for r in got] == [(1, "pending", 30), (2, "unprocessed", 0), (3, "partial", 3600), (4, None, None)]
+
+
+def test_addresses_have_one_form(spark):
+    own, file_ = "https://www.nowon.kr", "https://www.nowon.kr/component/file/ND_fileDownload.do"
+    base = "http://www.nowon.kr:80/a/b/list.do?x=1"
+    district = {
+        "c.do": f"{own}/a/b/c.do", "./c/../d": f"{own}/a/b/d", "../../../up/": f"{own}/up/", "..": f"{own}/a/", "/r#frag": f"{own}/r", "?y=2": f"{own}/a/b/list.do?y=2", "": f"{own}/a/b/list.do?x=1", "#only": f"{own}/a/b/list.do?x=1",
+        " //www.nowon.kr/z ": f"{own}/z", "HTTP://WWW.NOWON.KR:443/z": f"{own}/z", "http://www.nowon.kr:8080/z#f": "http://www.nowon.kr:8080/z", "http://u@www.nowon.kr/z": "http://u@www.nowon.kr/z", "https://other.test/q?b=2&a=1#f": "https://other.test/q?b=2&a=1",
+        "mailto:a@b": "", "javascript:x()": "", "http://[bad/": None, "http://h:99999/": None, "http://h:x/": None,
+        "/component/file/ND_fileDownload.do?q_fileId=b&q_fileSn=1": f"{file_}?q_fileSn=1&q_fileId=b", "/component/file/ND_fileDownload.do?q_fileSn=2&b=&a&q_fileSn=1&&b=%20+x": f"{file_}?q_fileSn=1&q_fileSn=2&a=&b=&b=++x",
+        "/component/file/ND_fileDownload.do?z=~*&y=%EA%B0%80&w=%zz": f"{file_}?w=%25zz&y=%EA%B0%80&z=~%2A", "/component/file/ND_fileDownload.do?": file_,
+    }
+    city = {"a%20b.hwp": "https://news.seoul.go.kr/p/a%20b.hwp", "https://u:p@news.seoul.go.kr/x": None, "http://news.seoul.go.kr:81/x": None, "mailto:x@y": None, "http://culture.seoul.go.kr/x?q=1#f": "http://culture.seoul.go.kr/x?q=1"}
+    for is_city, at, want in ((False, base, district), (True, "http://news.seoul.go.kr/p/1", city)):
+        df = spark.createDataFrame([(r, at) for r in want], "r string, b string")
+        assert {x.r: x.url for x in html_files.addressed(df, F.col("b"), F.col("r"), is_city).select("r", "a.url").collect()} == want
+    df = spark.createDataFrame([("a%20b+c/%EA%B0%80.hwp", base), (None, base), ("x%zz", None)], "r string, b string")
+    got = [(x.a and (x.a.url, x.a.path, x.a.host)) for x in html_files.addressed(df, F.col("b"), F.col("r"), False).select("a").collect()]
+    assert got == [(f"{own}/a/b/a%20b+c/%EA%B0%80.hwp", "/a/b/a b+c/가.hwp", "www.nowon.kr"), None, ("", None, None)]
