@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from placard.catalog import NOW, VIEW_SQL, _query, _table, _view, notices
 from placard.functions import places, registry, shapes
-from placard.operators import budgets, schedules
+from placard.operators import budgets, notes, schedules
 from placard.plans import views
 
 
@@ -152,3 +152,20 @@ def reader_notices(spark, d):
 @_query(f"with {VIEW_SQL} select id, source_board from view where id in (2, 3, 5, 7, 11, 13, 17)")
 def notices_by_id(spark, d):
     return views.filtered(_view(spark, d), ids=[2, 3, 5, 7, 11, 13, 17]).select("id", "source_board")
+
+
+@_query("""with recursive n as (select conv_id as notice_id, turn as pos, length(text) % 4 as a, length(text) % 3 as k, turn % 2 = 0 as told from conversations),
+g as (select notice_id, a from n group by notice_id, a having bool_or(told) and bool_or(k = 0) and bool_or(k = 1)),
+l as (select n.*, case when k < 2 and g.a is not null then min(case when k < 2 then pos end) over (partition by n.notice_id, n.a) else pos end as note_group from n left join g on g.notice_id = n.notice_id and g.a = n.a),
+s as (select notice_id, note_group, count(*) as size, sum(count(*)) over (partition by notice_id) as total, row_number() over (partition by notice_id order by count(*) = 1, note_group) as i from l group by notice_id, note_group),
+f as (select notice_id, 0::bigint as i, 5::bigint as room, null::bigint as note_group, false as kept from s where i = 1
+  union all select s.notice_id, s.i, case when s.size <= room then room - s.size else room end, s.note_group, s.size <= room from f join s on s.notice_id = f.notice_id and s.i = f.i + 1)
+select l.notice_id, pos, l.note_group, total <= 5 or f.kept as kept from l join s on s.notice_id = l.notice_id and s.note_group = l.note_group join f on f.notice_id = l.notice_id and f.note_group = l.note_group""")
+def note_groups(spark, d):
+    """A conversation's turns as notes on an action each; its even turns tell rules with exceptions."""
+    turns, n = _table(spark, d, "conversations"), F.length("text")
+    action = F.when(n % 4 == 0, "취소").when(n % 4 == 1, "환불").when(n % 4 == 2, "접수").otherwise("주차")
+    said = F.when(n % 3 == 0, " 불가").when(n % 3 == 1, " 가능").otherwise(" 안내")
+    all_notes = turns.select(F.col("conv_id").alias("notice_id"), F.col("turn").alias("pos"), F.concat(F.split("text", " ")[0], F.lit(" "), action, said).alias("note"))
+    told = turns.filter("turn % 2 = 0").select(F.col("conv_id").alias("notice_id"), F.concat(F.split("text", " ")[0], F.lit("\n"), action, F.lit("는 불가합니다. 다만 사유가 있으면 가능")).alias("text"))
+    return notes.chosen(notes.grouped(all_notes, told)).select("notice_id", "pos", "note_group", "kept")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from placard.catalog_texts import _CARDS
 from placard.functions import places, registry, shapes, spans
-from placard.operators import budgets, highlights, merge, rewrite, schedules
+from placard.operators import budgets, highlights, merge, notes, rewrite, schedules
 from placard.plans import views
 from placard.sources import html_files
 
@@ -224,3 +224,66 @@ def test_addresses_have_one_form(spark):
     df = spark.createDataFrame([("a%20b+c/%EA%B0%80.hwp", base), (None, base), ("x%zz", None)], "r string, b string")
     got = [(x.a and (x.a.url, x.a.path, x.a.host)) for x in html_files.addressed(df, F.col("b"), F.col("r"), False).select("a").collect()]
     assert got == [(f"{own}/a/b/a%20b+c/%EA%B0%80.hwp", "/a/b/a b+c/가.hwp", "www.nowon.kr"), None, ("", None, None)]
+
+
+# --- groups of notes
+
+
+def test_rules_keep_their_exceptions(spark):
+    texts = ["주차 금지. 다만 장애인은 가능\n안내", "취소 불가, 단, 재난은 예외", "접수 불가; 예외 없음", "환불 불가피한 경우 가능", "주차 금지\n\n다만 밤에는 가능", "주차 금지.\n다만 밤에는 가능. 끝", None]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string").select("id", notes.rules(F.col("t")).alias("r")).orderBy("id").collect()
+    assert [r.r for r in got] == [["주차 금지. 다만 장애인은 가능"], ["취소 불가, 단, 재난은 예외"], ["접수 불가; 예외 없음"], [], ["주차 금지\n\n다만 밤에는 가능"], ["주차 금지.\n다만 밤에는 가능"], []]
+
+
+def test_what_a_note_permits(spark):
+    said = ["취소 가능", "취소 불가, 환불 가능", "취소와 환불은 불가", "예외로 접수", "예외로 접수는 안 되고 등록 가능하지 않음", "안내"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "id long, t string").select("id", notes.permitted(F.col("t")).alias("p")).orderBy("id").collect()
+    assert [r.p for r in got] == [["취소"], ["환불"], [], ["접수"], ["접수"], []]
+
+
+def test_note_groups_are_components_and_none_is_cut(spark):
+    """Links pass from note to note through shared actions and rules; groups that don't fit are left out whole."""
+    rule = "취소 불가. 다만 환불 가능하고 접수 불가, 등록 가능"
+    rows = {
+        1: (["취소 불가", "취소 가능, 환불 불가", "환불 가능", "안내 하나", "안내 둘", "안내 셋"], [rule]),
+        # The rule's text holds the first, third and sixth.
+        2: (["취소 불가", "취소 가능", "접수 불가", "접수 가능", "등록 불가", "등록 가능", "따로"], [rule]),
+        3: (["취소 불가", "취소 가능"] * 3 + ["a", "b", "c"], [rule]),
+        4: (["취소 불가", "취소 가능", "a", "b", "c", "d"], ["취소 불가"]),
+        5: (["주차 금지", "다만 밤에는 됨", "a", "b", "c", "d", "e"], ["주차 금지. 다만 밤에는 됨"]),
+        6: (["취소 불가", "취소 가능"], []),
+    }
+    flat = [(n, i, note) for n, (said, _) in rows.items() for i, note in enumerate(said)]
+    told = [(n, t) for n, (_, texts) in rows.items() for t in texts]
+    groups = notes.grouped(spark.createDataFrame(flat, "notice_id long, pos long, note string"), spark.createDataFrame(told, "notice_id long, text string"))
+    found, kept = {}, {}
+    for r in notes.chosen(groups).orderBy("notice_id", "pos").collect():
+        found.setdefault(r.notice_id, []).append(r.note_group)
+        kept.setdefault(r.notice_id, []).append(r.kept)
+    assert found == {1: [0, 0, 0, 3, 4, 5], 2: [0] * 6 + [6], 3: [0] * 6 + [6, 7, 8], 4: [0, 1, 2, 3, 4, 5], 5: [0, 0, 2, 3, 4, 5, 6], 6: [0, 1]}
+    assert kept == {1: [True] * 5 + [False], 2: [False] * 6 + [True], 3: [False] * 6 + [True] * 3, 4: [True] * 5 + [False], 5: [True] * 5 + [False] * 2, 6: [True, True]}
+
+
+def test_choice_equals_brute_force(spark):
+    rng = random.Random(5)
+    groups = {n: [rng.randrange(8) for _ in range(rng.randint(1, 14))] for n in range(80)}
+    rows = []
+    for n, labels in groups.items():
+        first = {}
+        for i, g in enumerate(labels):
+            first.setdefault(g, i)
+        rows += [(n, i, "x", first[g]) for i, g in enumerate(labels)]
+    want = {}
+    for n in groups:
+        own = [r for r in rows if r[0] == n]
+        members = {}
+        for _, i, _, g in own:
+            members.setdefault(g, []).append(i)
+        room, taken = 5, set()
+        for g in sorted(members, key=lambda g: (len(members[g]) == 1, g)):
+            if len(members[g]) <= room:
+                room -= len(members[g])
+                taken.add(g)
+        want |= {(n, i): len(own) <= 5 or g in taken for _, i, _, g in own}
+    df = spark.createDataFrame(rows, "notice_id long, pos long, note string, note_group long")
+    assert {(r.notice_id, r.pos): r.kept for r in notes.chosen(df).collect()} == want
