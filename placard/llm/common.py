@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -68,6 +69,22 @@ def sweep(spark: SparkSession) -> None:
     spark.sparkContext._jvm.java.lang.System.gc()
 
 
+def drops_shuffles(step):
+    """A step over a DataFrame whose jobs drop their shuffles as soon as each ends: for many jobs that each write what the next one reads."""
+
+    @functools.wraps(step)
+    def run(df: DataFrame, *args, **options):
+        conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = conf.get(name, None)
+        conf.set(name, "true")
+        try:
+            return step(df, *args, **options)
+        finally:
+            conf.set(name, before) if before is not None else conf.unset(name)
+
+    return run
+
+
 def staged(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared folder as Parquet and read again: for rows with texts, of which later steps read some columns."""
     path = fresh_path(df.sparkSession, "staged")

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placard.llm.common import checkpointed, only, release, small, staged, sweep
+from placard.llm.common import checkpointed, drops_shuffles, only, release, small, staged, sweep
 
 BITS = 64
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -423,6 +423,7 @@ def open_pairs(entries: DataFrame, found: DataFrame, facts: DataFrame, least: fl
     return pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
 
 
+@drops_shuffles
 def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, threshold: int = 23, targets: tuple[int, ...] = (4, 64)) -> DataFrame:
     """(doc_id, component_id) for every row: classes of texts linked by a shingle similarity of at least ``least``.
 
@@ -493,6 +494,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, threshold
     return known.select("doc_id", "digest").join(named, "digest", "left").select("doc_id", "component_id")
 
 
+@drops_shuffles
 def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, threshold: int = 23) -> DataFrame:
     """docs with one document of each class of near copies, that of the least doc_id.
 
