@@ -12,16 +12,21 @@ the texts are passed over once for each.
 from __future__ import annotations
 
 import re
+from array import array
 from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MOST_TERMS = 200_000
 PLACES = T.StructType([T.StructField("exact", T.BooleanType()), T.StructField("places", T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("start", "end", "start16", "end16")])))])
+SPAN, FOUND = (T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in names])) for names in (("start", "end"), ("at", "size")))
+MARKS = T.StructType([T.StructField("n_places", T.LongType()), T.StructField("spans", SPAN)])
 _SPACE = re.compile(r"\s+")
 
 
@@ -55,6 +60,10 @@ def utf16(text: str, points: list[int]) -> list[int]:
     return [int(p + wide[p]) for p in points]
 
 
+def _offsets(sizes: list[int]) -> pa.Array:
+    return pa.array(np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), pa.int32())
+
+
 @F.pandas_udf(PLACES)
 def quote_places(text: pd.Series, quote: pd.Series) -> pd.DataFrame:
     """All places of a quote; exact: as it is, else with other white space. Null or empty ones have none."""
@@ -101,32 +110,69 @@ def mark_terms(texts: DataFrame, terms: DataFrame, text: str = "text", term: str
     found = []
     for part in range(passes):
         own = [r.term for r in parted.filter(F.col("part") == part).select("term").collect()]
-        found.append(_term_finder(spark.sparkContext.broadcast(own))(F.col(text)))
+        found.append(spark.sparkContext.broadcast(own))
+    # One automaton gives the result at once; of several, each pass leaves its places and lengths as numbers, and the last step joins them.
+    marks = _term_marks(found[0])(F.col(text)) if passes == 1 else _joined_marks(*[_term_finder(shared)(F.col(text)) for shared in found])
+    return texts.withColumn("_found", marks).withColumns({"n_places": F.col("_found.n_places"), "spans": F.col("_found.spans")}).drop("_found")
 
-    @F.pandas_udf("struct<n_places:long, spans:array<struct<start:int,end:int>>>")
-    def chosen(maps: pd.Series) -> pd.DataFrame:
-        sizes, spans = [], []
-        for parts in maps:
-            best: dict[int, int] = {}
-            for each in parts:
-                for start, size in dict(each).items():
-                    best[start] = max(size, best.get(start, 0))
-            sizes.append(len(best))
-            spans.append([{"start": a, "end": b} for a, b in left_to_right(best)])
-        return pd.DataFrame({"n_places": sizes, "spans": spans})
 
-    return texts.withColumn("_found", chosen(F.array(*found))).withColumns({"n_places": F.col("_found.n_places"), "spans": F.col("_found.spans")}).drop("_found")
+def _searched(shared, values: pa.Array) -> Iterator[dict[int, int]]:
+    """longest_terms of one text after the other; only the one at hand is held."""
+    automaton = _automaton(shared)
+    for value in values:
+        t = value.as_py()
+        yield longest_terms(automaton, t) if t and len(automaton) else {}
+
+
+def _marked(found: Iterable[dict[int, int]]) -> pa.Array:
+    """n_places and spans of each text, as arrays of numbers."""
+    n_places, sizes, numbers = array("q"), [], array("i")
+    for each in found:
+        spans = left_to_right(each)
+        n_places.append(len(each))
+        sizes.append(len(spans))
+        for span in spans:
+            numbers.extend(span)
+    start, end = np.array(numbers, np.int32).reshape(-1, 2).T
+    spans = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(start)), pa.array(np.ascontiguousarray(end))], ["start", "end"])
+    return pa.StructArray.from_arrays([pa.array(np.array(n_places, np.int64)), pa.ListArray.from_arrays(_offsets(sizes), spans)], ["n_places", "spans"])
+
+
+def _term_marks(shared):
+    @F.arrow_udf(MARKS)
+    def marks(values: pa.Array) -> pa.Array:
+        return _marked(_searched(shared, values))
+
+    return marks
 
 
 def _term_finder(shared):
-    @F.pandas_udf("map<int,int>")
-    def finder(values: pd.Series) -> pd.Series:
-        automaton = _automaton(shared)
-        return pd.Series([longest_terms(automaton, t) if t and len(automaton) else {} for t in values])
+    @F.arrow_udf(FOUND)
+    def finder(values: pa.Array) -> pa.Array:
+        sizes, at, size = [], array("i"), array("i")
+        for found in _searched(shared, values):
+            sizes.append(len(found))
+            at.extend(found.keys())
+            size.extend(found.values())
+        each = pa.StructArray.from_arrays([pa.array(np.array(x, np.int32)) for x in (at, size)], ["at", "size"])
+        return pa.ListArray.from_arrays(_offsets(sizes), each)
 
     return finder
 
 
+@F.arrow_udf(MARKS)
+def _joined_marks(*parts: pa.Array) -> pa.Array:
+    def joined() -> Iterator[dict[int, int]]:
+        for row in zip(*parts, strict=True):
+            best: dict[int, int] = {}
+            for part in row:
+                for start, size in zip(*(part.values.field(f).to_pylist() for f in ("at", "size")), strict=True):
+                    best[start] = max(size, best.get(start, 0))
+            yield best
+
+    return _marked(joined())
+
+
 def _automaton(shared):
     """The automaton of a broadcast list of terms, built once in each worker and kept beside the list."""
     import ahocorasick

@@ -3,7 +3,9 @@
 import datetime as dt
 import itertools
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -287,3 +289,24 @@ def test_choice_equals_brute_force(spark):
         want |= {(n, i): len(own) <= 5 or g in taken for _, i, _, g in own}
     df = spark.createDataFrame(rows, "notice_id long, pos long, note string, note_group long")
     assert {(r.notice_id, r.pos): r.kept for r in notes.chosen(df).collect()} == want
+
+
+def _peak_mb(run) -> float:
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_term_places_of_a_batch_are_not_python_objects():
+    class Shared:
+        value = ["the", "then"]
+
+    texts = pa.array(["the then " * 150] * 1000)
+    found = places._term_marks(Shared).func(texts)
+    assert found[0].as_py()["n_places"] == 300 and found[999].as_py()["spans"][1] == {"start": 4, "end": 8}
+    assert _peak_mb(lambda: places._term_marks(Shared).func(texts)) < 20
+    parts = [places._term_finder(type("One", (), {"value": [t]})).func(texts) for t in ("the", "then")]
+    assert places._joined_marks.func(*parts).equals(found)
