@@ -17,7 +17,6 @@ from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,18 +63,26 @@ def _offsets(sizes: list[int]) -> pa.Array:
     return pa.array(np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), pa.int32())
 
 
-@F.pandas_udf(PLACES)
-def quote_places(text: pd.Series, quote: pd.Series) -> pd.DataFrame:
-    """All places of a quote; exact: as it is, else with other white space. Null or empty ones have none."""
-    exact, places = [], []
+@F.arrow_udf(PLACES)
+def quote_places(text: pa.Array, quote: pa.Array) -> pa.Array:
+    """All places of a quote; exact: as it is, else with other white space. Null or empty ones have none.
+
+    Only the text at hand is a Python object; the places go into one array of numbers.
+    """
+    exact, sizes, numbers = [], [], array("i")
     for t, q in zip(text, quote, strict=True):
+        t, q = t.as_py(), q.as_py()
         found = [(a, a + len(q)) for a in all_places(t, q)] if t and q else []
         exact.append(bool(found))
         if not found and t and q:
             found = spaced_places(t, q)
-        units = utf16(t, [p for pair in found for p in pair]) if found else []
-        places.append([{"start": a, "end": b, "start16": units[2 * i], "end16": units[2 * i + 1]} for i, (a, b) in enumerate(found)])
-    return pd.DataFrame({"exact": exact, "places": places})
+        points = [p for pair in found for p in pair]
+        units = utf16(t, points) if found else []
+        sizes.append(len(found))
+        numbers.extend(x for i in range(0, len(points), 2) for x in (points[i], points[i + 1], units[i], units[i + 1]))
+    columns = np.array(numbers, np.int32).reshape(-1, 4).T
+    each = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["start", "end", "start16", "end16"])
+    return pa.StructArray.from_arrays([pa.array(exact, pa.bool_()), pa.ListArray.from_arrays(_offsets(sizes), each)], ["exact", "places"])
 
 
 def longest_terms(automaton, text: str) -> dict[int, int]:

@@ -310,3 +310,10 @@ def test_term_places_of_a_batch_are_not_python_objects():
     assert _peak_mb(lambda: places._term_marks(Shared).func(texts)) < 20
     parts = [places._term_finder(type("One", (), {"value": [t]})).func(texts) for t in ("the", "then")]
     assert places._joined_marks.func(*parts).equals(found)
+
+
+def test_quote_places_of_a_batch_are_not_python_objects():
+    texts, quotes = pa.array(["the then " * 150] * 1000), pa.array(["the"] * 1000)
+    found = places.quote_places.func(texts, quotes)
+    assert found[999].as_py()["places"][1] == {"start": 4, "end": 7, "start16": 4, "end16": 7}
+    assert _peak_mb(lambda: places.quote_places.func(texts, quotes)) < 30
