@@ -17,9 +17,17 @@ GUIDANCE = "원문에서 확인"
 def with_sources(files: DataFrame) -> DataFrame:
     """files with content_sha256 and, for media, source_id: files of the same content share one."""
     digested = files.withColumn("content_sha256", F.when(F.col("outcome") != "unread", F.sha2("content", 256))).drop("content")
-    firsts = digested.filter("outcome = 'media'").groupBy("notice_id", "content_sha256").agg(F.min("notice_file_id").alias("_first"))
-    numbered = firsts.withColumn("source_id", F.concat(F.lit("media_"), F.row_number().over(Window.partitionBy("notice_id").orderBy("_first")))).drop("_first").withColumn("outcome", F.lit("media"))
-    return digested.join(numbered, ["notice_id", "content_sha256", "outcome"], "left")
+    # All by notice, so that one shuffle does.
+    one = Window.partitionBy("notice_id")
+    media = F.col("outcome") == "media"
+    placed = digested.repartition("notice_id").withColumn("_first", F.min("notice_file_id").over(Window.partitionBy("notice_id", "content_sha256", "outcome")))
+    number = F.dense_rank().over(one.orderBy(F.when(media, 0).otherwise(1), "_first", "content_sha256"))
+    return placed.withColumn("source_id", F.when(media & F.col("content_sha256").isNotNull(), F.concat(F.lit("media_"), number))).drop("_first")
+
+
+def _large(df: DataFrame) -> DataFrame:
+    """df, one row for each notice, marked for a merge join: its repeated names pack so well in shuffles that Spark would take it for small enough to broadcast."""
+    return df.hint("merge")
 
 
 def build(notices: DataFrame, files: DataFrame) -> DataFrame:
@@ -31,7 +39,7 @@ def build(notices: DataFrame, files: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(of_file)).alias("files"), F.array_sort(F.collect_set(F.when(F.col("outcome") == "media", F.struct(F.substring_index("source_id", "_", -1).cast("int").alias("n"), "source_id", "content_sha256")))).alias("_media"),
         F.array_sort(F.collect_list(omitted)).alias("omissions"),
     )
-    joined = notices.select("notice_id", F.col("content_revision").alias("source_revision"), F.col("url").alias("original_url")).join(grouped, "notice_id", "left")
+    joined = notices.select("notice_id", F.col("content_revision").alias("source_revision"), F.col("url").alias("original_url")).join(_large(grouped), "notice_id", "left")
     media = F.transform("_media", lambda m: F.struct(m["source_id"].alias("source_id"), m["content_sha256"].alias("content_sha256")))
     empty = lambda of: F.array().cast(dict(joined.withColumn("m", media).dtypes)[of])
     read = F.size(F.filter("files", lambda f: f["outcome"] != "unread"))
@@ -49,7 +57,7 @@ def problems(manifests: DataFrame, notices: DataFrame, stored: DataFrame) -> Dat
     """
     identity = lambda *c: F.concat_ws("\u0001", *c)
     actual = stored.groupBy("notice_id").agg(F.array_sort(F.collect_set(identity(F.col("id").cast("string"), "file_key", "kind", "url"))).alias("_actual"))
-    joined = manifests.join(notices.select("notice_id", F.col("content_revision").alias("_revision"), F.col("url").alias("_url")), "notice_id", "left").join(actual, "notice_id", "left")
+    joined = manifests.join(_large(notices.select("notice_id", F.col("content_revision").alias("_revision"), F.col("url").alias("_url"))), "notice_id", "left").join(_large(actual), "notice_id", "left")
     wanted = F.array_distinct(F.transform("files", lambda f: identity(f["notice_file_id"].cast("string"), f["file_key"], f["kind"], f["url"])))
     have = F.coalesce("_actual", F.array().cast("array<string>"))
     same = (F.size(F.array_except(wanted, have)) == 0) & (F.size(F.array_except(have, wanted)) == 0)
@@ -73,14 +81,12 @@ def inconsistent(files: Column, media: Column, omissions: Column, original_url:
 
 def file_references(manifests: DataFrame) -> DataFrame:
     """notice_id and file_references: for each medium in order its files, or the notice's address and guidance where it has none."""
-    media = manifests.select("notice_id", "original_url", F.posexplode("media").alias("ord", "m"))
-    aliases = manifests.select("notice_id", F.posexplode("files").alias("file_ord", "f")).filter("f.outcome = 'media'")
-    grouped = aliases.groupBy("notice_id", F.col("f.source_id").alias("source_id")).agg(F.array_sort(F.collect_list(F.struct("file_ord", F.col("f.notice_file_id").alias("notice_file_id"), F.col("f.kind").alias("kind"), F.col("f.url").alias("url")))).alias("a"))
-    joined = media.withColumn("source_id", F.col("m.source_id")).join(grouped, ["notice_id", "source_id"], "left")
-    files = F.coalesce(F.transform("a", lambda x: F.struct(x["notice_file_id"].alias("notice_file_id"), x["kind"].alias("kind"), x["url"].alias("url"))), F.array().cast("array<struct<notice_file_id:long,kind:string,url:string>>"))
-    shaped = joined.withColumn("files", files).select("notice_id", F.struct("ord", "source_id", "files", F.when(F.size("files") == 0, F.col("original_url")).alias("original_notice_url"), F.when(F.size("files") == 0, GUIDANCE).alias("guidance")).alias("r"))
-    sorted_refs = shaped.groupBy("notice_id").agg(F.array_sort(F.collect_list("r")).alias("r"))
-    return sorted_refs.select("notice_id", F.transform("r", lambda x: F.struct(*[x[c].alias(c) for c in ("source_id", "files", "original_notice_url", "guidance")])).alias("file_references"))
+    shown = lambda f: F.struct(f["notice_file_id"].alias("notice_file_id"), f["kind"].alias("kind"), f["url"].alias("url"))
+    own = lambda m: F.transform(F.filter("files", lambda f: (f["outcome"] == "media") & (f["source_id"] == m["source_id"])), shown)
+    found = F.transform("media", lambda m: F.struct(m["source_id"].alias("source_id"), own(m).alias("files")))
+    bare = lambda r, value: F.when(F.size(r["files"]) == 0, value)
+    refs = F.transform("_found", lambda r: F.struct(r["source_id"].alias("source_id"), r["files"].alias("files"), bare(r, F.col("original_url")).alias("original_notice_url"), bare(r, F.lit(GUIDANCE)).alias("guidance")))
+    return manifests.filter(F.size("media") > 0).withColumn("_found", found).select("notice_id", refs.alias("file_references"))
 
 
 def file_only(body_text: Column, n_attachments: Column, n_media: Column) -> Column:

@@ -3,7 +3,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from placard.operators import claims, dictionary, highlights, rewrite, validators
+from placard.operators import claims, dictionary, highlights, manifest, rewrite, validators
 
 NOW = dt.datetime(2026, 1, 2)
 
@@ -111,3 +111,18 @@ def test_required_and_free_as_the_rules_have_them(spark):
     ]
     df = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(rows)], "notice_id long, card string, card_text string, source_text string")
     assert {r.notice_id: r.reasons for r in claims.audit_cards(df).collect()} == {i: r[3] for i, r in enumerate(rows)}
+
+
+def test_manifests_broadcast_no_notices(spark):
+    base = spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], "notice_id long, content_revision long, url string")
+    files = spark.createDataFrame(
+        [(1, 1, "k", "attachment", "u", "media", b"m", None), (1, 2, "l", "attachment", "v", "media", b"m", None), (1, 3, "n", "attachment", "w", "media", b"x", None), (2, 4, "k", "attachment", "u", "unread", None, "r")],
+        "notice_id long, notice_file_id long, file_key string, kind string, url string, outcome string, content binary, reason_code string",
+    )
+    built = manifest.build(base, files)
+    stored = files.selectExpr("notice_id", "notice_file_id as id", "file_key", "kind", "url")
+    refs, checked = manifest.file_references(built), manifest.problems(built, base, stored)
+    for df in (refs, checked):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [(r.notice_id, [(x.source_id, [f.url for f in x.files]) for x in r.file_references]) for r in refs.collect()] == [(1, [("media_1", ["u", "v"]), ("media_2", ["w"])])]
+    assert {r.notice_id: r.problem for r in checked.collect()} == {1: None, 2: None}
