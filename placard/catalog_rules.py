@@ -206,7 +206,8 @@ _BLOCKS = "|".join(sorted(text.BLOCKS))
 
 @_query(rf"""with a as (select page_id, regexp_replace(html, '(?is)<(?:{"|".join(sorted(text.HIDDEN))})\b.*?</(?:{"|".join(sorted(text.HIDDEN))})\s*>|<!--.*?-->|<!doctype[^>]*>', '', 'g') as t from pages),
 b as (select page_id, regexp_replace(regexp_replace(t, '>\s+<', '> <', 'g'), '(?i)</?(?:{_BLOCKS}|br)(?:\s[^>]*)?/?>', chr(10), 'g') as t from a),
-c as (select page_id, replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') as t from (select page_id, replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)) as t from b))
+c as (select page_id, regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '<[^>]*>', '', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&#39;', ''''), '&#39([^0-9]|$)', '''\1', 'g'), '&amp;?', '&', 'g') as t
+  from (select page_id, regexp_replace(regexp_replace(regexp_replace(t, '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&nbsp;?', chr(160), 'g') as t from b))
 select page_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), lambda x: x <> ''), chr(10)) as body_text from c""")
 def html_to_text(spark, d):
     return _table(spark, d, "pages").select("page_id", text.html_to_notice_text("html").alias("body_text"))

@@ -126,3 +126,16 @@ def test_manifests_broadcast_no_notices(spark):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
     assert [(r.notice_id, [(x.source_id, [f.url for f in x.files]) for x in r.file_references]) for r in refs.collect()] == [(1, [("media_1", ["u", "v"]), ("media_2", ["w"])])]
     assert {r.notice_id: r.problem for r in checked.collect()} == {1: None, 2: None}
+
+
+def test_html_sql_reads_references_without_semicolon():
+    import duckdb
+
+    from placard.catalog_rules import catalog
+    from placard.functions.text import notice_text
+
+    pages = ["<title>a&amp;&amp</title><p>b</p>", "<p>&lt&gt;&quot &#39 &#39;&copy&middot;</p>", "<p>x &amp;lt; y</p>"]
+    con = duckdb.connect()
+    con.execute("create table pages (page_id bigint, html varchar)")
+    con.executemany("insert into pages values (?, ?)", list(enumerate(pages)))
+    assert dict(con.execute(catalog.ORACLE_SQL["html_to_text"]).fetchall()) == {i: notice_text(p) for i, p in enumerate(pages)}
