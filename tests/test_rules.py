@@ -139,3 +139,15 @@ def test_html_sql_reads_references_without_semicolon():
     con.execute("create table pages (page_id bigint, html varchar)")
     con.executemany("insert into pages values (?, ?)", list(enumerate(pages)))
     assert dict(con.execute(catalog.ORACLE_SQL["html_to_text"]).fetchall()) == {i: notice_text(p) for i, p in enumerate(pages)}
+
+
+def test_glossary_searches_a_long_text_once(spark):
+    import time
+
+    from placard.functions import spans
+
+    text = spark.range(1).select(F.repeat(F.lit("the x"), 20_000).alias("t"))
+    began = time.perf_counter()
+    cut = text.select(spans.glossary_parts(F.col("t"), F.array(F.lit("the"))).alias("p")).first().p
+    assert time.perf_counter() - began < 20
+    assert len(cut) == 40_000 and [(p.text, p.is_term) for p in cut[:3]] == [("the", True), (" x", False), ("the", True)]
