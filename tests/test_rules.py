@@ -151,3 +151,21 @@ def test_glossary_searches_a_long_text_once(spark):
     cut = text.select(spans.glossary_parts(F.col("t"), F.array(F.lit("the"))).alias("p")).first().p
     assert time.perf_counter() - began < 20
     assert len(cut) == 40_000 and [(p.text, p.is_term) for p in cut[:3]] == [("the", True), (" x", False), ("the", True)]
+
+
+def test_elements_of_a_batch_are_not_python_objects(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from placard.sources.html_tree import elements
+
+    pages = pa.array(['<table class="a b">' + '<tr><td class="c"><a href="x">y</a></td></tr>' * 20 + "</table>"] * 1000)
+    run = elements("tr", "td", "a").func
+    tracemalloc.start()
+    try:
+        found = run(pages)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 20e6 and len(found[999]) == 60 and found[0].as_py()[2]["attrs"] == [("href", "x")]
