@@ -266,6 +266,35 @@ def simhash_components(docs: DataFrame, shingle: int = 4, threshold: int = 4, bl
 WIDE = 4
 
 
+def vantage_blocks(bits: np.ndarray, reach: np.ndarray, queries: np.ndarray, points: np.ndarray, most: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Leaves of a vantage-point tree over points, each with the queries whose balls cross it: (queries, points), as positions in bits.
+
+    Every point within a query's reach (bits that may differ) is in a leaf that
+    the query is sent to. A node's radius lies in the widest gap between the
+    distances from its vantage point, so a group of near copies is parted from
+    what is unlike it. A node that would save less than a tenth of its
+    comparisons is a leaf, and so is one of at most ``most`` of them.
+    """
+    stack = [(queries, points)]
+    while stack:
+        asks, has = stack.pop()
+        if not len(asks) or not len(has):
+            continue
+        if len(asks) * len(has) > most:
+            vantage = bits[has[len(has) // 2]]
+            away, asked = (np.bitwise_count(bits[x] ^ vantage).sum(axis=1, dtype=np.int64) for x in (has, asks))
+            steps = np.unique(away)
+            if len(steps) > 1:
+                at = int(np.argmax(np.diff(steps)))
+                near = away <= steps[at]
+                # By the triangle inequality; nothing lies between the two steps.
+                sides = [(asks[asked - reach[asks] <= steps[at]], has[near]), (asks[asked + reach[asks] >= steps[at + 1]], has[~near])]
+                if sum(len(a) * len(h) for a, h in sides) <= 0.9 * len(asks) * len(has):
+                    stack += sides
+                    continue
+        yield asks, has
+
+
 def _lowered(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(_LOWER).split()
 
@@ -294,8 +323,9 @@ def wide_links(nodes: DataFrame, threshold: int = 23, block_rows: int = 20_000)
     """(a, b): links of nodes (node, f0 to f3) within the threshold of 256 bits, at least a minimum spanning forest.
 
     If four words differ in ``threshold`` bits together, one of them differs in
-    a quarter at most; each word has trees of its own for that, of radius 0 on
-    blocks of its bits, which name the leaf. A leaf's
+    a quarter at most; each word is cut into blocks for that, and a choice of
+    them names the leaf. Within a leaf, a vantage-point tree over all 256 bits
+    finds who has a neighbour. A leaf's
     links come by distance, in steps of 4 bits, so two nodes are connected by
     links of their own step at most. The forest is of candidates: where one of
     them fails verification, a true link that it stands for is missing, and
@@ -328,16 +358,16 @@ def wide_links(nodes: DataFrame, threshold: int = 23, block_rows: int = 20_000)
         order = np.argsort(node)
         fps, node = fps[order], node[order]
         label, links = np.arange(len(node)), []
-        # Most nodes have no neighbour; a few wide operations set those aside.
-        rows_left, step = [np.zeros(0, np.int64)], max(1, (1 << 21) // max(1, len(node)))
-        for at in range(0, len(node), step):
-            some = fps[at : at + step]
-            distance = np.zeros((len(some), len(node) - at), np.uint16)
-            for word in range(WIDE):
-                distance += np.bitwise_count(some[:, word, None] ^ fps[None, at:, word])
-            close = np.triu(distance <= threshold, 1).any(axis=1)
-            rows_left.append(np.nonzero(close)[0] + at)
-        rows_left = np.concatenate(rows_left)
+        # Most nodes have no neighbour; those are set aside by a vantage-point tree of the leaf.
+        everyone, close = np.arange(len(node)), np.zeros(len(node), bool)
+        for asks, has in vantage_blocks(fps, np.full(len(node), threshold), everyone, everyone):
+            step = max(1, (1 << 19) // len(has))
+            for some in (asks[at : at + step] for at in range(0, len(asks), step)):
+                distance = np.zeros((len(some), len(has)), np.uint16)
+                for word in range(WIDE):
+                    distance += np.bitwise_count(fps[some, word][:, None] ^ fps[has, word])
+                close[some] |= ((distance <= threshold) & (has > some[:, None])).any(axis=1)
+        rows_left = np.nonzero(close)[0]
         for limit in [*range(threshold % 4, threshold, 4), threshold]:  # closest first, in steps of 4 bits
             for i in rows_left.tolist():
                 apart = np.nonzero(label[i + 1 :] != label[i])[0] + i + 1  # a dense group is soon one, and skipped
@@ -395,32 +425,71 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return keys
 
 
-def parity(hashes: np.ndarray) -> np.ndarray:
-    """256 bits, each the parity of the hashes in its range: two sets differ in at least as many hashes as bits."""
-    return np.packbits(np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=64 * WIDE).astype(np.uint8) & 1).view("<u8").astype(np.uint64)
+PARITY = 2048
+
+
+def parity(hashes: np.ndarray) -> bytes:
+    """``PARITY`` bits, each the parity of the hashes in its range: two sets differ in at least as many hashes as bits."""
+    return np.packbits(np.bincount((hashes >> np.uint64(53)).astype(np.int64), minlength=PARITY).astype(np.uint8) & 1).tobytes()
 
 
-def open_pairs(entries: DataFrame, found: DataFrame, facts: DataFrame, least: float, targets: int | None, whole: int = 32) -> DataFrame:
+def parity_pairs(bits: np.ndarray, size: np.ndarray, component: np.ndarray, queries: np.ndarray, points: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """(i, j, compared): queries and points of different components whose sizes and parities allow the similarity, and how many parities were compared.
+
+    Sets of sizes a and b that are as alike as ``least`` differ in at most
+    (1 - least) / (1 + least) * (a + b) hashes, and b is at most a / least.
+    """
+    reach = np.floor(size * (1 - least) / least + 1e-9).astype(np.int64)
+    out, compared = [], 0
+    for asks, has in vantage_blocks(bits, reach, queries, points):
+        step = max(1, (1 << 14) // len(has))
+        for some in (asks[at : at + step] for at in range(0, len(asks), step)):
+            a, b = size[some][:, None], size[has][None, :]
+            i, j = np.nonzero((np.minimum(a, b) >= least * np.maximum(a, b) - 1e-9) & (component[some][:, None] != component[has]))
+            i, j = some[i], has[j]
+            compared += len(i)
+            fits = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) <= (1 - least) / (1 + least) * (size[i] + size[j]) + 1e-9
+            out.append((i[fits], j[fits]))
+    i, j = (np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
+    return i, j, compared
+
+
+def open_pairs(entries: DataFrame, found: DataFrame, facts: DataFrame, least: float, targets: int | None, whole: int = 32, block_rows: int = 2048) -> DataFrame:
     """(a, b): pairs of nodes of different components that share a key, and whose sizes and parities allow the similarity.
 
-    entries: key, node; found: node, component; facts: node, size, p0 to p3. A
+    entries: key, node; found: node, component; facts: node, size, parity. A
     key's nodes outside its largest component are paired with its nodes: with
     all of them where the key has at most ``whole``, else with about
-    ``targets`` (None: all). Counts are combined before the shuffle, no group
-    is collected, and the join itself rules pairs out.
+    ``targets`` (None: all). A vantage-point tree over the key's parities finds
+    them. Keys of few nodes share a task; one of over ``block_rows`` is cut
+    into parts, and each pair of parts meets in a task of its own.
     """
     named = entries.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = named.groupBy("key", "component").agg(F.count("*").alias("n"))
     keys = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("components"), F.max_by("component", F.struct("n", "component")).alias("main")).filter("components > 1")
-    placed = checkpointed(named.join(keys.select("key", "n", "main"), "key").join(facts, "node"))
-    columns = ["node", "component", *[c for c in facts.columns if c != "node"]]
-    side = lambda df, e: df.select("key", *[F.col(c).alias(f"{e}_{c}") for c in columns])
-    asking = side(placed.filter("component <> main"), "a")
-    asked = side(placed if targets is None else placed.filter(f"n <= {whole} or pmod(xxhash64(node), n) < {targets}"), "b")
-    apart = " + ".join(f"bit_count(a_p{i} ^ b_p{i})" for i in range(WIDE))
-    fits = f"least(a_size, b_size) >= {least} * greatest(a_size, b_size) - 1e-9 and {apart} <= {(1 - least) / (1 + least)} * (a_size + b_size) + 1e-9"
-    pairs = asking.withColumnRenamed("key", "a_key").join(asked, F.expr(f"a_key = key and a_component <> b_component and {fits}"))
-    return pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+    asked = F.lit(True) if targets is None else F.expr(f"n <= {whole} or pmod(xxhash64(node), n) < {targets}")
+    placed = named.join(keys.select("key", "n", "main"), "key").join(facts, "node").withColumn("asks", F.expr("component <> main")).withColumn("asked", asked).filter("asks or asked")
+    parts = F.ceil(F.col("n") / block_rows)
+    placed = placed.withColumn("part", F.when(parts > 1, F.pmod(F.xxhash64("node"), parts)).otherwise(F.lit(0))).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    low, high = F.least("part", "other"), F.greatest("part", "other")
+    cell = F.when(F.col("n") <= whole, F.shiftright(F.xxhash64("key"), 52)).otherwise(F.xxhash64("key", low, high))
+    tasks = placed.select(cell.alias("cell"), "key", (F.col("part") == low).alias("lower"), "node", "component", "asks", "asked", "size", "parity")
+
+    def search(rows: pa.Table) -> pa.Table:
+        key, node, component, size = (rows.column(c).to_numpy() for c in ("key", "node", "component", "size"))
+        asks, asked, lower = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("asks", "asked", "lower"))
+        bits = np.frombuffer(b"".join(rows.column("parity").to_pylist()), "<u8").reshape(len(node), -1)
+        order = np.argsort(key, kind="stable")
+        pairs = []
+        for own in np.split(order, np.nonzero(np.diff(key[order]))[0] + 1):
+            one, two = own[lower[own]], own[~lower[own]]
+            for x, y in ((one, two), (two, one)) if len(two) else ((one, one),):
+                i, j, _ = parity_pairs(bits, size, component, x[asks[x]], y[asked[y]], least)
+                pairs.append(np.stack((np.minimum(node[i], node[j]), np.maximum(node[i], node[j]))))
+        a, b = np.unique(np.concatenate(pairs, axis=1), axis=1)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return tasks.groupBy("cell").applyInArrow(search, "a long, b long").distinct()
 
 
 @drops_shuffles
@@ -432,7 +501,8 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, threshold
     SimHashes within ``threshold`` bits; it joins most copies with changed
     words at little cost, whatever their number. The second completes the
     classes: texts that share a key of MinHash values are compared unless
-    verified links join them already. Keys of many texts are first compared
+    verified links join them already, as far as a vantage-point tree over the
+    parities of their shingles doesn't rule them out. Keys of many texts are first compared
     with a few of these, then with more, and at last all that is still apart.
 
     A null text counts as empty, and texts without words are one class; rows
@@ -442,7 +512,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, threshold
     """
 
     texts = only(docs, "doc_id", "text")
-    fields = [*[f"f{i}" for i in range(WIDE)], *[f"p{i}" for i in range(WIDE)], "size"]
+    fields = [*[f"f{i}" for i in range(WIDE)], "size"]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
@@ -454,9 +524,9 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, threshold
                 words = [_lowered(t) for t in piece.column("text").to_pylist()]
                 digests = pa.array([xxh3_128_digest(b" ".join(w)) for w in words], pa.binary())
                 hashes = [shingle_hashes(w, shingle) for w in words]
-                numbers = np.array([np.concatenate((wide_fingerprint(w), parity(h), [np.uint64(len(h))])) for w, h in zip(words, hashes, strict=True)], np.uint64).reshape(-1, len(fields)).view(np.int64)
+                numbers = np.array([np.concatenate((wide_fingerprint(w), [np.uint64(len(h))])) for w, h in zip(words, hashes, strict=True)], np.uint64).reshape(-1, len(fields)).view(np.int64)
                 keys = pa.array([band_keys(h).view(np.int64) if len(h) else [] for h in hashes], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), digests, *[pa.array(np.ascontiguousarray(n)) for n in numbers.T], keys], ["doc_id", "digest", *fields, "keys"])
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), digests, *[pa.array(np.ascontiguousarray(n)) for n in numbers.T], pa.array(map(parity, hashes), pa.binary()), keys], ["doc_id", "digest", *fields, "parity", "keys"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -472,13 +542,13 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, threshold
         sweep(done.sparkSession)
         return done
 
-    known = staged(texts.mapInArrow(describe, f"doc_id long, digest binary, {', '.join(f'{c} long' for c in fields)}, keys array<long>"))
-    nodes = checkpointed(known.groupBy("digest").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in fields]).filter("node is not null"))
+    known = staged(texts.mapInArrow(describe, f"doc_id long, digest binary, {', '.join(f'{c} long' for c in fields)}, parity binary, keys array<long>"))
+    nodes = checkpointed(known.groupBy("digest").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in (*fields, "parity")]).filter("node is not null"))
     true = verified(checkpointed(wide_links(nodes, threshold)))
     found = components(true, sweeps=True)
 
     own = known.join(nodes.select("digest", "node"), "digest").filter("doc_id = node").select("node", F.explode("keys").alias("key")).distinct()
-    entries, facts = checkpointed(own), nodes.select("node", "size", *[f"p{i}" for i in range(WIDE)])
+    entries, facts = checkpointed(own), nodes.select("node", "size", "parity")
     tried = None
     for some in (*targets, None):
         pairs = open_pairs(entries, found, facts, least, some)

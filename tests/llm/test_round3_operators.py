@@ -7,10 +7,11 @@ import random
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from placard.llm import common, piece_codec, prefix_trie, turn_repair
+from placard.llm import common, piece_codec, prefix_trie, simhash_dedup, turn_repair
 
 TURNS = "conv_id long, turn long, role string, text string"
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -313,3 +314,44 @@ def test_query_equals_sql(spark, name):
     want = con.sql(ORACLE_SQL[name])
     got = QUERIES[name](spark, "/root/testdata/sf0.001").select(*want.columns).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(want.fetchall(), key=repr)
+
+
+# --- near-duplicates by vantage-point trees
+
+
+def test_vantage_trees_prune_and_lose_nothing():
+    """Balls around near copies cross few boundaries, and the pairs are those of brute force."""
+    rng = np.random.default_rng(4)
+    sets, groups = [], []
+    for g in range(12):
+        base = rng.integers(0, 1 << 64, 400, dtype=np.uint64)
+        for _ in range(25):
+            own = base.copy()
+            own[rng.choice(400, rng.integers(5, 80), replace=False)] = rng.integers(0, 1 << 64, 1, dtype=np.uint64)
+            sets.append(np.unique(own[: rng.integers(300, 401)]))
+            groups.append(g)
+    bits = np.frombuffer(b"".join(map(simhash_dedup.parity, sets)), "<u8").reshape(len(sets), -1)
+    size, everyone = np.array(list(map(len, sets))), np.arange(len(sets))
+    i, j, compared = simhash_dedup.parity_pairs(bits, size, everyone, everyone, everyone, 0.8)
+    got = set(zip(i.tolist(), j.tolist(), strict=True))
+    alike = {(a, b) for a in everyone.tolist() for b in everyone.tolist() if a != b and len(c := np.intersect1d(sets[a], sets[b])) >= 0.8 * (size[a] + size[b] - len(c))}
+    assert alike and alike <= got and len(got) < 3 * len(alike)
+    assert compared < len(sets) ** 2 / 4 and all(groups[a] == groups[b] for a, b in got)
+
+
+def test_unlike_texts_of_one_key_are_ruled_out_unread(spark):
+    """Versions of one text that are all but near copies share keys; none of their pairs goes on to the comparison of texts."""
+    rng = np.random.default_rng(6)
+    base, rows = rng.integers(0, 1 << 64, 400, dtype=np.uint64), []
+    for n in range(80):
+        own = base.copy()
+        own[rng.choice(400, 70, replace=False)] = rng.integers(0, 1 << 64, 70, dtype=np.uint64)
+        rows.append((n, 400, simhash_dedup.parity(np.unique(own))))
+    facts = spark.createDataFrame(rows, "node long, size long, parity binary")
+    entries, found = facts.selectExpr("7L as key", "node"), facts.selectExpr("node", "node as component").limit(0)
+    for block_rows in (2048, 30):
+        assert simhash_dedup.open_pairs(entries, found, facts, 0.8, None, block_rows=block_rows).count() == 0
+    twins = facts.unionByName(facts.selectExpr("node + 100 as node", "size", "parity"))
+    both = twins.selectExpr("7L as key", "node")
+    for block_rows in (2048, 30):
+        assert sorted(map(tuple, simhash_dedup.open_pairs(both, found, twins, 0.8, None, block_rows=block_rows).collect())) == [(n, n + 100) for n in range(80)]
