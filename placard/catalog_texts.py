@@ -43,8 +43,8 @@ def schedules_grounded(spark, d):
     x, y, n = F.col("x"), F.col("y"), F.col("n_chars")
     first = F.struct(F.lit(0).alias("entry"), F.when(F.col("source") == "src0", "payment").otherwise("application").alias("kind"), day("03", x).alias("start_date"), F.when(n % 3 == 0, "2026-02-28").when(n % 3 == 1, day("03", x + 4)).otherwise(day("03", x + 5)).alias("end_date"))
     second = F.struct(F.lit(1).alias("entry"), F.lit("event").alias("kind"), day("05", F.when(n % 5 == 0, y % 28 + 1).otherwise(y)).alias("start_date"), F.lit(None).cast("string").alias("end_date"))
-    entries = _noticed(spark, d).select("doc_id", "source_text", F.inline(F.array(first, second)))
-    return schedules.ground_in_text(entries, "source_text").select("doc_id", "entry", "verdict")
+    texts = _noticed(spark, d).withColumn("found", schedules.dates_by_block(F.col("source_text")))  # once for both entries
+    return schedules.ground_in_text(texts.select("doc_id", "found", F.inline(F.array(first, second))), found="found").select("doc_id", "entry", "verdict")
 
 
 @_query(r"""with q as (select doc_id, text, regexp_extract_all(substr(text, 1, 4000), '[A-Za-z]+') as w from documents),

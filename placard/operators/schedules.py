@@ -33,6 +33,8 @@ VERBS = {
 }
 #: A kind word; "신청 일시" keeps the word before 일시.
 KIND_MARK = rf"(?U)({ANY_KIND})(?:\s*일시)?"
+#: What every date, and every kind word and label, has in it: by these most lines are passed over.
+DIGIT, HANGUL, MARKED = r"\p{Nd}", r"[가-힣]", r"[\p{Nd}가-힣]"
 CUT, SOFT = "\x01", "\x02"
 MOST_LABEL = 40
 
@@ -75,12 +77,26 @@ def _is_label(text: Column) -> Column:
 
 
 def _heading(line: Column) -> Column:
-    return (F.trim(line) != "") & ~_dated(line) & line.rlike(ANY_KIND)
+    return (F.trim(line) != "") & line.rlike(ANY_KIND) & ~_dated(line)
 
 
-def blocks(text: Column) -> Column:
-    """BLOCKS of a text, blank ones left out; a null text has none."""
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: F.struct(line.alias("text"), _cut_line(line).alias("units"), _heading(line).alias("heading")))
+def blocks(text: Column, dated: bool = False) -> Column:
+    """BLOCKS of a text, blank ones left out; a null text has none. ``dated``: only those of lines with a date.
+
+    A line without a date is then only cut if it may hold a label, and every
+    label is in Hangul; no date reaches over a cut or from a label into the line
+    below, so no date is lost.
+    """
+    has_date = lambda line: line.rlike(DIGIT) & line.rlike(DATE)
+
+    def described(line: Column) -> Column:
+        whole = lambda units, heading, kept: F.struct(line.alias("text"), units.alias("units"), heading.alias("heading"), kept.alias("kept"))
+        if not dated:
+            return whole(_cut_line(line), _heading(line), F.lit(True))
+        units = F.when(has_date(line) | line.rlike(HANGUL), _cut_line(line)).otherwise(F.array(line))
+        return F.when(line.rlike(MARKED), whole(units, _heading(line), has_date(line))).otherwise(whole(F.array(line), F.lit(False), F.lit(False)))
+
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), described)
 
     def placed(line: Column, i: Column, all_lines: Column) -> Column:
         before = F.get(all_lines, i - 1)
@@ -88,7 +104,7 @@ def blocks(text: Column) -> Column:
         second = F.get(all_lines, i - 2)
         near = F.when(before["heading"], F.concat(_kinds_in(before["text"]), F.when(second["heading"], _kinds_in(second["text"])).otherwise(F.array().cast("array<string>"))))
         above = F.when(F.size(F.array_distinct(near)) == 1, near[0])
-        return F.transform(
+        placed_units = F.transform(
             line["units"],
             lambda unit, k: F.struct(
                 i.alias("line"), k.alias("block"),
@@ -96,6 +112,7 @@ def blocks(text: Column) -> Column:
                 F.when(k == 0, above).alias("above"),
             ),
         )
+        return F.when(line["kept"], placed_units).otherwise(F.array().cast(BLOCKS)) if dated else placed_units
 
     # Bound once, so the lines aren't cut again for each of them.
     found = F.transform(F.array(lines), lambda ls: F.flatten(F.transform(ls, lambda line, i: placed(line, i, ls))))[0]
@@ -104,6 +121,10 @@ def blocks(text: Column) -> Column:
 
 def block_dates(block: Column) -> Column:
     """Array of (day, kind) of a block (text, above), in order; day as yyyy-mm-dd, a year carried from the left; kind null where the source gives none."""
+    return F.when(block["text"].rlike(DIGIT) & block["text"].rlike(DATE), _block_dates(block)).otherwise(F.array().cast("array<struct<day:string,kind:string>>"))
+
+
+def _block_dates(block: Column) -> Column:
     text = block["text"]
     parts = lambda n: F.regexp_extract_all(text, F.lit(DATE), F.lit(n))
     around = F.split(text, DATE, -1)
@@ -134,23 +155,30 @@ def block_dates(block: Column) -> Column:
 
 def schedule_dates(texts: DataFrame, key: str, text: str) -> DataFrame:
     """key, line, block, day, kind: a row for each date that a text has."""
-    rows = texts.select(key, F.inline(blocks(F.col(text))))
+    rows = texts.select(key, F.inline(blocks(F.col(text), dated=True)))
     return rows.select(key, "line", "block", F.inline(block_dates(F.struct("text", "above"))))
 
 
-def ground_in_text(entries: DataFrame, text: str = "source") -> DataFrame:
+def dates_by_block(text: Column) -> Column:
+    """What ``block_dates`` finds, for each block with a date."""
+    return F.transform(blocks(text, dated=True), lambda b: block_dates(b))
+
+
+def ground_in_text(entries: DataFrame, text: str = "source", found: str | None = None) -> DataFrame:
     """entries (kind, start_date, end_date, and their source's text) with verdict.
 
+    ``found`` names a column with ``dates_by_block`` of the text, where that is
+    there already: entries of one text then share it.
+
     ok: some block has both ends, and gives one of them the entry's kind;
     kind_not_in_source: a block has both, but with other kinds or none;
     date_not_in_source: no block has them; reversed: the end is before the start.
     """
-    found = F.transform(blocks(F.col(text)), lambda b: block_dates(b))
     has = lambda ds, day: day.isNull() | F.exists(ds, lambda x: x["day"] == day)
     start, end = F.col("start_date"), F.col("end_date")
     dated = lambda ds: has(ds, start) & has(ds, end) & (start.isNotNull() | end.isNotNull())
     kinded = lambda ds: F.exists(ds, lambda x: ((x["day"] == start) | (x["day"] == end)) & (x["kind"] == F.col("kind")))
-    looked = entries.withColumn("_blocks", found)
+    looked = entries.withColumn("_blocks", F.col(found) if found else dates_by_block(F.col(text)))
     verdict = (
         F.when(end < start, "reversed").when(F.exists("_blocks", lambda ds: F.coalesce(dated(ds) & kinded(ds), F.lit(False))), "ok")
         .when(F.exists("_blocks", lambda ds: F.coalesce(dated(ds), F.lit(False))), "kind_not_in_source").otherwise("date_not_in_source")

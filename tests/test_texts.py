@@ -103,6 +103,16 @@ def test_grounding_needs_one_block(spark):
     assert [r.verdict for r in schedules.ground_in_text(df).orderBy("id").collect()] == ["ok", "date_not_in_source", "kind_not_in_source", "ok", "date_not_in_source", "reversed", "date_not_in_source"]
 
 
+def test_lines_without_a_date_are_passed_over(spark):
+    """The blocks with a date are the same, also below labels and headings; other lines aren't cut."""
+    parts = ["접수 기간:", "plain words; of a line. more", "행사 안내", "기간: 2026. 5. 3.", "a 12 b. c", "x; 2026-03-04 / 신청 3.9. y! z", "납부 안내", "", "3/4 기간", "2025.1.2. 접수합니다. 기간:", "２０２６. 4. 5."]
+    rng = random.Random(3)
+    rows = spark.createDataFrame([(i, "\n".join(rng.choices(parts, k=rng.randrange(1, 9)))) for i in range(300)], "id long, t string")
+    all_blocks, dated = schedules.blocks(F.col("t")), schedules.blocks(F.col("t"), dated=True)
+    got = rows.select(F.filter(all_blocks, lambda b: b["text"].rlike(schedules.DATE)).alias("x"), F.filter(dated, lambda b: b["text"].rlike(schedules.DATE)).alias("y"), F.size(all_blocks).alias("n"), F.size(dated).alias("m")).collect()
+    assert all(r.x == r.y for r in got) and sum(r.m for r in got) < 0.6 * sum(r.n for r in got)
+
+
 # --- shapes
 
 
