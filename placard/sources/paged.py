@@ -4,8 +4,8 @@
     spark.read.format("recorded_pages").option("path", folder).option("size", 50).load()
 
 A list is newest first and indexed from 1. The first page tells how long it is,
-and each index range is then a partition of its own, read by its own task, and
-tried again there after errors that may pass. Ranges overlap, so that a list
+and each index range is then asked for by itself, and tried again there after
+errors that may pass; long lists have runs of ranges read by one task. Ranges overlap, so that a list
 that moves while it is read shows: rows come twice, or other totals, or another
 first row in the confirming read at the end. ``list_status`` finds all that.
 
@@ -14,8 +14,8 @@ the rows between two offsets are the first ones of the list, whatever came on
 top since. A page that was served after the list moved on is asked for again,
 shifted by as many rows. Replaying an offset range gives the same rows.
 
-Recorded responses are text files under board=/poll=/first=/last=/attempt=/
-status=, one for each attempt; ``record`` writes them.
+Recorded responses are Parquet files under board=/poll=/stretch=, a folder for
+each stretch of ``STRETCH`` first indexes; ``record`` writes them, in order.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,9 @@ from placard.sources.shared import filesystem
 
 PAGES = "board string, poll int, start int, end int, confirms boolean, attempts int, status int, keep int, xml string"
 RESPONSE = ("board", "poll", "first", "last", "attempt", "status")
+STRETCH = 10_000
+#: A task of its own for each range up to so many; beyond that, runs of at most MOST_RANGES.
+FEW_RANGES, MOST_RANGES = 64, 512
 MOST_ATTEMPTS, RATE_LIMITED, RETRYABLE = 3, 429, (500, 502, 503, 504)
 MISSING, SHRUNK = 404, 409
 
@@ -49,6 +53,24 @@ class PageRange(InputPartition):
     keep: int | None = None
 
 
+@dataclass
+class PageRun(InputPartition):
+    ranges: list[PageRange]
+
+
+def dealt(ranges: list[PageRange]) -> list[PageRange] | list[PageRun]:
+    """Ranges as partitions: each by itself if they are few, else neighbours together."""
+    run = min(MOST_RANGES, -(-len(ranges) // FEW_RANGES))
+    return ranges if run <= 1 else [PageRun(ranges[i : i + run]) for i in range(0, len(ranges), run)]
+
+
+Partition = TypeVar("Partition", PageRange, PageRun)
+
+
+def _ranges(partition: Partition) -> list[PageRange]:
+    return partition.ranges if isinstance(partition, PageRun) else [partition]
+
+
 def page_ranges(total: int, size: int, overlap: int, sample: bool = False) -> list[tuple[int, int]]:
     """The index ranges of a list; the first has a page's full size, as it is asked for before the total is known."""
     if not 1 <= size <= api_xml.MOST_ROWS or not 0 <= overlap < size:
@@ -62,7 +84,7 @@ class _Responses:
     """The recorded responses in a folder."""
 
     def __init__(self, options: dict[str, str]):
-        self.path = options["path"]
+        self.path, self.near = options["path"], {}
 
     def _names(self, under: str, key: str) -> list[str]:
         from pyarrow import fs
@@ -79,14 +101,26 @@ class _Responses:
 
     def get(self, board: str, poll: int, start: int, end: int, attempt: int) -> tuple[int, str | None]:
         """(status, body) of one attempt."""
-        from pyarrow import fs
+        status, body = self._stretch(board, poll, start // STRETCH).get((start, end, attempt), (MISSING, None))
+        return status, body if status == 200 else None
 
-        folder = f"/board={board}/poll={poll}/first={start}/last={end}/attempt={attempt}"
-        for status in self._names(folder, "status"):
-            system, base = filesystem(f"{self.path}{folder}/status={status}")
-            files = [i for i in system.get_file_info(fs.FileSelector(base)) if i.base_name.startswith("part-")]
-            return int(status), "".join(system.open_input_stream(f.path).read().decode() for f in files) if status == "200" else None
-        return MISSING, None
+    def _stretch(self, board: str, poll: int, stretch: int) -> dict[tuple[int, int, int], tuple[int, str]]:
+        """The responses of one stretch; the last two are kept, as a list that moves is read across their border."""
+        from pyarrow import fs
+        from pyarrow import parquet as pq
+
+        if (place := (board, poll, stretch)) not in self.near:
+            system, base = filesystem(f"{self.path}/board={board}/poll={poll}/stretch={stretch}")
+            files = [i.path for i in system.get_file_info(fs.FileSelector(base, allow_not_found=True)) if i.base_name.startswith("part-")]
+            found = {}
+            for path in files:
+                with system.open_input_file(path) as file:
+                    columns = pq.read_table(file, columns=["first", "last", "attempt", "status", "xml"], partitioning=None).to_pydict()
+                found |= {(f, t, n): (code, xml) for f, t, n, code, xml in zip(*columns.values(), strict=True)}
+            for old in list(self.near)[:-1]:
+                del self.near[old]
+            self.near[place] = found
+        return self.near[place]
 
     def tried(self, board: str, poll: int, start: int, end: int) -> tuple[int, int, str | None]:
         """(attempts, status, body): errors that may pass are tried again, a refusal for too many requests isn't."""
@@ -108,8 +142,8 @@ class PageReader(DataSourceReader):
         if self.overlap < 0:
             self.overlap = min(10, self.size - 1)
 
-    def partitions(self) -> list[PageRange]:
-        """A range for each page of each board; one request for each board is made to learn its length."""
+    def partitions(self) -> list[PageRange] | list[PageRun]:
+        """A range for each page of each board, in runs where there are many; one request for each board is made to learn its length."""
         poll, sample = int(self.options.get("poll", 1)), self.options.get("sample", "false") == "true"
         boards = [b for b in self.options.get("boards", "").split(",") if b] or self.responses.boards()
         if "start" in self.options:
@@ -120,12 +154,12 @@ class PageReader(DataSourceReader):
             out += [PageRange(board, poll, a, b) for a, b in page_ranges(total or 0, self.size, self.overlap, sample)]
             if total and not sample:
                 out.append(PageRange(board, poll, 1, 1, True))
-        return out
+        return dealt(out)
 
-    def read(self, partition: PageRange) -> Iterator[tuple]:
-        p = partition
-        attempts, status, body = self.responses.tried(p.board, p.poll, p.start, p.end)
-        yield (p.board, p.poll, p.start, p.end, p.confirms, attempts, status, None, body)
+    def read(self, partition: Partition) -> Iterator[tuple]:
+        for p in _ranges(partition):
+            attempts, status, body = self.responses.tried(p.board, p.poll, p.start, p.end)
+            yield (p.board, p.poll, p.start, p.end, p.confirms, attempts, status, None, body)
 
 
 class PageStreamReader(DataSourceStreamReader):
@@ -150,17 +184,19 @@ class PageStreamReader(DataSourceStreamReader):
                 return {"poll": poll, "index": total}
         return {"poll": 0, "index": 0}
 
-    def partitions(self, start: dict, end: dict) -> list[PageRange]:
+    def partitions(self, start: dict, end: dict) -> list[PageRange] | list[PageRun]:
         new = end["index"] - start["index"]
         if new < 0:
             return [PageRange(self.board, end["poll"], 1, 1, False, end["index"], -1)]
-        return [PageRange(self.board, end["poll"], a, min(a + self.size - 1, end["index"]), False, end["index"], min(self.size, new - a + 1)) for a in range(1, new + 1, self.size)]
+        return dealt([PageRange(self.board, end["poll"], a, min(a + self.size - 1, end["index"]), False, end["index"], min(self.size, new - a + 1)) for a in range(1, new + 1, self.size)])
+
+    def read(self, partition: Partition) -> Iterator[tuple]:
+        for p in _ranges(partition):
+            yield self._page(p)
 
-    def read(self, partition: PageRange) -> Iterator[tuple]:
-        p = partition
+    def _page(self, p: PageRange) -> tuple:
         if p.keep is not None and p.keep < 0:
-            yield (p.board, p.poll, p.start, p.end, False, 0, SHRUNK, 0, None)
-            return
+            return p.board, p.poll, p.start, p.end, False, 0, SHRUNK, 0, None
         shift, attempts = 0, 0
         while True:
             tries, status, body = self.responses.tried(p.board, p.poll, p.start + shift, p.end + shift if p.start + shift > 1 else max(p.end, self.size))
@@ -172,7 +208,7 @@ class PageStreamReader(DataSourceStreamReader):
             shift += moved  # rows came on top since: the ones asked for are further down
         if status == 200 and moved:
             status, body = SHRUNK, None
-        yield (p.board, p.poll, p.start + shift, p.end + shift, False, attempts, status, p.keep, body)
+        return p.board, p.poll, p.start + shift, p.end + shift, False, attempts, status, p.keep, body
 
     def commit(self, end: dict) -> None:
         pass
@@ -197,7 +233,9 @@ class RecordedPages(DataSource):
 
 def record(responses: DataFrame, path: str) -> None:
     """Writes responses (RESPONSE, xml) for the source to read."""
-    responses.select(*RESPONSE, F.coalesce("xml", F.lit("")).alias("xml")).repartition(*RESPONSE).write.partitionBy(*RESPONSE).option("lineSep", "\n").text(path)
+    folders = ("board", "poll", "stretch")
+    placed = responses.select(*RESPONSE, F.coalesce("xml", F.lit("")).alias("xml")).withColumn("stretch", F.expr(f"first div {STRETCH}"))
+    placed.repartition(*folders).sortWithinPartitions(*folders, "first", "last", "attempt").write.partitionBy(*folders).parquet(path)
 
 
 def read_pages(spark: SparkSession, path: str, **options: object) -> DataFrame:

@@ -45,6 +45,19 @@ def test_each_range_is_a_partition_and_errors_are_tried_again(spark, tmp_path):
     assert (status["a"].n_failed, status["a"].n_rows, status["a"].complete) == (2, 10, False) and (status["b"].total, status["b"].complete) == (None, False)
 
 
+def test_long_lists_are_read_in_runs_and_recorded_in_stretches(spark, tmp_path):
+    """Neither a folder nor a task for each page, and the same pages all the same."""
+    n, ids = 12_000, range(12_000, 0, -1)
+    rows = [("a", 1, a, b, 1, 200, page(n, ids[a - 1 : b])) for a, b in paged.page_ranges(n, 10, 2)] + [("a", 1, 1, 1, 1, 200, page(n, ids[:1]))]
+    folder = recorded(spark, tmp_path / "r", rows)
+    assert len([p for p in (tmp_path / "r").rglob("*") if p.is_dir()]) == 4
+    pages = paged.read_pages(spark, folder, size=10, overlap=2)
+    assert pages.rdd.getNumPartitions() <= paged.FEW_RANGES
+    assert sorted((r.start, r.end, r.attempts, r.status, r.xml) for r in pages.collect()) == sorted((r[2], r[3], 1, 200, r[6]) for r in rows)
+    status = paged.list_status(paged.parsed_pages(pages)).first()
+    assert (status.n_pages, status.n_rows, status.complete) == (len(rows) - 1, n, True)
+
+
 @pytest.mark.parametrize(("change", "finds"), [("none", (0, False, True)), ("first", (0, True, False)), ("total", (0, True, False)), ("content", (1, False, False)), ("lost", (0, False, False))])
 def test_a_list_is_complete_only_if_nothing_moved(spark, tmp_path, change, finds):
     ids = list(range(20, 8, -1))
