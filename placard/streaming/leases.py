@@ -102,13 +102,14 @@ class Leases(StatefulProcessor):
         self.waiting = handle.getListState("waiting", WAITING)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        """Keeps the events; a timer for each time among them applies them in order."""
+        """Keeps the events; a timer for the first of them applies in order what the watermark is past, and sets the next."""
+        events = []
         for frame in rows:
-            values = frame[["at_us", *FIELDS[1:]]].astype(object)
-            events = [(int(e[0]), int(e[1]), *e[2:]) for e in values.where(values.notna(), None).itertuples(index=False, name=None)]
+            columns = (frame[c].tolist() for c in ("at_us", *FIELDS[1:]))
+            events += [(at, seq, *[x if isinstance(x, str) else None for x in rest]) for at, seq, *rest in zip(*columns, strict=True)]
+        if events:
             self.waiting.appendList(events)
-            for at in {e[0] for e in events}:
-                self._wake(at)
+            self._wake(min(e[0] for e in events))
         return iter(())
 
     def _wake(self, at: int) -> None:
@@ -134,6 +135,8 @@ class Leases(StatefulProcessor):
         pass_to(now)
         if ready:
             self.waiting.put(later) if later else self.waiting.clear()
+        if later:
+            self._wake(later[0][0])
         if out:
             self.job.update((job.state, job.attempts, job.version, job.token, job.until, job.reason))
             if job.until is not None:

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 
 from placard.sources import paged
@@ -156,6 +157,27 @@ def test_transitions_are_a_fold_however_events_are_cut(spark, tmp_path, batches)
     assert sorted(map(tuple, got), key=str) == folded(rows)
 
 
+def test_a_batch_sets_one_timer_for_a_key():
+    """However many events a batch has; what the watermark isn't past yet gets the next timer."""
+    timers, kept = [], []
+
+    class State:
+        value = None
+        exists, get, update, clear = (lambda self: self.value is not None), (lambda self: self.value), (lambda self, v: setattr(self, "value", v)), (lambda self: None)
+
+    job, waiting = State(), State()
+    waiting.appendList, waiting.get, waiting.put = kept.extend, lambda: list(kept), lambda rows: kept.__setitem__(slice(None), rows)
+    leased = leases.Leases(RULES)
+    leased.handle = type("Handle", (), {"registerTimer": lambda self, at: timers.append(at)})()
+    leased.job, leased.waiting = job, waiting
+    rows = [(1_000_000 * i, i, "enqueue", f"v{i}", None, None) for i in range(1, 50)]
+    assert list(leased.handleInputRows(("k",), iter([pd.DataFrame(rows, columns=["at_us", *leases.FIELDS[1:]])]), None)) == [] and timers == [1001] and kept == rows
+    times = type("Times", (), {"getCurrentWatermarkInMs": lambda self: 30_000})()
+    fired = type("Fired", (), {"getExpiryTimeInMs": lambda self: 1001})()
+    (out,) = leased.handleExpiredTimer(("k",), times, fired)
+    assert len(out) == 30 and kept == rows[30:] and timers == [1001, 31_001]
+
+
 def test_rules_of_a_job():
     job, s = leases.Job(), 1_000_000
     step = lambda at, kind, **x: leases.applied(job, at * s, kind, x.get("version"), x.get("token"), x.get("failed"), RULES)
