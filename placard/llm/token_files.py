@@ -30,13 +30,17 @@ than the public byte-level files do go to the library whole.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
+import re
 import struct
+import unicodedata
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +49,8 @@ from placard.llm.common import KEPT, fresh_path, only, table
 INDEX_MAGIC, SEEK_MAGIC, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 #: Entries that each of one worker's memos holds at most; pieces of over PIECE characters are never kept.
 MEMO, PIECE = 700_000, 64
+#: Bytes of text that are cut in one go (one text, if that is longer).
+STRETCH = 16 << 20
 #: The byte-level pattern of the public tokenizer files (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -90,65 +96,164 @@ class _Memo(dict):
         return found
 
 
+#: Kinds of characters that ``PATTERN`` tells apart: white space, letters, numbers, others.
+SPACE, LETTER, NUMBER, OTHER = range(4)
+
+
+def _latin_kinds() -> np.ndarray:
+    """The kind of each character before U+0250."""
+    kinds = {"L": LETTER, "N": NUMBER}
+    return np.array([SPACE if c in (10, 32) else kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x250)], np.uint8)
+
+
+KINDS = _latin_kinds()
+#: Texts of visible characters before U+0250, spaces and line feeds.
+LATIN = re.compile(f"[{re.escape(''.join(c for c in map(chr, range(0x250)) if c.isprintable()))}\n]*")
+
+
+def part_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The bytes at which ``PATTERN`` begins a part, in the UTF-8 bytes of ``LATIN`` texts on end; bounds: where texts begin, and the last one's end."""
+    if not len(data):
+        return np.zeros(0, np.int64)
+    kind = KINDS[np.minimum(data, 0x7F)]
+    lead = np.flatnonzero(data >= 0xC0)
+    kind[lead] = kind[lead + 1] = KINDS[(data[lead] & 0x1F).astype(np.int64) << 6 | data[lead + 1] & 0x3F]
+    text = np.zeros(len(data) + 3, bool)  # a text begins here
+    text[bounds] = text[len(data) :] = True
+    space = kind == SPACE
+    start = text[: len(data)].copy()
+    # A run of one kind is a part, and takes one space before it; a line feed before it is a part of its own.
+    start[1:] |= (kind[1:] != kind[:-1]) & ~(space[:-1] & (data[:-1] == 32) & ~text[1 : len(data)])
+    # Of white space before a visible character, the last one is apart from the rest.
+    start[:-1] |= space[:-1] & ~space[1:] & ~text[1 : len(data)]
+    # 's, 't, 'm, 'd, 're, 've and 'll are parts where a part begins with them.
+    mark = np.flatnonzero((data == 39) & start)
+    padded = np.concatenate((data, np.zeros(2, np.uint8)))
+    one, two = padded[mark + 1], padded[mark + 2]
+    short = np.isin(one, np.frombuffer(b"stmd", np.uint8)) & ~text[mark + 1]
+    pair = np.isin(one.astype(np.int64) << 8 | two, [0x7265, 0x7665, 0x6C6C]) & ~text[mark + 1] & ~text[mark + 2]
+    start[mark[short | pair] + 1] = False
+    after = np.concatenate((mark[short] + 2, mark[pair] + 3))
+    start[after[after < len(data)]] = True
+    return np.flatnonzero(start)
+
+
 class Encoder:
-    """Whole-text encoding that remembers pieces it has met.
-
-    The tokenizer's pattern never lets a token reach over a space that follows
-    a visible character, except as the space's own start. So a text is cut
-    there, each new piece is encoded once, and the ids are strung together. A
-    text with any other white space before a space goes to the library in one,
-    and so does a piece with characters past Latin, control characters or a
-    special token. Other pieces are cut by the pattern, and the library's model
-    encodes each part that is new.
+    """Whole-text encoding that encodes each distinct part of many texts once.
+
+    Latin texts are cut by the tokenizer's pattern, a stretch of them at a time;
+    Arrow finds the distinct parts, the library's model encodes those not met
+    before, many in one call, and Arrow strings the ids together. In other texts the pattern never
+    lets a token reach over a space that follows a visible character, except as
+    the space's own start. So such a text is cut there, and each new piece is
+    encoded by itself. One with any other white space before a space goes to
+    the library in one, and so does a piece that is not Latin or has a special
+    token.
     """
 
     def __init__(self, path: str, end_id: int):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end = Tokenizer.from_file(path), np.uint32(end_id).astype("<u4").tobytes()
         with open(path, encoding="utf-8") as file:
-            self.plain = cuts_plainly(json.load(file))
+            spec = json.load(file)
+        self.plain = cuts_plainly(spec)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
-        self.model, self.parts, self.letters = self.tokenizer.model, regex.compile(PATTERN).findall, _byte_letters()
-        self.memo, self.words = _Memo(self._after_space, MEMO), _Memo(self._word, MEMO)
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.memo, self.words = _Memo(self._after_space, MEMO), {}
+        self.opens, self.closing = np.zeros(0, bool), ""
+        if self.plain:
+            self._joins(spec["model"])
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _word(self, part: str) -> bytes:
+    def _joins(self, model: dict) -> None:
+        """Finds which parts the model may take on end: no merge reaches over a space's letter from what is before it.
+
+        opens: whether each id begins with that letter; closing: characters whose last byte some merge does join to it.
+        """
+        space, vocab = self.letters[32], self.tokenizer.get_vocab(with_added_tokens=False)
+        if all(c in vocab for c in self.letters.values()):
+            self.opens = np.zeros(max(vocab.values()) + 1, bool)
+            self.opens[[i for token, i in vocab.items() if token.startswith(space)]] = True
+            pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
+            joined = {left[-1] for left, right in pairs if right.startswith(space)}
+            self.closing = "".join(c for c in map(chr, range(0x250)) if self.letters[c.encode()[-1]] in joined)
+
+    def _ids(self, part: str) -> list[int]:
         letters = part.replace(" ", self.letters[32]) if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.letters)
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(letters)])
+        return [t.id for t in self.model.tokenize(letters)]
+
+    def _new(self, parts: list[str]) -> dict[str, bytes]:
+        """The ids of each part. Parts that begin with their only space are given to the model 64 at a time, and parted where an id begins with one."""
+        joined = [p for p in parts if p[0] == " " and p.rfind(" ") == 0 and p[-1] not in self.closing] if len(self.opens) else []
+        out = {}
+        if joined:
+            ids = np.fromiter((i for at in range(0, len(joined), 64) for i in self._ids("".join(joined[at : at + 64]))), "<u4")
+            held, at = ids.tobytes(), [*(4 * np.flatnonzero(self.opens[ids])).tolist(), 4 * len(ids)]
+            out = {p: held[start:end] for p, start, end in zip(joined, at[:-1], at[1:], strict=True)}
+        return out | {p: np.array(self._ids(p), "<u4").tobytes() for p in parts if p not in out}
+
+    def _known(self, parts: list[str]) -> list[bytes]:
+        """The ids of distinct parts; remembers short ones, and only those of this call once there are too many."""
+        found = list(map(self.words.get, parts))
+        gaps = [i for i, ids in enumerate(found) if ids is None]
+        new = self._new([parts[i] for i in gaps])
+        for i in gaps:
+            found[i] = new[parts[i]]
+        if len(self.words) + len(new) > MEMO:
+            self.words = {}
+            new = dict(itertools.islice(zip(parts, found, strict=True), MEMO))
+        self.words.update((p, ids) for p, ids in new.items() if len(p) <= PIECE)
+        return found
+
+    def _latin(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each of some Latin texts without a special token."""
+        held = pa.array(texts, pa.string())
+        bounds = np.frombuffer(held.buffers()[1], "<i4", len(held) + 1)
+        data = np.frombuffer(held.buffers()[2] or b"", np.uint8)[: bounds[-1]]
+        starts = part_starts(data, bounds)
+        parts = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(np.append(starts, len(data)).astype("<i4")), pa.py_buffer(data)]).dictionary_encode()
+        strung = pa.array(self._known(parts.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(parts.indices)
+        ends = np.frombuffer(strung.buffers()[1], "<i8", len(strung) + 1)[np.searchsorted(starts, bounds)].tolist()
+        ids = memoryview(strung.buffers()[2] or b"")
+        for start, end in zip(ends[:-1], ends[1:], strict=True):
+            yield bytes(ids[start:end])
 
     def _piece(self, piece: str) -> bytes:
-        if not (piece.isascii() or max(piece) < "\u0250") or "<|" in piece or not piece.replace("\n", "").isprintable():
-            return self._whole(piece)
-        return b"".join(map(self.words.__getitem__, self.parts(piece)))
+        return next(self._latin([piece])) if "<|" not in piece and LATIN.fullmatch(piece) else self._whole(piece)
 
     def _after_space(self, piece: str) -> bytes:
         if not _visible_end(piece):
             raise KeyError(piece)  # the text can't be cut here
         return self._piece(" " + piece)
 
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+    def _other(self, text: str) -> bytes:
+        if not self.plain:
+            return self._whole(text)
+        first, *rest = text.split(" ")
+        try:
+            tail = b"".join(map(self.memo.__getitem__, rest))
+            if not rest or not first or _visible_end(first):
+                return (self._piece(first) if first else b"") + tail
+        except KeyError:
+            pass
+        return self._whole(text)
+
+    def encode(self, texts: list[str | None] | pa.Array) -> Iterator[bytes]:
         """The ids of each text and the end id, as 4-byte integers."""
-        memo = self.memo.__getitem__
-        for text in texts:
-            if not text:
-                yield self.end
-                continue
-            if not self.plain:
-                yield self._whole(text) + self.end
-                continue
-            first, *rest = text.split(" ")
-            try:
-                tail = b"".join(map(memo, rest))
-                if not rest or not first or _visible_end(first):
-                    yield (self._piece(first) if first else b"") + tail + self.end
-                    continue
-            except KeyError:
-                pass
-            yield self._whole(text) + self.end
+        texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(texts):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STRETCH, "right")))
+            some = texts.slice(at, stop - at).to_pylist()
+            latin = [self.plain and "<|" not in text and LATIN.fullmatch(text) is not None for text in some]
+            found = self._latin([text for text, is_latin in zip(some, latin, strict=True) if is_latin])
+            for text, is_latin in zip(some, latin, strict=True):
+                yield (next(found) if is_latin else self._other(text)) + self.end
+            at = stop
 
 
 def _visible_end(piece: str) -> bool:
@@ -250,11 +355,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
                 system.create_dir(base, recursive=True)
                 writer = FrameWriter(system.open_output_stream(f"{base}/{name}", compression=None, buffer_size=1 << 20), encode.width)
                 first = {"low": batch.column("doc_id")[0].as_py(), "low_hash": batch.column("hash")[0].as_py()}
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                for doc_id, ids in zip(piece.column("doc_id").to_pylist(), encode.encode(piece.column("text").to_pylist()), strict=True):
-                    writer.add(doc_id, ids)
-                    total += len(ids) // 4
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode.encode(batch.column("text")), strict=True):
+                writer.add(doc_id, ids)
+                total += len(ids) // 4
         if writer is not None:
             writer.finish()
             writer.stream.close()

@@ -336,6 +336,33 @@ def test_encoder_equals_the_library_on_odd_texts():
         assert np.frombuffer(ids, "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids + [2], repr(text)
 
 
+def test_parts_of_latin_texts_equal_the_library():
+    encoder = token_files.Encoder(token_files.default_tokenizer(), 2)
+    rng = random.Random(4)
+    letters = ["a", "B", " ", "  ", "\n", "'", "'s", "'ll", "r", "e", "v", "l", "1", "é", "²", "ª", ".", "_", "ß", "×", "à", " à", " Š"]
+    texts = [f"a{c}b {c}1{c} {c}{c}\n{c}" for c in map(chr, range(0x250)) if c.isprintable()] + ["".join(rng.choices(letters, k=rng.randint(0, 25))) for _ in range(3000)] + ["日本 it's ok", "日\n x"]
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids + [2], repr(text)
+
+
+def test_new_parts_share_calls_of_the_model(monkeypatch):
+    encoder = token_files.Encoder(token_files.default_tokenizer(), 2)
+    model, calls = encoder.model, []
+
+    class Counted:
+        def tokenize(self, letters):
+            calls.append(letters)
+            return model.tokenize(letters)
+
+    encoder.model = Counted()
+    texts = ["x " + " ".join(f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100]}" for i in range(at, at + 500)) for at in (0, 250, 500)]
+    monkeypatch.setattr(token_files, "MEMO", 300)  # fewer than the distinct parts
+    monkeypatch.setattr(token_files, "STRETCH", 1)  # a text at a time
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids + [2]
+    assert len(calls) < 40 and len(encoder.words) <= 300
+
+
 # --- op4
 
 
