@@ -48,9 +48,9 @@ from placard.llm.common import KEPT, fresh_path, only, table
 
 INDEX_MAGIC, SEEK_MAGIC, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 #: Entries that each of one worker's memos holds at most; pieces of over PIECE characters are never kept.
-MEMO, PIECE = 700_000, 64
+MEMO, PIECE = 500_000, 64
 #: Bytes of text that are cut in one go (one text, if that is longer).
-STRETCH = 16 << 20
+STRETCH = 6 << 20
 #: The byte-level pattern of the public tokenizer files (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -243,12 +243,12 @@ class Encoder:
 
     def encode(self, texts: list[str | None] | pa.Array) -> Iterator[bytes]:
         """The ids of each text and the end id, as 4-byte integers."""
-        texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
-        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         at = 0
         while at < len(texts):
             stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STRETCH, "right")))
-            some = texts.slice(at, stop - at).to_pylist()
+            some = [text or "" for text in texts.slice(at, stop - at).to_pylist()]
             latin = [self.plain and "<|" not in text and LATIN.fullmatch(text) is not None for text in some]
             found = self._latin([text for text, is_latin in zip(some, latin, strict=True) if is_latin])
             for text, is_latin in zip(some, latin, strict=True):
