@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,6 +87,18 @@ def drops_shuffles(step):
     return run
 
 
+@contextlib.contextmanager
+def short_batches(spark: SparkSession, size: int) -> Iterator[None]:
+    """Jobs run in this block hand Python workers batches of about so many bytes, which neither side has to hold more of."""
+    conf, name = spark.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = conf.get(name, None)
+    conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        conf.set(name, before) if before is not None else conf.unset(name)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared folder as Parquet and read again: for rows with texts, of which later steps read some columns."""
     path = fresh_path(df.sparkSession, "staged")

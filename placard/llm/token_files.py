@@ -44,13 +44,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placard.llm.common import KEPT, fresh_path, only, table
+from placard.llm.common import KEPT, fresh_path, only, short_batches, table
 
 INDEX_MAGIC, SEEK_MAGIC, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
-#: Entries that each of one worker's memos holds at most; pieces of over PIECE characters are never kept.
-MEMO, PIECE = 500_000, 64
+#: Entries that each of one worker's memos holds at most; pieces of over PIECE characters are never kept. A worker takes about 230 bytes for each.
+MEMO, PIECE = 200_000, 64
 #: Bytes of text that are cut in one go (one text, if that is longer).
-STRETCH = 6 << 20
+STRETCH = 1 << 20
+#: Bytes of rows that a task hands its worker at once (one row, if that is longer).
+BATCH = 2 << 20
 #: The byte-level pattern of the public tokenizer files (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -160,7 +162,7 @@ class Encoder:
         self.plain = cuts_plainly(spec)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.memo, self.words = _Memo(self._after_space, MEMO), {}
+        self.memo, self.words, self.older = _Memo(self._after_space, MEMO), {}, {}
         self.opens, self.closing = np.zeros(0, bool), ""
         if self.plain:
             self._joins(spec["model"])
@@ -196,16 +198,20 @@ class Encoder:
         return out | {p: np.array(self._ids(p), "<u4").tobytes() for p in parts if p not in out}
 
     def _known(self, parts: list[str]) -> list[bytes]:
-        """The ids of distinct parts; remembers short ones, and only those of this call once there are too many."""
+        """The ids of distinct parts; remembers short ones in two halves: parts met while the newer one fills are in it, the older one is let go when that is full."""
         found = list(map(self.words.get, parts))
         gaps = [i for i, ids in enumerate(found) if ids is None]
-        new = self._new([parts[i] for i in gaps])
         for i in gaps:
-            found[i] = new[parts[i]]
-        if len(self.words) + len(new) > MEMO:
-            self.words = {}
-            new = dict(itertools.islice(zip(parts, found, strict=True), MEMO))
-        self.words.update((p, ids) for p, ids in new.items() if len(p) <= PIECE)
+            found[i] = self.older.get(parts[i])
+        new = self._new([parts[i] for i in gaps if found[i] is None])
+        for i in gaps:
+            if found[i] is None:
+                found[i] = new[parts[i]]
+        met = {parts[i]: found[i] for i in gaps if len(parts[i]) <= PIECE}
+        if len(self.words) + len(met) > MEMO // 2:
+            self.older, self.words = self.words, {}
+            met = dict(itertools.islice(met.items(), MEMO // 2))
+        self.words.update(met)
         return found
 
     def _latin(self, texts: list[str]) -> Iterator[bytes]:
@@ -367,7 +373,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     spark = docs.sparkSession
     dealt = only(docs, "doc_id", "text").withColumn("hash", F.xxhash64("text")).repartitionByRange(files, "doc_id", "hash").sortWithinPartitions("doc_id", "hash")
     # Files have names of their own attempt, so the list is written once and never computed again.
-    dealt.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/written")
+    with short_batches(spark, BATCH):
+        dealt.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/written")
     before = "cast(coalesce(sum(tokens) over (order by low nulls first, low_hash, file rows between unbounded preceding and 1 preceding), 0) as bigint)"
     spark.read.schema(MANIFEST).parquet(f"{folder}/written").selectExpr("*", f"{before} as before").write.parquet(f"{folder}/manifest")
     return spark.read.schema(f"{MANIFEST}, before long").parquet(f"{folder}/manifest")

@@ -363,6 +363,35 @@ def test_new_parts_share_calls_of_the_model(monkeypatch):
     assert len(calls) < 40 and len(encoder.words) <= 300
 
 
+def test_encoder_remembers_few_parts_and_those_in_use(monkeypatch):
+    assert token_files.MEMO <= 200_000 and token_files.STRETCH <= 1 << 20  # about 70 MB of a worker
+    encoder = token_files.Encoder(token_files.default_tokenizer(), 2)
+    new, made = encoder._new, []
+    monkeypatch.setattr(encoder, "_new", lambda parts: made.extend(parts) or new(parts))
+    monkeypatch.setattr(token_files, "MEMO", 200)
+    monkeypatch.setattr(token_files, "STRETCH", 1)  # a text at a time
+    texts = [("x often used" if at % 2 else "x") + "".join(f" w{at}q{i}" for i in range(30)) for at in range(40)]
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids + [2]
+        assert len(encoder.words) + len(encoder.older) <= 200
+    assert made.count(" often") == made.count(" used") == made.count("x") == 1
+
+
+def test_tasks_hand_over_short_batches(spark):
+    import pyarrow as pa
+    from placard.llm.common import short_batches
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "size": [batch.nbytes]})
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, made = spark.conf.get(name), spark.range(0, 4000, 1, 1).selectExpr("repeat('a', 1000) as text").mapInArrow(sizes, "rows long, size long")
+    with short_batches(spark, 1 << 20):
+        got = made.collect()
+    assert sum(r.rows for r in got) == 4000 and max(r.size for r in got) < 1.1 * (1 << 20) and spark.conf.get(name) == before
+
+
 # --- op4
 
 
